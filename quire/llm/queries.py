@@ -27,7 +27,23 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import held_out, learn_from, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_from(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op6_byte_bpe": op6_byte_bpe, "op8_language": op8_language, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
 
 
