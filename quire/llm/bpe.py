@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Widths of the trees that are merged in lock step.
 WIDTHS = (4, 8, 16, 32, 64)
-#: Distinct pieces that a worker remembers.
-REMEMBERED = 600_000
+#: Distinct pieces in each of the two generations that a worker remembers.
+REMEMBERED = 250_000
 #: Characters of text whose pieces are held at once.
 SLAB = 4_000_000
 NONE = np.int64(1) << 60
@@ -30,7 +31,11 @@ NONE = np.int64(1) << 60
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes_of = {v: k for k, v in ranks.items()}
+        most = max(ranks.values()) + 1
+        known = {v: k for k, v in ranks.items()}
+        self.width = np.array([len(known.get(i, b"")) for i in range(most)], np.int64)
+        self.start = np.r_[0, np.cumsum(self.width)[:-1]]
+        self.vocabulary = np.frombuffer(b"".join(known.get(i, b"") for i in range(most)), np.uint8)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -41,7 +46,8 @@ class ByteBPE:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers one after another
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE where there is none."""
@@ -49,7 +55,7 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.values[at], NONE)
 
-    def _lock_step(self, pieces: list[bytes], n: int) -> list[tuple[int, ...]]:
+    def _lock_step(self, pieces: list[bytes], n: int) -> list[bytes]:
         m = len(pieces)
         raw = np.frombuffer(b"".join(p.ljust(n, b"\0") for p in pieces), np.uint8).reshape(m, n)
         size = np.array([len(p) for p in pieces])
@@ -89,10 +95,10 @@ class ByteBPE:
                 nodes = nodes >> 1
             row = row[tree[row, 1] < NONE]
         live = sym[:, :n] >= 0
-        flat, ends = sym[:, :n][live].tolist(), np.cumsum(live.sum(1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        flat, ends = sym[:, :n][live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _alone(self, piece: bytes) -> tuple[int, ...]:
+    def _alone(self, piece: bytes) -> bytes:
         """The same tree for one piece of any length, on lists."""
         size = len(piece)
         n = 1 << max(1, (size - 1).bit_length())
@@ -129,17 +135,17 @@ class ByteBPE:
             prev = before[at]
             if prev < n:
                 put(prev, leaf(prev, sym[prev], new))
-        return tuple(s for s in sym if s >= 0)
+        return np.array([s for s in sym if s >= 0], np.int32).tobytes()
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
         out: list = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             rank = self.ranks.get(p)  # a piece that is a token stays whole, whatever its merges would give
             if rank is not None:
-                out[i] = (rank,)
+                out[i] = rank.to_bytes(4, sys.byteorder)
             elif not p:
-                out[i] = ()
+                out[i] = b""
             elif (n := next((w for w in WIDTHS if len(p) <= w), 0)):
                 groups.setdefault(n, []).append(i)
             else:
@@ -160,37 +166,46 @@ class ByteBPE:
         while part := list(itertools.islice(found, SLAB // 4)):
             yield part
 
+    def learn(self, pieces: list[str]) -> None:
+        """Puts the ids of all `pieces` in the cache; what the older generation has is taken over."""
+        if len(self.cache) > REMEMBERED:
+            self.older, self.cache = self.cache, {}
+        new, older = [], self.older
+        for p in set(pieces):
+            if p not in self.cache:
+                if p in older:
+                    self.cache[p] = older[p]
+                else:
+                    new.append(p)
+        if new:
+            self.cache.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets)."""
-        ids, ends = [], [0]
-        waiting: list[list[str]] = []
-        for text in texts:
-            waiting.append([])
-            for part in self.slabs(text) if text else ():
-                waiting.append(part)
-        new = list({p for part in waiting for p in part if p not in self.cache})
-        if len(self.cache) + len(new) > REMEMBERED:
-            self.cache.clear()
-            new = list({p for part in waiting for p in part})
-        for p, got in zip(new, self.merge([p.encode() for p in new]), strict=True):
-            self.cache[p] = got
-        get, total = self.cache.__getitem__, 0
-        texts_seen = 0
-        for part in waiting:
-            if not part:
-                if texts_seen:
-                    ends.append(total)
-                texts_seen += 1
-                continue
-            got = np.fromiter(itertools.chain.from_iterable(map(get, part)), np.int32)
-            ids.append(got)
-            total += len(got)
-        if texts_seen:
-            ends.append(total)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array(ends, np.int64)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        out, sizes = [], []
+        if sum(map(len, filter(None, texts))) <= SLAB:  # then the new pieces of all texts are merged together
+            parts = [self.pattern.findall(t) if t else [] for t in texts]
+            self.learn(list(itertools.chain.from_iterable(parts)))
+            get = self.cache.__getitem__
+            out = [b"".join(map(get, p)) for p in parts]
+            sizes = [len(x) // 4 for x in out]
+        else:
+            for t in texts:
+                size = 0
+                for part in self.slabs(t) if t else ():
+                    self.learn(part)
+                    out.append(b"".join(map(self.cache.__getitem__, part)))
+                    size += len(out[-1]) // 4
+                sizes.append(size)
+        return np.frombuffer(b"".join(out), np.int32), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The ids' bytes (uint8), without a Python object for each id."""
+        width = self.width[ids]
+        ends = np.cumsum(width)
+        if not len(ids):
+            return self.vocabulary[:0]
+        return self.vocabulary[np.repeat(self.start[ids] - (ends - width), width) + np.arange(ends[-1])]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,8 +225,8 @@ def bpe_encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe, out = coder(path, pattern), []
-        for at in range(0, max(len(texts), 1), 512):
-            ids, ends = bpe.encode(texts[at : at + 512].to_pylist())
+        for at in range(0, max(len(texts), 1), 256):
+            ids, ends = bpe.encode(texts[at : at + 256].to_pylist())
             out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
         return pa.concat_arrays(out)
 
@@ -224,8 +239,7 @@ def bpe_decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         bpe = coder(path, pattern)
-        flat, ends = lists.flatten().to_pylist(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(int).tolist()
-        return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False)).tobytes() if x.is_valid else b"" for x in lists], pa.binary())
 
     return decode(ids)
 
