@@ -43,8 +43,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe, "op8_language": op8_language, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.unigram import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "score")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontamination import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_language": op8_language,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": """
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
+i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') as w from benchmark where item_id is not null and text is not null),
+i5 as (select distinct item_id, least(len(w), 5) as n, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: array_to_string(w[k:k + least(len(w), 5) - 1], ' '))) as s from i where len(w) > 0),
+sizes as (select item_id, n, count(*) as size from i5 group by all),
+d5 as (select distinct doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as s from d, (select distinct n from sizes) where len(w) >= n),
+hits as (select doc_id, item_id, count(*) as shared from d5 join i5 using (n, s) group by all)
+select doc_id, item_id, shared, shared / size as containment from hits join sizes using (item_id) where shared >= size * 0.75 - 1e-9
+""",
+}
 
 
 def queries() -> dict:
