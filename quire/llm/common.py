@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()  # the shuffle files of what was written go when the driver's garbage goes
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
     return out
