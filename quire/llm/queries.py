@@ -63,6 +63,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.suffix_dedup import remove_repeats
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language": op8_language,
     "op9_suffix_dedup": op9_suffix_dedup,
