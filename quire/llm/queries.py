@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Key of the surrogates in the registered queries; deployments pass a secret of their own.
+SURROGATE_KEY = b"registered queries"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +73,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.privacy import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.suffix_dedup import remove_repeats
 
@@ -83,6 +93,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_surrogates": op7_surrogates,
     "op8_language": op8_language,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
