@@ -67,6 +67,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.embedding_dedup import near_vectors
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_passages": op4_passages,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_surrogates": op7_surrogates,
