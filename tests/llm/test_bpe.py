@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import regex
 import tiktoken
 
-from quire.llm.bpe import ByteBPE, encode_documents, read_ranks
+from quire.llm.bpe import NARROW, USUAL, ByteBPE, encode_documents, read_ranks
 from quire.llm.queries import op6_byte_bpe
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +31,16 @@ def test_merges_equal_the_library():
         assert ours.decode(np.array(got, int)).tobytes() == t.encode()
 
 
+def test_narrow_pattern_splits_alike():
+    slow = regex.compile(USUAL)
+    assert USUAL == P.PATTERN
+    rng = random.Random(9)
+    alphabet = [chr(i) for i in range(0x250)]
+    for _ in range(3000):
+        t = "".join(rng.choices(alphabet, k=8) + rng.choices(" 's'ta1é\n", k=12))
+        assert NARROW.findall(t) == slow.findall(t), t
+
+
 def test_query_and_edges(spark, tmp_path):
     ref = reference()
     rows = [(1, "Hello  world", "x"), (2, None, None), (3, "", "y"), (None, "null id", "z"), (1, "Hello  world", "x"), (4, "long " * 20000, "q")]
