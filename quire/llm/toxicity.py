@@ -27,7 +27,7 @@ LOOKS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ї":
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 FOLD = str.maketrans(LOOKS | SIGNS)
 #: Zero-width characters, which may split a word.
-HIDDEN = re.compile("[­​-‏⁠﻿]")
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 WORD = re.compile(r"[^\W\d_]+")
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "pathetic fallacy", "pond scum", "sore loser")
