@@ -1,7 +1,438 @@
-"""Registered queries over the sample tables and the SQL that says the same."""
+"""Registered queries over the sample tables and the SQL that says the same.
+
+A line of a document plays a paragraph. Lines have made-up boxes: 6 wide for each of up to 80 characters, 12 high and 10
+apart, so that neighbours overlap by 2.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import geometry as G
+from quire.functions import records as R
+from quire.functions import text as T
+from quire.operators import aggregates as A
+from quire.operators import folds, services
+from quire.operators import joins as J
+from quire.operators import windows as W
+from quire.streaming import events as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "classify_kind"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "txt"))
+    return t.where("txt != ''").withColumn("n", F.length("txt"))
+
+
+def boxed(spark: SparkSession, d: str) -> DataFrame:
+    y2 = -10.0 * F.col("line")
+    return lines(spark, d).withColumn("box", G.box(F.lit(0.0), y2 - 12, 6.0 * F.least("n", F.lit(80)), y2))
+
+
+LINES = "lines as (select * from (select doc_id, unnest(range(0, len(s))) as line, unnest(s) as txt from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)) where txt <> '')"
+BOXES = LINES + ", boxes as (select doc_id, line, txt, length(txt) as n, 0.0::double as x, (-10.0 * line - 12)::double as y, (6.0 * least(length(txt), 80))::double as x2, (-10.0 * line)::double as y2 from lines)"
+REGIONS = "regions as (select doc_id, line as layout_id, case when line % 10 = 0 then 'title' else 'text' end as class_name, 0.0::double as x, y - 5 as y, 300.0::double as x2, y2 + 5 as y2 from boxes where line % 5 = 0)"
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    b = F.col("box")
+    r = boxed(spark, d).where("line % 5 = 0")
+    return r.select("doc_id", F.col("line").alias("layout_id"), F.when(F.col("line") % 10 == 0, "title").otherwise("text").alias("class_name"), G.box(F.lit(0.0), b["y"] - 5, F.lit(300.0), b["y2"] + 5).alias("box"))
+
+
+@query(f"with {BOXES} select doc_id, line, n, x2, y, y2 from boxes")
+def line_boxes(spark, d):
+    return boxed(spark, d).select("doc_id", "line", "n", "box.x2", "box.y", "box.y2")
+
+
+@query(f"with {LINES} select doc_id, line from lines where regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$')")
+def numeric_only_lines(spark, d):
+    return lines(spark, d).where(T.pure_numeric(F.col("txt"))).select("doc_id", "line")
+
+
+@query(f"with {LINES} select doc_id, line from lines where regexp_matches(replace(txt, '…', '...'), '(?:\\.\\s?){{4,}}')")
+def leader_dot_lines(spark, d):
+    return lines(spark, d).where(T.leader_dots(F.col("txt"))).select("doc_id", "line")
+
+
+@query(f"with {LINES} select doc_id, count(*) as n_lines, sum(length(txt)) as n_chars from lines where length(txt) >= 5 and not regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$') and not regexp_matches(txt, '^[0-9\\s]*$') group by doc_id")
+def filter_translatable(spark, d):
+    t = F.col("txt")
+    return lines(spark, d).where((F.col("n") >= 5) & ~T.pure_numeric(t) & ~T.digits_or_space(t)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_chars"))
+
+
+FEATURES = f"""{LINES}, features as (select doc_id, count(*) as n_lines, avg(case when length(txt) <= 80 then 1.0 else 0.0 end) as short_ratio,
+ avg(length(txt)) as mean_chars, sum(length(regexp_replace(txt, '[^0-9]', '', 'g')))::double / sum(length(txt)) as digit_density,
+ avg(case when regexp_matches(replace(txt, '…', '...'), '(?:\\.\\s?){{4,}}') then 1.0 else 0.0 end) as leader_ratio from lines group by doc_id)"""
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    n, t = F.col("n"), F.col("txt")
+    return lines(spark, d).groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.avg(F.when(n <= 80, 1.0).otherwise(0.0)).alias("short_ratio"), F.avg("n").alias("mean_chars"),
+        (F.sum(F.length(F.regexp_replace(t, "[^0-9]", ""))).cast("double") / F.sum("n")).alias("digit_density"), F.avg(F.when(T.leader_dots(t), 1.0).otherwise(0.0)).alias("leader_ratio"),
+    )
+
+
+@query(f"with {FEATURES} select doc_id, n_lines, round(short_ratio, 6) as short_ratio, round(mean_chars, 6) as mean_chars, round(digit_density, 6) as digit_density, round(leader_ratio, 6) as leader_ratio from features")
+def page_features(spark, d):
+    return features(spark, d).select("doc_id", "n_lines", *[F.round(c, 6).alias(c) for c in ("short_ratio", "mean_chars", "digit_density", "leader_ratio")])
+
+
+@query(f"with {LINES} select doc_id, line, round((rank() over (partition by doc_id order by length(txt)) - 1 + 0.5 * count(*) over (partition by doc_id, length(txt))) / count(*) over (partition by doc_id), 6) as midrank from lines")
+def feature_midrank(spark, d):
+    return W.midranks(lines(spark, d), ["doc_id"], "n", "r").select("doc_id", "line", F.round("r", 6).alias("midrank"))
+
+
+RULES = [("list", "short_ratio", "ge", 0.9, 1.0), ("list", "digit_density", "ge", 0.01, 0.5), ("prose", "mean_chars", "gt", 100.0, 1.0), ("prose", "short_ratio", "lt", 0.5, 1.0), ("prose", "digit_density", "gt", 0.05, -0.5), ("index", "leader_ratio", "gt", 0.2, 1.0)]
+KINDS = ["prose", "list", "index"]
+SCORES = f"""{FEATURES}, rules(page_type, feature, op, threshold, weight) as (values {", ".join(f"('{a}','{b}','{c}',{e}::double,{w}::double)" for a, b, c, e, w in RULES)}),
+long as (select doc_id, unnest(['short_ratio','digit_density','mean_chars','leader_ratio']) as feature, unnest([short_ratio, digit_density, mean_chars, leader_ratio]) as value from features),
+judged as (select doc_id, page_type, weight, case op when 'ge' then value >= threshold when 'le' then value <= threshold when 'gt' then value > threshold else value < threshold end as holds from long join rules using (feature)),
+scores as (select doc_id, page_type, case when bool_or(holds and weight > 0) then least(greatest(sum(case when holds then weight else 0 end) / sum(case when weight > 0 then weight else 0 end), 0), 1) else 0 end as score from judged group by all),
+ranked as (select *, row_number() over (partition by doc_id order by score desc, list_position(['prose','list','index'], page_type)) as k, lead(score) over (partition by doc_id order by score desc, list_position(['prose','list','index'], page_type)) as second from scores),
+kinds as (select doc_id, case when score > 0 then page_type else 'other' end as page_kind, round(score, 6) as score, score > 0 and score - second < 0.15 as ambiguous from ranked where k = 1)"""
+
+
+def kinds(spark: SparkSession, d: str) -> DataFrame:
+    names = ["short_ratio", "digit_density", "mean_chars", "leader_ratio"]
+    long = features(spark, d).select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])).alias("f")).select("doc_id", "f.*")
+    rules = spark.createDataFrame(RULES, "page_type string, feature string, op string, threshold double, weight double")
+    return A.classified(A.scored_types(long, rules, ["doc_id"]), ["doc_id"], KINDS, "other").withColumn("score", F.round("score", 6))
+
+
+@query(f"with {SCORES} select * from kinds")
+def classify_kind(spark, d):
+    return kinds(spark, d)
+
+
+@query(f"with {SCORES}, hits as (select d.source, (page_kind = 'prose') = (quality = 1) as hit from kinds join documents d using (doc_id) join labels using (doc_id)), own as (select source, count(*) as n, count_if(hit) as h from hits group by source) select source, ((select sum(n) from own) - n)::bigint as n, ((select sum(h) from own) - h)::bigint as hits, round(((select sum(h) from own) - h) / nullif((select sum(n) from own) - n, 0), 6) as rate from own")
+def lopo_agreement(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    j = kinds(spark, d).join(docs, "doc_id").join(table(spark, d, "labels"), "doc_id").withColumn("hit", (F.col("page_kind") == "prose") == (F.col("quality") == 1))
+    return A.leave_one_out(j, "source", "hit").withColumn("rate", F.round("rate", 6))
+
+
+@query(f"with {BOXES}, u as (select doc_id, x / 480 as x, x2 / 480 as x2, (y + 1012) / 1012 as y, (y2 + 1012) / 1012 as y2 from boxes where line < 100), c as (select distinct doc_id, r, k from (select doc_id, unnest(range(least(greatest(floor(y * 32), 0), 31)::int, greatest(least(greatest(ceil(y2 * 32) - 1, 0), 31), least(greatest(floor(y * 32), 0), 31))::int + 1)) as r, least(greatest(floor(x * 32), 0), 31)::int as k0, least(greatest(ceil(x2 * 32) - 1, 0), 31)::int as k1 from u where x2 > x) t, unnest(range(k0, greatest(k0, k1) + 1)) as q(k)) select doc_id, round(count(*) / 1024.0, 6)::double as coverage from c group by doc_id")
+def grid_coverage(spark, d):
+    b = boxed(spark, d).where("line < 100").withColumn("unit", G.on_unit_page(F.col("box"), G.box(0, -1012, 480, 0)))
+    return A.grid_coverage(b, ["doc_id"], 32).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"with {LINES}, c as (select doc_id, (length(txt) % 97) / 97.0 as x from lines), g as (select doc_id, case when x - lag(x) over (partition by doc_id order by x) >= 0.2 then 1 else 0 end as cut from c) select doc_id, least(sum(cut) + 1, 4)::bigint as columns from g group by doc_id")
+def column_count(spark, d):
+    c = lines(spark, d).withColumn("x", (F.col("n") % 97) / 97.0)
+    return A.column_count(c, ["doc_id"], "x", 0.2).withColumn("columns", F.col("columns").cast("long"))
+
+
+PAIR = "greatest(least(a.x2, b.x2) - greatest(a.x, b.x), 0) * greatest(least(a.y2, b.y2) - greatest(a.y, b.y), 0)"
+AREA = "(({0}.x2 - {0}.x) * ({0}.y2 - {0}.y))"
+
+
+@query(f"with {BOXES}, p as (select doc_id, a.line as a, b.line as b, {PAIR} as i, {AREA.format('a')} as sa, {AREA.format('b')} as sb from boxes a join boxes b using (doc_id) where a.line < b.line and b.line - a.line < 3) select doc_id, a, b, round(i / (sa + sb - i), 6) as iou, round(i / least(sa, sb), 6) as coverage from p where i > 0 and (i / (sa + sb - i) >= 0.08 or i / least(sa, sb) >= 0.16)")
+def collision_pairs(spark, d):
+    return J.collisions(boxed(spark, d), ["doc_id"], "line", 0.08, 0.16).withColumns({"iou": F.round("iou", 6), "coverage": F.round("coverage", 6)})
+
+
+@query(f"with {BOXES}, {REGIONS}, m as (select doc_id, line, layout_id as art, {PAIR} / ({AREA.format('a')} + {AREA.format('b')} - {PAIR}) as iou from boxes a join regions b using (doc_id)) select doc_id, line, round(max(iou), 6) as iou, arg_min(art, (-iou, art)) as art from (select * from m where iou >= 0.1) group by all")
+def worst_overlap(spark, d):
+    art = regions(spark, d).withColumnRenamed("layout_id", "art")
+    return J.worst_overlap(boxed(spark, d), art, ["doc_id"], "line", 0.1).withColumn("iou", F.round("iou", 6))
+
+
+@query(f"with {BOXES}, {REGIONS}, m as (select doc_id, line, layout_id, class_name, row_number() over (partition by doc_id, line order by case class_name when 'title' then 1 when 'text' then 2 else 3 end, {PAIR} / {AREA.format('a')} desc, layout_id) as k from boxes a join regions b using (doc_id) where {PAIR} > 0) select l.doc_id, l.line, m.layout_id, m.class_name from boxes l left join m on m.doc_id = l.doc_id and m.line = l.line and k = 1")
+def layout_top1(spark, d):
+    return J.layout_of(boxed(spark, d), regions(spark, d), ["doc_id"], ["line"], ["title", "text"]).select("doc_id", "line", "layout_id", "class_name")
+
+
+@query(f"with {BOXES}, {REGIONS} select doc_id, line from boxes a where exists (select 1 from regions b where b.doc_id = a.doc_id and class_name = 'text' and {PAIR} / {AREA.format('a')} > 0.3) and not exists (select 1 from regions b where b.doc_id = a.doc_id and class_name = 'title' and {PAIR} / {AREA.format('a')} > 0.3)")
+def protected_anti(spark, d):
+    r = regions(spark, d)
+    return J.unprotected_lines(boxed(spark, d), r.where("class_name = 'text'"), r.where("class_name = 'title'"), ["doc_id"], 0.3).select("doc_id", "line")
+
+
+CONV = "conv as (select conv_id, turn, role, text, lead(turn) over w as next_turn, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn))"
+
+
+@query(f"with {CONV} select conv_id, turn, role, next_turn, next_role from conv where next_turn is not null")
+def adjacent_boundaries(spark, d):
+    return J.adjacent(table(spark, d, "conversations"), ["conv_id"], "turn", ["role"]).select("conv_id", "turn", "role", "next_turn", "next_role")
+
+
+ENDED = "regexp_replace(text, '[\\s\\p{Mn}\\p{Cf}\"''”’»)\\]）】」』〉》]+$', '')"
+
+
+@query(f"select conv_id, turn, case when length({ENDED}) > 0 then (right({ENDED}, 1) not in ('.', '!', '?', '。', '！', '？', '…'))::int::double end as open_end from conversations")
+def terminal_punct_signal(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.open_end(F.col("text")).alias("open_end"))
+
+
+@query("with b as (select conv_id, turn, lead(turn) over w as nxt, length(text) % 3 <> 0 as linked from conversations window w as (partition by conv_id order by turn)), l as (select *, case when lag(nxt) over (partition by conv_id order by turn) = turn then 0 else 1 end as cut from b where linked and nxt is not null), g as (select *, sum(cut) over (partition by conv_id order by turn) as c from l), m as (select distinct conv_id, c, page from (select conv_id, c, turn as page from g union all select conv_id, c, nxt from g)) select conv_id, min(page) over (partition by conv_id, c) as first_page, page, (row_number() over (partition by conv_id, c order by page) - 1)::int as chain_index from m")
+def chain_islands(spark, d):
+    t = J.adjacent(table(spark, d, "conversations"), ["conv_id"], "turn", [])
+    zero = F.lit(0)
+    b = t.select("conv_id", F.col("turn").alias("tail_page"), zero.alias("tail_par"), F.col("next_turn").alias("head_page"), zero.alias("head_par"), (F.length("text") % 3 != 0).alias("linked"))
+    c = W.chained(b, ["conv_id"])
+    first = F.min("page").over(W.Window.partitionBy("conv_id", "chain_id"))
+    return c.select("conv_id", first.alias("first_page"), "page", "chain_index")
+
+
+@query(f"with {LINES}, r as (select doc_id, line, case when length(txt) < 60 then 'opener' when length(txt) % 5 = 0 then 'unassigned' else 'member' end as role from lines) select doc_id, line, sum(case when role = 'opener' then 1 else 0 end) over (partition by doc_id order by line)::bigint as article from r where role <> 'unassigned'")
+def article_walk(spark, d):
+    n = F.col("n")
+    r = lines(spark, d).withColumn("role", F.when(n < 60, "opener").when(n % 5 == 0, "unassigned").otherwise("member"))
+    return W.articles(r, ["doc_id"], "line").select("doc_id", "line", "article")
+
+
+@query(f"with {LINES} select doc_id, line, line = min(line) over w as is_first, line = max(line) over w as is_last from lines window w as (partition by doc_id) qualify is_first or is_last")
+def endpoint_first_last(spark, d):
+    return W.endpoints(lines(spark, d), ["doc_id"], ["line"]).select("doc_id", "line", "is_first", "is_last")
+
+
+@query(f"with {LINES}, f as (select *, length(txt) <= 90 and coalesce(lag(length(txt)) over w <= 90, false) as joined from lines window w as (partition by doc_id order by line)), g as (select *, sum(case when joined then 0 else 1 end) over (partition by doc_id order by line) as run from f) select doc_id, line from (select *, count(*) over (partition by doc_id, run) as k from g) where k >= 3 and length(txt) <= 90")
+def fragment_runs(spark, d):
+    t = boxed(spark, d).withColumns({"text": F.col("txt"), "font_size": F.lit(10.0)})
+    return W.fragment_runs(t, ["doc_id"], ["line"], most_chars=90, gap=1e9, overlap=0.0).select("doc_id", "line")
+
+
+@query("with g as (select user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events), m as (select *, quantile_cont(gap, 0.5) over (partition by user_id) as med from g) select user_id, event_id, sum(case when gap >= 1.5 * med then 1 else 0 end) over (partition by user_id order by t, event_id rows unbounded preceding)::bigint as record from (select m.*, e.ts as t from m join events e using (event_id)) q")
+def record_groups(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumn("gap", F.unix_micros("ts") - F.unix_micros(W.previous("ts", ["user_id"], ["ts", "event_id"])))
+    return W.record_groups(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "record")
+
+
+@query(f"with {LINES} select doc_id, line, last_value(case when length(txt) < 40 then txt end ignore nulls) over (partition by doc_id order by line rows unbounded preceding) as title from lines")
+def running_title(spark, d):
+    return W.running_title(lines(spark, d), ["doc_id"], ["line"], F.when(F.col("n") < 40, F.col("txt"))).select("doc_id", "line", "title")
+
+
+@query("with c as (select l_partkey, l_returnflag, count(*) as votes, min(l_orderkey * 10 + l_linenumber) as s from lineitem group by all) select l_partkey, l_returnflag, votes from c qualify row_number() over (partition by l_partkey order by votes desc, s) = 1")
+def term_vote(spark, d):
+    t = table(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return A.voted(t, ["l_partkey"], "l_returnflag", "seq")
+
+
+@query("with c as (select l_suppkey, l_discount, sum(l_quantity) as w from lineitem group by all) select l_suppkey, l_discount from c qualify row_number() over (partition by l_suppkey order by w desc, l_discount) = 1")
+def weighted_mode_scale(spark, d):
+    return A.weighted_mode(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", "l_quantity")
+
+
+GLOSSARY = "glossary as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) as source from benchmark)"
+
+
+def glossary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("source")).select(F.lower("source").alias("source")).distinct()
+
+
+@query(f"with {GLOSSARY} select doc_id, glossary.source from documents, glossary where contains(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), source)")
+def glossary_contains(spark, d):
+    return J.terms_in_texts(table(spark, d, "documents").select("doc_id", "text"), glossary(spark, d)).select("doc_id", "source")
+
+
+@query("select p_partkey, p_brand from part where trim(lower(p_brand)) not in (select trim(lower(p_brand)) from part where p_size = 1 and p_brand is not null)")
+def glossary_anti(spark, d):
+    p = table(spark, d, "part")
+    return J.unlisted_terms(p.withColumnRenamed("p_brand", "source"), p.where("p_size = 1").select(F.upper("p_brand").alias("source"))).select("p_partkey", F.col("source").alias("p_brand"))
+
+
+@query()
+def capitalised_terms(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.explode(T.capitalised_terms(F.col("text"))).alias("term"))
+    return t.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@query("select distinct n_nationkey, substring(n_name, i, k) as candidate from nation, range(1, 40) t(i), range(3, 9) u(k) where i + k - 1 <= length(n_name) and not regexp_matches(substring(n_name, i, k), '\\s') and not regexp_matches(substring(n_name, i, k), '^\\p{P}')")
+def ngram_candidates(spark, d):
+    return table(spark, d, "nation").select(F.col("n_nationkey"), F.explode(T.candidates(F.col("n_name"))).alias("candidate"))
+
+
+@query("with g as (select l_suppkey, l_returnflag, count(*) as k from lineitem group by all), t as (select *, sum(k) over (partition by l_suppkey) as n from g) select l_suppkey, sum(k * (k - 1) / 2)::double as numerator, any_value(n * (n - 1) / 2)::double as denominator, round(sum(k * (k - 1) / 2) / nullif(any_value(n * (n - 1) / 2), 0), 6) as ratio from t group by l_suppkey")
+def ltcr_pairs(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("k"))
+    g = g.withColumn("n", F.sum("k").over(W.Window.partitionBy("l_suppkey")))
+    return A.pair_consistency(g, ["l_suppkey"], "k", "n").withColumn("ratio", F.round("ratio", 6))
+
+
+@query("select l_linestatus, round(sum(l_extendedprice * l_discount), 2) as numerator, round(sum(l_extendedprice), 2) as denominator, round(sum(l_extendedprice * l_discount) / nullif(sum(l_extendedprice), 0), 4) as ratio from lineitem group by l_linestatus")
+def corpus_sum_ratio(spark, d):
+    t = table(spark, d, "lineitem").select("l_linestatus", (F.col("l_extendedprice") * F.col("l_discount")).alias("numerator"), F.col("l_extendedprice").alias("denominator"))
+    return A.corpus_ratio(t, ["l_linestatus"]).withColumns({"numerator": F.round("numerator", 2), "denominator": F.round("denominator", 2)})
+
+
+@query(f"with o as (select role, case when length({ENDED}) > 0 then right({ENDED}, 1) not in ('.', '!', '?', '。', '！', '？', '…') end as open from conversations) select role, count(*) as n, count_if(open) as open, grouping(role)::int as level, round(count_if(open) / count(*), 6) as rate from o group by rollup(role)")
+def mid_break_rate(spark, d):
+    t = table(spark, d, "conversations").withColumn("o", T.open_end(F.col("text")) == 1)
+    return A.strata(t, "role", "o").withColumn("rate", F.round("rate", 6))
+
+
+@query(f"with {BOXES}, o as (select doc_id, a.line, sum({PAIR} / {AREA.format('a')}) as o from boxes a join boxes b using (doc_id) where a.line <> b.line group by all) select doc_id, round(avg(coalesce(o, 0)), 6) as overlap from boxes left join o using (doc_id, line) group by doc_id")
+def overlap_metric(spark, d):
+    return A.element_overlap(boxed(spark, d), ["doc_id"], "line", "box").withColumn("overlap", F.round("overlap", 6))
+
+
+@query(f"with {BOXES}, u as (select doc_id, line, unnest([1, 2, 3, 4, 5, 6]) as k, unnest([x / 480, (x + x2) / 960, x2 / 480, y2 / 20000, (y + y2) / 40000, y / 20000]) as v from boxes), e as (select doc_id, line, least(v - lag(v) over w, lead(v) over w - v) as g from u window w as (partition by doc_id, k order by v, line)), m as (select doc_id, line, min(g) as g from e group by all) select doc_id, round(avg(-ln(1 - least(greatest(g, 0), 0.999999))), 6) as alignment from m group by doc_id")
+def alignment_metric(spark, d):
+    b = F.col("box")
+    u = boxed(spark, d).withColumn("unit", G.box(b["x"] / 480, b["y"] / 20000, b["x2"] / 480, b["y2"] / 20000))
+    return A.element_alignment(u, ["doc_id"], "line").withColumn("alignment", F.round("alignment", 6))
+
+
+@query(f"with {LINES}, s as (select doc_id, line, txt, sum(length(txt) + (line % 7 = 6)::int) over (partition by doc_id order by line) - length(txt) as start, (sum(length(txt)) over (partition by doc_id order by line))::bigint as stop from lines), g as (select *, coalesce(lag(stop) over (partition by doc_id order by line), 0) <> start as gap from s) select doc_id, not bool_or(gap) as tiles, string_agg(txt, '' order by line) = (select replace(text, chr(10), '') from documents d where d.doc_id = g.doc_id limit 1) as rejoins, count(*) as members from g group by doc_id")
+def span_tiling_check(spark, d):
+    w = W.Window.partitionBy("doc_id").orderBy("line")
+    s = lines(spark, d).withColumns({"end": F.sum("n").over(w), "start": F.sum(F.col("n") + (F.col("line") % 7 == 6).cast("int")).over(w) - F.col("n")})
+    s = s.join(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("")).alias("translation")), "doc_id")
+    return A.tiling(s.withColumnsRenamed({"line": "chain_index", "txt": "text"}), "doc_id")
+
+
+@query("select o_custkey, o_orderpriority, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey desc) = 1")
+def cache_latest_wins(spark, d):
+    t = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice")
+    return services.latest(t, ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderkey > (select max(o_orderkey) from orders) - 500")
+def cache_keep_newest(spark, d):
+    return services.newest(table(spark, d, "orders").select("o_orderkey"), 500, "o_orderkey")
+
+
+@query("select distinct l_partkey as engine, l_suppkey as params, l_returnflag as text from lineitem where not exists (select 1 from lineitem b where b.l_linestatus = 'F' and b.l_partkey = lineitem.l_partkey and b.l_suppkey = lineitem.l_suppkey and b.l_returnflag = lineitem.l_returnflag)")
+def cache_miss_anti(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("engine"), F.col("l_suppkey").alias("params"), F.col("l_returnflag").alias("text"), "l_linestatus")
+    return services.misses(t.drop("l_linestatus"), t.where("l_linestatus = 'F'").drop("l_linestatus"))
+
+
+@query("select event_type as engine, count(*) as n from events group by 1")
+def cache_rows_by_engine(spark, d):
+    return services.rows_by_engine(table(spark, d, "events").withColumnRenamed("event_type", "engine"))
+
+
+@query(f"with {LINES} select doc_id, line, floor((row_number() over (partition by doc_id order by line) - 1) / 10)::bigint as chunk from lines")
+def chunk_pages(spark, d):
+    return W.chunks(lines(spark, d), ["doc_id"], ["line"], 10).select("doc_id", "line", "chunk")
+
+
+@query(f"with {LINES} select doc_id, line from lines where line between 1 and 2 or line = 4 or line >= 7")
+def page_range_filter(spark, d):
+    return lines(spark, d).where(T.in_ranges(F.col("line"), T.page_ranges(F.lit("-2, 4-4,7-"))) & (F.col("line") > 0)).select("doc_id", "line")
+
+
+@query("with p as (select n_nationkey, n_name as s, r_name as t, length(n_name) as a, length(r_name) as b from nation join region on n_regionkey = r_regionkey) select n_nationkey, case when trim(s) = trim(t) and a > 10 then 'same' when not (b / a > 0.3 and b / a < 1.5) and not (b / a > 0.3 and b / a < 3) then 'ratio' when levenshtein(s, t) < 5 and a > 20 then 'distance' end as refusal from p")
+def reply_gate(spark, d):
+    p = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return p.select("n_nationkey", T.reply_gate(F.col("n_name"), F.col("r_name"), F.length("n_name"), F.length("r_name")).alias("refusal"))
+
+
+@query("select doc_id, round(len(regexp_extract_all(text, '\\p{Latin}')) / nullif(len(regexp_extract_all(text, '\\p{L}')), 0), 6) as residue from documents")
+def script_residue(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(T.residue(F.col("text"), "Latin"), 6).alias("residue"))
+
+
+@query("select event_type, round(sum(value), 4) as seconds, count(*) as runs, round(sum(value) / (select sum(value) from events), 6) as share from events group by event_type")
+def stage_totals(spark, d):
+    t = A.stage_totals(table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
+    return t.select(F.col("stage").alias("event_type"), F.round("seconds", 4).alias("seconds"), "runs", F.round("share", 6).alias("share"))
+
+
+@query("with n as (select user_id, event_type, row_number() over (partition by user_id order by event_id) as sequence, event_id from events), e as (select *, max(case when event_type in ('purchase', 'error') then 1 else 0 end) over (partition by user_id order by sequence rows between unbounded preceding and 1 preceding) as ended from n) select user_id::varchar as execution_id, sequence from e where coalesce(ended, 0) = 0")
+def event_sequence(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("execution_id"), F.col("event_id").alias("ts"), F.when(F.col("event_type") == "purchase", "finish").otherwise(F.col("event_type")).alias("type"), F.col("props").alias("payload"))
+    return S.sequenced_batch(e).select("execution_id", "sequence")
+
+
+@query("with n as (select user_id, row_number() over (partition by user_id order by event_id) as sequence from events) select user_id::varchar as execution_id, sequence from n qualify sequence > max(sequence) over (partition by user_id) - 5")
+def event_bounded_log(spark, d):
+    w = W.Window.partitionBy("user_id").orderBy("event_id")
+    return S.bounded(table(spark, d, "events").select(F.col("user_id").cast("string").alias("execution_id"), F.row_number().over(w).cast("long").alias("sequence")), 5)
+
+
+@query("with recursive t as (select user_id, min(ts) as ts from events group by user_id union all select t.user_id, (select min(e.ts) from events e where e.user_id = t.user_id and epoch_us(e.ts) - epoch_us(t.ts) >= 3600000000) from t where (select min(e.ts) from events e where e.user_id = t.user_id and epoch_us(e.ts) - epoch_us(t.ts) >= 3600000000) is not null) select user_id, ts from t")
+def progress_throttle(spark, d):
+    e = W.throttled(table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), ["user_id"], "ts", 3600.0)
+    return e.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("select p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) as term from part")
+def normalise_term(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.normal_term(F.col("p_name")).alias("term"))
+
+
+@query("with s(name, value) as (values ('a', '5'), ('a_allowed_range', '1..4'), ('b', '2'), ('b_allowed_range', '0..2'), ('c', 'x'), ('c_allowed_range', '0..1'), ('d', '1')) select n.name, case when r.value is null then 'no_range' when try_cast(n.value as double) is null then 'not_a_number' else 'out_of_range' end as fault from s n left join s r on r.name = n.name || '_allowed_range' where n.name not like '%_allowed_range' and (r.value is null or try_cast(n.value as double) is null or try_cast(n.value as double) not between split_part(r.value, '..', 1)::double and split_part(r.value, '..', 2)::double)")
+def config_range_check(spark, d):
+    return R.range_faults(spark.createDataFrame([("a", "5"), ("a_allowed_range", "1..4"), ("b", "2"), ("b_allowed_range", "0..2"), ("c", "x"), ("c_allowed_range", "0..1"), ("d", "1")], "name string, value string"))
+
+
+@query("with e as (select trim(lower(p_brand)) as k, min(p_brand) as source, min(p_partkey) as page from part where p_size <= 5 group by 1), h as (select trim(lower(p_brand)) as k, min(p_brand) as source, min(p_partkey) as page from part where p_size > 20 group by 1) select k, coalesce(e.source, h.source) as source, least(e.page, h.page) as first_page, case when e.source is null then 'harvest' when h.source is null then 'extractor' else 'both' end as origin from e full join h using (k)")
+def merge_terms_priority(spark, d):
+    p = table(spark, d, "part")
+    term = lambda q: q.groupBy("p_brand").agg(F.min("p_partkey").alias("first_page")).select(F.col("p_brand").alias("source"), F.col("p_brand").alias("target"), "first_page")
+    return J.merged_terms(term(p.where("p_size <= 5")), term(p.where("p_size > 20"))).drop("target")
+
+
+@query("with a as (select o_orderkey as k, o_orderstatus || o_orderpriority as digest from orders where o_orderkey % 7 <> 0), b as (select o_orderkey as k, o_orderstatus || case when o_orderkey % 5 = 0 then 'x' else o_orderpriority end as digest from orders where o_orderkey % 11 <> 0) select k, case when a.digest is null then 'added' when b.digest is null then 'removed' else 'altered' end as change from a full join b using (k) where a.digest is distinct from b.digest")
+def changed_digests(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    a = o.where(k % 7 != 0).select(k.alias("k"), F.concat("o_orderstatus", "o_orderpriority").alias("digest"))
+    b = o.where(k % 11 != 0).select(k.alias("k"), F.concat("o_orderstatus", F.when(k % 5 == 0, "x").otherwise(F.col("o_orderpriority"))).alias("digest"))
+    return A.changed(a, b, ["k"])
+
+
+@query("select o_custkey, o_orderkey from (select *, sum(o_totalprice) over (partition by o_custkey) - coalesce(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding), 0) as remaining from orders) where round(remaining, 2) > 500000")
+def evict_least_recent(spark, d):
+    f = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), F.col("o_totalprice").alias("size"))
+    return A.evictable(f, 500_000, "o_custkey").select("o_custkey", F.col("path").alias("o_orderkey"))
+
+
+@query(f"with {LINES}, f as (select *, coalesce(regexp_matches(lag(txt) over w, '\\.{{20,}}'), false) or coalesce(lag(length(txt)) over w < 40, false) or substring(ltrim(txt), 1, 1) in ('•','◦','‣','▪','■','□','●','○','*','-','–','·') as cut from lines window w as (partition by doc_id order by line)) select doc_id, line, sum(cut::int) over (partition by doc_id order by line)::bigint as part from f")
+def paragraph_split(spark, d):
+    t = boxed(spark, d).withColumns({"text": F.col("txt"), "m": F.lit(300.0)})
+    return W.split_paragraphs(t, ["doc_id"], ["line"], "m").select("doc_id", "line", "part")
+
+
+@query(f"with {LINES}, e as (select doc_id, (line * 5)::bigint as step_at, 1 as d from lines union all select doc_id, (line * 5 + least(length(txt), 20) + 1)::bigint, -1 from lines), g as (select doc_id, step_at, sum(d) as d from e group by all) select doc_id, step_at, sum(d) over (partition by doc_id order by step_at)::bigint as depth from g")
+def overlap_histogram(spark, d):
+    lo = F.col("line") * 5.0
+    return W.overlap_histogram(lines(spark, d), ["doc_id"], lo, lo + F.least("n", F.lit(20)), 1.0).select("doc_id", F.col("at").alias("step_at"), "depth")
+
+
+@query(f"with {LINES}, f as (select doc_id, line, length(txt) % 10 as s, first_value(length(txt) % 10) over (partition by doc_id order by line) as s0 from lines), g as (select *, min(case when abs(s - s0) > 4 then line end) over (partition by doc_id) as stop from f) select doc_id, line from g where stop is null or line < stop")
+def leading_run(spark, d):
+    return W.leading_run(lines(spark, d).withColumn("s", F.col("n") % 10), ["doc_id"], "line", "s", 4.0).select("doc_id", "line")
+
+
+@query(f"with recursive {LINES}, n as (select doc_id, line, length(txt) as t, row_number() over (partition by doc_id order by line) as k from lines), b as (select doc_id, line, k, 0::bigint as batch, t as total, 1 as c from n where k = 1 union all select n.doc_id, n.line, n.k, case when b.total > 400 or b.c > 5 then b.batch + 1 else b.batch end, case when b.total > 400 or b.c > 5 then n.t else b.total + n.t end, case when b.total > 400 or b.c > 5 then 1 else b.c + 1 end from b join n on n.doc_id = b.doc_id and n.k = b.k + 1) select doc_id, line, batch from b")
+def bounded_batches(spark, d):
+    return folds.batched(lines(spark, d).select("doc_id", "line", "n"), ["doc_id"], ["line"], "n", 400, 5).select("doc_id", "line", "batch")
+
+
+@query()
+def translation_redistribution(spark, d):
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("m"), F.max_by("text", "turn").alias("translation"))
+    return folds.redistributed(t.select(F.col("conv_id").alias("chain_id"), F.col("m.n").alias("lengths"), "translation"))
+
+
+@query()
+def lossless_sentences(spark, d):
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
+    return t.select("doc_id", F.size("s").alias("n_sentences"), (F.array_join("s", "") == F.col("text")).alias("lossless"))
