@@ -245,7 +245,7 @@ def glossary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("source")).select(F.lower("source").alias("source")).distinct()
 
 
-@query(f"with {GLOSSARY} select doc_id, glossary.source from documents, glossary where contains(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), source)")
+@query(f"with {GLOSSARY} select doc_id, glossary.source from documents, glossary where contains(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), glossary.source)")
 def glossary_contains(spark, d):
     return J.terms_in_texts(table(spark, d, "documents").select("doc_id", "text"), glossary(spark, d)).select("doc_id", "source")
 
