@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 KEY = ["engine", "params", "text"]
 
@@ -41,7 +42,7 @@ def misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def answered(requests: DataFrame, client: Callable[[], Callable[[str], str]], qps: float, text: str = "text", out: str = "translation") -> DataFrame:
     """requests with a client's answers, at `qps` over all partitions; a client is made once a partition."""
     parts = max(1, requests.rdd.getNumPartitions())
-    schema = requests.schema.add(out, "string")
+    schema = StructType([*requests.schema.fields, StructField(out, StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
