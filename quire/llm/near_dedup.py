@@ -24,13 +24,15 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Params:
     """words: of a shingle. percent: of the union that linked sets share at least. bands and rows: of the signature; with
-    40 bands of 5, a pair at 75 % is in no common bucket once in 50,000. block: classes of a bucket that are compared at once."""
+    40 bands of 5, a pair at 75 % is in no common bucket once in 50,000. block, block_shingles: classes of a bucket that are
+    compared at once, and their shingles, about."""
 
     words: int = 5
     percent: int = 75
     bands: int = 40
     rows: int = 5
     block: int = 2048
+    block_shingles: int = 1_000_000
 
 
 class Words:
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
     member = written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "member")
     heads = member.where("doc_id = class").select("doc_id").distinct()
-    hits = full.join(heads, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
+    hits = full.join(heads, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = hits.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     hits = written(hits.join(buckets, "bucket"), "hits")
     stars = hits.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -198,9 +200,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     links = written(stars.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_verified(p.percent), "a long, b long"), "links")
     comps = written(components(links), "comps")
     # What the stars leave open: buckets of three and more classes in several components.
-    placed = hits.where("n > 2").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.col("n") / p.block).cast("int").alias("parts"))
-    left_open = written(placed.join(open_, "bucket"), "open")
+    placed = hits.where("n > 2").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.greatest(F.col("n") / p.block, F.col("size") / p.block_shingles)).cast("int").alias("parts"))
+    left_open = written(placed.drop("n_shingles").join(open_, "bucket"), "open")
     # Each class goes to every pair of its bucket's blocks that its own block is in.
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     spread = left_open.withColumn("part", part).select("bucket", "doc_id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
