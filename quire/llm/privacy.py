@@ -9,11 +9,13 @@ share a surrogate, or a surrogate is itself an entity of the corpus, all but the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +41,28 @@ TITLES = {"mr": "m", "mister": "m", "herr": "m", "monsieur": "m", "señor": "m",
 GENDER = {name.lower(): (script, g) for (script, g), names in GIVEN.items() for name in names}
 
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"',;]{6,128})")
+TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])")
+TOKEN_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"',;]{6,128})")
+NUMBER_START = re.compile(r"[+(\d]")
 NUMBER = re.compile(r"(?<![\w.@/-])(?:(\d{1,3}(?:\.\d{1,3}){3})(?![\w.]*\d)|((?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,5}){1,3}|\+\d{8,14})(?![\w-])|(\d(?:[ -]?\d){12,18})(?![\w-]))")
 DATE = re.compile(r"(?:19|20)\d\d[ .-]\d{1,2}[ .-]\d{1,2}|\d{1,2}[ .-]\d{1,2}[ .-](?:19|20)\d\d")
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΆΈ-Ώ][a-zß-öø-ÿа-яёά-ώ]{1,24}"
-NAME = re.compile(r"(?<!\w)(?:((?i:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r"))\.?\s(" + CAPITAL + r"(?:[ -]" + CAPITAL + r"){0,2})|((?:" + "|".join(sorted({n for v in GIVEN.values() for n in v})) + r") " + CAPITAL + r"))(?!\w)")
+NAME = re.compile(r"(?<!\w)(?:(" + "|".join(sorted((re.escape(f) for t in TITLES for f in {t, t.capitalize(), t.upper()}), key=lambda f: (-len(f), f))) + r")\.?\s(" + CAPITAL + r"(?:[ -]" + CAPITAL + r"){0,2})|((?:" + "|".join(sorted({n for v in GIVEN.values() for n in v})) + r") " + CAPITAL + r"))(?!\w)")
+
+
+@functools.cache
+def named() -> ahocorasick.Automaton:
+    """What any name that is found has: a given name or a title, and what may follow it."""
+    auto = ahocorasick.Automaton()
+    for t in TITLES:
+        for form in {t, t.capitalize(), t.upper()}:
+            for end in " .\t\n":
+                auto.add_word(form + end, 1)
+    for n in {n for names in GIVEN.values() for n in names}:
+        auto.add_word(n + " ", 1)
+    auto.make_automaton()
+    return auto
 
 
 def luhn(digits: str) -> bool:
@@ -68,10 +87,18 @@ def entities(text: str) -> list[Entity]:
     found: list[Entity] = []
     if "@" in text:
         found += [Entity(*m.span(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
-    for m in SECRET.finditer(text):
-        a, b = m.span(1) if m.group(1) else m.span()
-        found.append(Entity(a, b, "secret", text[a:b]))
-    for m in NUMBER.finditer(text):
+    if any(k in text for k in TOKEN_MARKS):
+        found += [Entity(*m.span(), "secret", m.group()) for m in TOKEN.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [Entity(*m.span(1), "secret", m.group(1)) for m in ASSIGNED.finditer(text)]
+    at, start = 0, NUMBER_START.search(text)
+    while start:  # a search for one character first: few places can begin a number
+        at = start.start()
+        m = NUMBER.match(text, at)
+        at = m.end() if m else at + 1
+        start = NUMBER_START.search(text, at)
+        if not m:
+            continue
         digits = re.sub(r"\D", "", m.group())
         if m.group(1):
             if all(int(x) < 256 for x in m.group(1).split(".")):
@@ -80,7 +107,7 @@ def entities(text: str) -> list[Entity]:
             found.append(Entity(*m.span(), "card", digits))
         elif m.group(2) and 8 <= len(digits) <= 15 and not DATE.fullmatch(m.group()):
             found.append(Entity(*m.span(), "phone", ("+" if m.group()[0] == "+" else "") + digits))
-    for m in NAME.finditer(text):
+    for m in NAME.finditer(text) if next(named().iter(text), None) else ():
         a, b = m.span(2) if m.group(2) else m.span(3)
         # A title's gender is part of the form of a name that has no known given name.
         form = " ".join(text[a:b].replace("-", " ").split()).lower()
