@@ -33,6 +33,10 @@ class Params:
     seed: int = 7
 
 
+#: Rows of the table of large cells that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """k-means, started from distinct rows; an empty word stays where it was."""
     x = np.unique(x, axis=0)
@@ -168,7 +172,8 @@ def near_vectors(vectors: DataFrame, p: Params = Params(), vec_id: str = "vec_id
     nothing; so are vectors of different lengths with one another. Of rows that share an id the least counts; rows with a
     null id are left out. Equal vectors of a label are searched for once and count as links to one another.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null")
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"  # half the bytes to shuffle
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(kind).alias("embedding")).where("vec_id is not null")
     rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
     inf = F.lit(float("inf"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf))
@@ -182,18 +187,20 @@ def near_vectors(vectors: DataFrame, p: Params = Params(), vec_id: str = "vec_id
         share = min(1.0, 2 * p.sample / total)
         drawn = own.where(F.xxhash64("vec_id") <= F.lit(-(2**63) + min(2**64 - 1, int(2**64 * share)))).orderBy(F.xxhash64("vec_id")).limit(p.sample).select("embedding").collect()
         index = fit(unit([r.embedding for r in drawn]), total, p)
-        part = own.mapInPandas(_cells(index), "vec_id long, dim int, label string, embedding array<double>, copies long, home long, visits array<long>")
+        part = own.mapInPandas(_cells(index), f"vec_id long, dim int, label string, embedding {kind}, copies long, home long, visits array<long>")
         placed = part if placed is None else placed.unionByName(part)
     if placed is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     placed = written(placed, "placed")
     lives = placed.withColumn("cell", F.col("home")).withColumn("lives", F.lit(True))
     visits = placed.withColumn("cell", F.explode("visits")).withColumn("lives", F.lit(False))
-    # Cells are cut into blocks of residents and of visitors; each of one meets each of the other.
-    sizes = lives.groupBy("dim", "label", "cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias("hs"))
-    guests = visits.groupBy("dim", "label", "cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias("vs"))
-    blocks = sizes.join(guests, ["dim", "label", "cell"])
-    both = lives.unionByName(visits.withColumn("visits", F.array().cast("array<long>"))).join(blocks, ["dim", "label", "cell"])
+    # Large cells are cut into blocks of residents and of visitors; each of one meets each of the other.
+    count = lambda df, name: df.groupBy("dim", "label", "cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias(name))
+    blocks = written(count(lives, "hs").join(count(visits, "vs"), ["dim", "label", "cell"]).where("hs > 1 or vs > 1"), "blocks")
+    if blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
+    both = lives.unionByName(visits.withColumn("visits", F.array().cast("array<long>"))).join(blocks, ["dim", "label", "cell"], "left")
+    both = both.withColumns({"hs": F.coalesce("hs", F.lit(1)), "vs": F.coalesce("vs", F.lit(1))})
     own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("lives"), F.col("hs")).otherwise(F.col("vs"))).cast("int")
     other = F.when(F.col("lives"), F.col("vs")).otherwise(F.col("hs"))
     both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
