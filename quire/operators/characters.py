@@ -160,3 +160,72 @@ def rolled_back(before: DataFrame, after: DataFrame, issues_before: DataFrame, i
     n = lambda df, name: df.groupBy(*page, "kind").agg(F.count("*").alias(name))
     worse = n(issues_after, "_a").join(n(issues_before, "_b"), [*page, "kind"], "left").where(F.col("_a") > F.coalesce("_b", F.lit(0))).select(*page).distinct()
     return after.join(worse, page, "left_anti").unionByName(before.join(worse, page, "left_semi"))
+
+
+def repeats_at(runs: Column) -> Column:
+    """The number of runs (array<string>) after which a heading says the same again; null where it doesn't."""
+    said = lambda part: F.lower(F.regexp_replace(F.array_join(part, ""), r"\s+", ""))
+    n = F.size(runs)
+    cuts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.filter(cuts, lambda k: (said(F.slice(runs, F.lit(1), k)) == said(F.slice(runs, k + 1, n))) & (said(F.slice(runs, F.lit(1), k)) != ""))
+    return F.get(same, F.lit(0))
+
+
+def clustered(chars: DataFrame, page: list[str], order: list[str], share: float = 0.5, reach: float = 1.5, name: str = "line") -> DataFrame:
+    """Characters (x, y, x2, y2) in lines: each goes to the band with which it shares most of its height, `share` of it at
+    least, which grows by it; a band falls apart where no centres are within `reach` mean heights of one another."""
+
+    def number(g: pd.DataFrame) -> list[int]:
+        bands: list[list] = []
+        for i, (lo, hi) in enumerate(zip(g["y"], g["y2"], strict=True)):
+            best = max(((min(hi, b) - max(lo, a)) / (hi - lo) if hi > lo else 0.0, -k) for k, (a, b, _) in enumerate(bands)) if bands else (0.0, 0)
+            if bands and best[0] >= share:
+                band = bands[-best[1]]
+                band[0], band[1] = min(band[0], lo), max(band[1], hi)
+                band[2].append(i)
+            else:
+                bands.append([lo, hi, [i]])
+        cx, cy, n, out = (g["x"] + g["x2"]) / 2, (g["y"] + g["y2"]) / 2, 0, [0] * len(g)
+        for _, _, own in bands:
+            limit = reach * float((g["y2"] - g["y"]).iloc[own].mean())
+            own = sorted(own, key=lambda i: (cx[i], i))
+            group: dict[int, int] = {}
+            for k, i in enumerate(own):
+                near = {group[j] for j in own[:k] if abs(cx[i] - cx[j]) + abs(cy[i] - cy[j]) <= limit}
+                if not near:
+                    group[i] = n
+                    n += 1
+                    continue
+                group[i] = min(near)
+                for j in own[:k]:
+                    if group[j] in near:
+                        group[j] = min(near)
+            for i in own:
+                out[i] = group[i]
+        first: dict[int, int] = {}
+        return [first.setdefault(v, len(first)) for v in out]
+
+    return _numbered(chars, page, order, name, number)
+
+
+def joined_lines(lines: DataFrame, page: list[str], order: list[str], overlap: float = 0.5, gap: float = 2.0) -> DataFrame:
+    """Lines (x, y, x2, y2) joined forward: one that lies within another, or side by side with `overlap` of both heights in
+    common and a gap of `gap` heights at most; boxes grow. `members` has the places of what was joined."""
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for k, r in enumerate(g[[*page, "x", "y", "x2", "y2"]].to_dict("records")):
+            for m in out:
+                high = min(m["y2"], r["y2"]) - max(m["y"], r["y"])
+                tall = max(m["y2"] - m["y"], r["y2"] - r["y"])
+                within = m["x"] <= r["x"] and r["x2"] <= m["x2"] and m["y"] <= r["y"] and r["y2"] <= m["y2"]
+                if within or (high >= overlap * tall > 0 and max(m["x"], r["x"]) - min(m["x2"], r["x2"]) <= gap * tall):
+                    m |= {"x": min(m["x"], r["x"]), "y": min(m["y"], r["y"]), "x2": max(m["x2"], r["x2"]), "y2": max(m["y2"], r["y2"])}
+                    m["members"].append(k)
+                    break
+            else:
+                out.append(r | {"members": [k]})
+        return pd.DataFrame(out)
+
+    kinds = dict(lines.dtypes)
+    return folded(lines, page, order, join, ", ".join([*(f"{c} {kinds[c]}" for c in page), "x double, y double, x2 double, y2 double, members array<long>"]))

@@ -222,3 +222,27 @@ def cmap(data: bytes) -> dict[int, str]:
                 for i, h in zip(range(first, last + 1), re.findall(rb"<([0-9A-Fa-f]+)>", each), strict=False):
                     out[i] = text(h)
     return out
+
+
+def with_forms(ops: DataFrame, forms: DataFrame, key: list[str], deepest: int = 16) -> DataFrame:
+    """Operations (key, seq, operator, operands) with those of named forms (key, name, seq, operator, operands) in place of
+    their Do, forms within forms too. `path` (array<long>) is the order; `inside` the forms around, none of which is drawn
+    again within itself. Past `deepest` levels a Do stays."""
+    rows = ops.select(*key, F.array(F.col("seq").cast("long")).alias("path"), "operator", "operands", F.array().cast("array<string>").alias("inside"))
+    own = forms.select(*key, F.col("name").alias("_name"), F.col("seq").cast("long").alias("_seq"), F.col("operator").alias("_op"), F.col("operands").alias("_args"))
+    known = own.select(*key, F.col("_name").alias("_drawn")).distinct()
+    for _ in range(deepest):
+        name = F.when(F.col("operator") == "Do", F.from_json("operands", "array<string>")[0])
+        calls = rows.withColumn("_drawn", F.when(~F.array_contains("inside", name), name))
+        if not calls.join(known, [*key, "_drawn"], "left_semi").limit(1).count():
+            break
+        met = calls.withColumnRenamed("_drawn", "_name").join(own, [*key, "_name"], "left")
+        got = F.col("_seq").isNotNull()
+        rows = met.select(
+            *key,
+            F.when(got, F.concat("path", F.array("_seq"))).otherwise(F.col("path")).alias("path"),
+            F.when(got, F.col("_op")).otherwise(F.col("operator")).alias("operator"),
+            F.when(got, F.col("_args")).otherwise(F.col("operands")).alias("operands"),
+            F.when(got, F.concat("inside", F.array("_name"))).otherwise(F.col("inside")).alias("inside"),
+        )
+    return rows

@@ -47,3 +47,11 @@ def test_rollback(spark):
     b, a = (spark.createDataFrame([(1, v), (2, v)], "page int, v string") for v in ("old", "new"))
     none, one = spark.createDataFrame([], "page int, kind string"), spark.createDataFrame([(2, "overlap")], "page int, kind string")
     assert {r.page: r.v for r in C.rolled_back(b, a, none, one, ["page"]).collect()} == {1: "new", 2: "old"}
+
+
+def test_repeats_and_lines(spark):
+    r = spark.createDataFrame([(["Big ", "News", "BIG", " news"],), (["a", "b"],), (["a"],)], "r array<string>").select(C.repeats_at(F.col("r")).alias("k")).collect()
+    assert [x.k for x in r] == [2, None, None]
+    c = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 10.0), (1, 1, 6.0, 1.0, 11.0, 11.0), (1, 2, 90.0, 0.0, 95.0, 10.0), (1, 3, 0.0, 40.0, 5.0, 50.0)], "p int, i int, x double, y double, x2 double, y2 double")
+    assert [x.line for x in C.clustered(c, ["p"], ["i"]).orderBy("i").collect()] == [0, 0, 1, 2]
+    assert sorted(x.members for x in C.joined_lines(c, ["p"], ["i"]).collect()) == [[0, 1], [2], [3]]

@@ -90,3 +90,10 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_progress(spark):
     s = spark.createDataFrame([("e", "a", 3.0, 10, 10), ("e", "b", 1.0, 1, 2)], "execution_id string, stage string, weight double, done int, total int")
     assert E.progress(s).first().progress == pytest.approx(87.5)
+
+
+def test_nested_forms(spark):
+    ops = spark.createDataFrame([(1, 0, "q", "[]"), (1, 1, "Do", '["/F"]'), (1, 2, "Do", '["/Image"]')], "page int, seq long, operator string, operands string")
+    forms = spark.createDataFrame([(1, "/F", 0, "a", "[]"), (1, "/F", 1, "Do", '["/G"]'), (1, "/G", 0, "b", "[]"), (1, "/G", 1, "Do", '["/F"]')], "page int, name string, seq long, operator string, operands string")
+    got = [(r.operator, r.path) for r in C.with_forms(ops, forms, ["page"]).orderBy("path").collect()]
+    assert got == [("q", [0]), ("a", [1, 0]), ("b", [1, 1, 0]), ("Do", [1, 1, 1]), ("Do", [2])]
