@@ -46,6 +46,8 @@ class Fit:
     shortest: int = 4
     longest: int = 10
     least_docs: int = 3
+    least_share: float = 0.015
+    covered: float = 0.95
     least_g2: float = 15.0
     terms: int = 2_000
     padding: int = 20
@@ -146,11 +148,13 @@ def learn(sample: DataFrame, fit: Fit = Fit(), text: str = "text", label: str =
     found = (
         sample.mapInArrow(_counted(fit), "term string, a long, b long")
         .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .where((a >= fit.least_docs) & (weight > 1.0))
-        .select("term", weight.alias("weight"), g2.alias("g2")).where(F.col("g2") >= fit.least_g2)
+        .where((a >= max(fit.least_docs, fit.least_share * a_all)) & (weight > 1.0))
+        .select("term", "a", weight.alias("weight"), g2.alias("g2")).where(F.col("g2") >= fit.least_g2)
         .orderBy(F.desc("g2"), "term").limit(fit.terms).collect()
     )
-    model = Model({r.term: r.weight for r in found}, exceptions, 0.0, 0.0, fit.padding)
+    rows = {r.term: r.a for r in found}
+    general = {t[:-1] for t, n in rows.items() if n >= fit.covered * rows.get(t[:-1], 2**62)}
+    model = Model({r.term: r.weight for r in found if r.term not in general}, exceptions, 0.0, 0.0, fit.padding)
     rates = sample.select(toxicity(F.col("text"), model, raw=True).alias("x"), F.col("toxic").cast("int").alias("y")).collect()
     slope, offset = calibrated(np.array([math.log1p(100 * r.x) for r in rates]), np.array([r.y for r in rates], float))
     return Model(model.terms, exceptions, slope, offset, fit.padding)
