@@ -120,6 +120,15 @@ def entities(text: str) -> list[Entity]:
     return out
 
 
+#: Signs that stay between letters or digits of a secret, and those that any other sign becomes.
+SEPARATORS, SIGNS = "-._/+=", "!#$%&*+?^~"
+
+
+def longer(attempt: int) -> int:
+    """Parts that a surrogate is lengthened by: slowly, then with each attempt, so that any number of them finds room."""
+    return attempt // 8 + max(0, attempt - 16)
+
+
 class Draw:
     """A stream of numbers that key, type, form and attempt determine."""
 
@@ -133,20 +142,28 @@ class Draw:
         x, self.pool = int.from_bytes(self.pool[:4]), self.pool[4:]
         return x * n >> 32
 
-    def like(self, text: str, hexadecimal: bool = False) -> str:
-        """Other characters of the same classes; what is neither letter nor digit stays."""
+    def like(self, text: str, hexadecimal: bool = False, signs: bool = False) -> str:
+        """Other characters of the same classes, letters of any script by Latin ones. Signs stay; with `signs` only those
+        of SEPARATORS between two letters or digits do."""
         out = []
-        for c in text:
-            if c.isascii() and c.isalpha():
+        for i, c in enumerate(text):
+            if c.isalpha():
                 alphabet = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
                 x = alphabet[self.below(len(alphabet))]
                 out.append(x.upper() if c.isupper() else x)
             elif c.isdigit():
                 out.append(str(self.below(10)))
+            elif signs and not (c in SEPARATORS and text[i - 1 : i].isalnum() and text[i + 1 : i + 2].isalnum()):
+                out.append(SIGNS[self.below(len(SIGNS))])
             else:
                 out.append(c)
         return "".join(out)
 
+    def more(self, text: str, attempt: int) -> str:
+        """Digits to lengthen a surrogate by, so that draws of a small space find room: at once where text has few letters
+        and digits, else as late as names are lengthened."""
+        return "".join(str(self.below(10)) for _ in range(attempt if sum(map(str.isalnum, text)) < 8 else longer(attempt)))
+
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """The canonical form's replacement, itself in canonical form; names in lower case."""
@@ -157,10 +174,11 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         # A host's surrogate depends on the host alone, and names kept for examples stay.
         same = labels[-2] == "example" or labels[-1] in ("test", "invalid", "example")
         h = Draw(key, "host", host, 0)
-        return d.like(local) + "@" + (host if same else ".".join([*(h.like(x) for x in labels[:-1]), labels[-1]]))
+        return d.like(local) + d.more(local, attempt) + "@" + (host if same else ".".join([*(h.like(x) for x in labels[:-1]), labels[-1]]))
     if kind == "ip":
         a, b, *_ = map(int, canonical.split("."))
-        fixed = [10] if a == 10 else [192, 168] if (a, b) == (192, 168) else [172, 16 + d.below(16)] if a == 172 and 16 <= b < 32 else [127] if a == 127 else []
+        # Past the smaller private ranges' room, the largest one.
+        fixed = [10] if a == 10 or (attempt >= 8 and ((a, b) == (192, 168) or (a == 172 and 16 <= b < 32))) else [192, 168] if (a, b) == (192, 168) else [172, 16 + d.below(16)] if a == 172 and 16 <= b < 32 else [127] if a == 127 else []
         if not fixed:
             first = 11 + d.below(212)
             fixed = [first + (first in (127, 172, 192))]
@@ -172,18 +190,18 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "phone":
         keep = 2 if canonical[0] == "+" else 0
-        return canonical[:keep] + "".join(str(2 + d.below(8)) if i == 0 else str(d.below(10)) for i, _ in enumerate(canonical[keep:]))
+        return canonical[:keep] + "".join(str(2 + d.below(8)) if i == 0 else str(d.below(10)) for i, _ in enumerate(canonical[keep:])) + d.more(canonical, attempt)[: max(0, 15 - len(canonical.lstrip("+")))]
     if kind == "secret":
         head = re.match(r"A[KS]IA(?=[A-Z0-9]{16}$)|gh[pousr]_|sk-", canonical)
         n = head.end() if head else 0
-        return canonical[:n] + d.like(canonical[n:], bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)))
+        return canonical[:n] + d.like(canonical[n:], bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical)), True) + d.more(canonical[n:], attempt)
     title, _, form = canonical.rpartition(":")
     words = form.split()
     script = script_of(form)
     gender = title or canonical_gender(form) or "fm"[d.below(2)]
     given, family = GIVEN[script, gender], FAMILY[script]
     # Past the lists' products, joined family names keep names apart.
-    last = "-".join(family[d.below(len(family))] for _ in range(1 + attempt // 8))
+    last = "-".join(family[d.below(len(family))] for _ in range(1 + longer(attempt)))
     names = [given[d.below(len(given))] for _ in words[:-1]]
     return " ".join([*names, last]).lower()
 
@@ -197,7 +215,7 @@ def shaped(kind: str, original: str, new: str) -> str:
     """The surrogate in the original's dress: its separators and capitals."""
     if kind in ("card", "phone"):
         digits = iter(new.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "name":
         cap = lambda w: "-".join(x[:1].upper() + x[1:] for x in w.split("-"))
         return " ".join(map(cap, new.split()))

@@ -48,6 +48,22 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(out)) == len(out) and not set(out) & set(names)
 
 
+def test_masked_foreign_and_small_spaces_settle(spark):
+    small = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    secrets = ["********", "••••••••", "пароль", "密码密码密码", "!@#$%^&*()", "1-----", "......", "a!!!!!"]
+    lan = [("ip", f"192.168.{i}.{j}") for i in range(1, 160) for j in range(1, 255)]
+    all_ = small + [("secret", x) for x in secrets] + [("phone", "+49123456"), *lan]
+    found = spark.createDataFrame(all_, "kind string, canonical string")
+    again = {(r.kind, r.canonical): r.attempt for r in settle(found, KEY).collect()}
+    out = [surrogate(KEY, k, c, again.get((k, c), 0)) for k, c in all_]
+    assert len(set(out)) == len(out) and not set(out) & {c for _, c in all_}
+    assert all(x.startswith(("192.168.", "10.")) for (k, _), x in zip(all_, out, strict=True) if k == "ip")
+    docs = spark.createDataFrame([(f"password: {x} end",) for x in secrets] + [(f"to {c} end",) for _, c in small], "text string")
+    got = [r.text for r in pseudonymise(docs, KEY).collect()]
+    assert len(got) == len(docs.collect()) and not any(x in t for x in secrets for t in got)
+    assert all(kinds(t) for t in got)
+
+
 def test_coreference_edges_and_both_ways(spark, monkeypatch):
     rows = [(1, "write Ann.B@corp.com or ann.b@corp.com"), (2, None), (3, ""), (None, "ann.b@corp.com"), (1, "write Ann.B@corp.com or ann.b@corp.com"), (4, "clean " * 30000)]
     rows += [(10 + i, f"call +1 (434) 555-{i:04d} or meet Anna Klein") for i in range(30)]
