@@ -43,7 +43,7 @@ GENDER = {name.lower(): (script, g) for (script, g), names in GIVEN.items() for
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])")
 TOKEN_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
-ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"',;]{6,128})")
+ASSIGNED = re.compile(r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([^\s\"',;]{6,})")
 NUMBER_START = re.compile(r"[+(\d]")
 NUMBER = re.compile(r"(?<![\w.@/-])(?:(\d{1,3}(?:\.\d{1,3}){3})(?![\w.]*\d)|((?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,5}){1,3}|\+\d{8,14})(?![\w-])|(\d(?:[ -]?\d){12,18})(?![\w-]))")
 DATE = re.compile(r"(?:19|20)\d\d[ .-]\d{1,2}[ .-]\d{1,2}|\d{1,2}[ .-]\d{1,2}[ .-](?:19|20)\d\d")

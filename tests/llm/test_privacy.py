@@ -48,6 +48,14 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(out)) == len(out) and not set(out) & set(names)
 
 
+def test_long_secrets_are_replaced_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "aB3x" * 150 + ".sig_-" + "Zq9" * 20
+    rows = [f"token = {jwt} end", f"token = {jwt[:-1]}X end", f'secret: "{"k7" * 400}", next']
+    assert [e for r in rows for e in kinds(r)] == [("secret", jwt), ("secret", jwt[:-1] + "X"), ("secret", "k7" * 400)]
+    got = [r.text for r in pseudonymise(spark.createDataFrame([(r,) for r in rows], "text string"), KEY).collect()]
+    assert len({*got}) == 3 and not any(r[i : i + 24] in g for r, g in zip(rows, got, strict=True) for i in range(10, len(r) - 34))
+
+
 def test_masked_foreign_and_small_spaces_settle(spark):
     small = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
     secrets = ["********", "••••••••", "пароль", "密码密码密码", "!@#$%^&*()", "1-----", "......", "a!!!!!"]
