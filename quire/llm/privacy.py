@@ -55,9 +55,10 @@ NAME = re.compile(r"(?<!\w)(?:(" + "|".join(sorted((re.escape(f) for t in TITLES
 def named() -> ahocorasick.Automaton:
     """What any name that is found has: a given name or a title, and what may follow it."""
     auto = ahocorasick.Automaton()
+    ends = [".", *(c for c in map(chr, range(0x10000)) if c.isspace())]  # all white space that a pattern's \s is
     for t in TITLES:
         for form in {t, t.capitalize(), t.upper()}:
-            for end in " .\t\n":
+            for end in ends:
                 auto.add_word(form + end, 1)
     for n in {n for names in GIVEN.values() for n in names}:
         auto.add_word(n + " ", 1)

@@ -56,6 +56,20 @@ def test_long_secrets_are_replaced_whole(spark):
     assert len({*got}) == 3 and not any(r[i : i + 24] in g for r, g in zip(rows, got, strict=True) for i in range(10, len(r) - 34))
 
 
+def test_gate_loses_no_names(monkeypatch):
+    spaces = [c for c in map(chr, range(0x110000)) if re.match(r"\s", c)]
+    texts = [f"avec {t}{c}Dupont ici" for t in ("Mme", "Dr", "Dr.", "prof", "г-н", "KYRIE") for c in [*spaces, "", "x", "-"]]
+    gated = [entities(t) for t in texts]
+    assert sum(map(bool, gated)) == 5 * len(spaces) > 100
+
+    class Open:
+        def iter(self, text):
+            return iter([1])
+
+    monkeypatch.setattr(privacy, "named", Open)
+    assert gated == [entities(t) for t in texts]
+
+
 def test_masked_foreign_and_small_spaces_settle(spark):
     small = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
     secrets = ["********", "••••••••", "пароль", "密码密码密码", "!@#$%^&*()", "1-----", "......", "a!!!!!"]
