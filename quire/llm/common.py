@@ -13,18 +13,37 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the cluster names none."""
+    """The folder that driver and executors share. Where none is set, a temporary one if all tasks run on this machine
+    in the driver's process, else an error: an executor's own disk is not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; sweep() deletes it."""
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written, the last ones behind unread results among them."""
+    _delete(spark, own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: lineage ends and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -44,42 +63,67 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_quire_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(t.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot from so many rows on, or from this share of all rows, so that MOST_HOT keys are hot at most.
+LEAST_HOT, MOST_HOT = 256, 10_000
+
+
+def looked_up(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined to `groups`, which has one row a key and the number of rows of that key in its column n.
+
+    Keys that many rows hold would all go to one task: they are broadcast instead, MOST_HOT of them at most, as each holds
+    more than one in MOST_HOT of `total` rows. Both tables are read twice where there is such a key, so pass written ones.
+    """
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot = groups.where(F.col("n") > limit)
+    if not hot.limit(1).count():
+        return rows.join(groups, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("n") <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def starred(edges: DataFrame) -> bool:
+    """Whether edges (u > v) are stars at their least nodes: each u in one edge, and no v the u of another."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    ends = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
+    return not ends.where("as_u > 1 or (as_u = 1 and as_v = 1)").limit(1).count()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of `links` (a, b: long) reaches.
 
-    Alternates large-star and small-star steps on an edge table of at most one row per link; each step aggregates
-    with map-side minima, so that a node with very many links costs its links and no more, and each result is
-    written in the shared folder. Nothing but one boolean comes to the driver. Links with a null end and loops
-    are ignored; a table without links gives an empty result.
+    Alternates large-star and small-star steps on an edge table of at most one row per link until all components are
+    stars; each step aggregates with map-side minima and looks the minima of nodes with very many links up by broadcast, so
+    that a star's centre is no task of its own. Each result is written in the shared folder, and nothing but booleans and
+    counts comes to the driver. Links with a null end and loops are ignored; a table without links gives an empty result.
+    The number of rounds is logarithmic in the longest path; past `most_rounds` this raises.
     """
     edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(),
         "links",
     )
-    for _ in range(most_rounds):
+    rounds = 0
+    while not starred(edges):
+        rounds += 1
+        if rounds > most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
+        large = looked_up(both, low, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
+        discard(low, edges)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = written(low, "low")
+        small = looked_up(large, low, "u", large.count()).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
         small = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(large)
-        # Both steps keep the set of edges only when every component is a star at its smallest node.
-        moved = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        discard(edges)
+        discard(low, large)
         edges = small
-        if not moved:
-            break
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._quire_path = edges._quire_path  # for discard()
+    return out

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, discard, written
+from quire.llm.common import components, discard, looked_up, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,7 +25,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Params:
     """words: of a shingle. percent: of the union that linked sets share at least. bands and rows: of the signature; with
     40 bands of 5, a pair at 75 % is in no common bucket once in 50,000. block, block_shingles: classes of a bucket that are
-    compared at once, and their shingles, about."""
+    compared at once, and their shingles, about. star: members that are sent to one copy of their head."""
 
     words: int = 5
     percent: int = 75
@@ -33,6 +33,7 @@ class Params:
     rows: int = 5
     block: int = 2048
     block_shingles: int = 1_000_000
+    star: int = 1024
 
 
 class Words:
@@ -99,17 +100,17 @@ def _signed(p: Params, sets: bool):
                 for text in batch.column(1).slice(at, 512):
                     h = shingles(text.as_py(), p.words, words)
                     sizes.append(len(h))
+                    digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     if sets:
                         more.append(h.tobytes())
                     else:
-                        digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                         more.append(band_hashes(h, a, b, p).view(np.int64) if len(h) else np.zeros(0, np.int64))
                 if sets:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(more, pa.binary())], ["doc_id", "h"])
+                    last = pa.array(more, pa.binary())
                 else:
                     ends = np.r_[0, np.cumsum([len(x) for x in more])]
-                    bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "n_shingles", "digest", "bands"])
+                    last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), last], ["doc_id", "n_shingles", "digest", "h" if sets else "bands"])
 
     return run
 
@@ -124,17 +125,22 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(percent: int):
-    """a, b and their sets; leaves the pairs that are linked."""
+    """Rows in order of head and part, each head's set before those of its members; leaves (a, b) of the members linked."""
 
     def run(batches):
+        head, x = None, None
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                n = overlap(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * n >= percent * (len(x) + len(y) - n) and n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b, names, h = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            out = []
+            for i, (u, v, name) in enumerate(zip(a, b, names, strict=True)):
+                y = np.frombuffer(h[i].as_buffer(), np.uint64)
+                if v is None:
+                    head, x = (u, name), y.copy()
+                elif head == (u, name):
+                    n = overlap(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                    if n > 0 and 100 * n >= percent * (len(x) + len(y) - n):
+                        out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in out], pa.int64()), pa.array([q[1] for q in out], pa.int64())], ["a", "b"])
 
     return run
 
@@ -181,39 +187,60 @@ def _blocks(percent: int):
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs with an id.
 
-    Documents without words have an empty set and are linked with nothing. Rows that share an id and a set are one
-    document; rows with a null id are left out. Only ids and texts are read, so that other columns can't clash.
+    Documents without words have an empty set and are linked with nothing. Rows that share an id are one document: it is
+    linked by each of their sets, and each row has its own n_shingles. Rows with a null id are left out. Only ids and texts
+    are read, so that other columns can't clash.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     signed = written(rows.mapInArrow(_signed(p, False), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    # Equal sets are one class, named by its smallest document.
-    full = signed.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    member = written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "member")
-    heads = member.where("doc_id = class").select("doc_id").distinct()
-    hits = full.join(heads, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = hits.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    hits = written(hits.join(buckets, "bucket"), "hits")
-    stars = hits.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sets = written(rows.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_signed(p, True), "doc_id long, h binary").dropDuplicates(["doc_id"]), "sets")
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    links = written(stars.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(_verified(p.percent), "a long, b long"), "links")
-    comps = written(components(links), "comps")
+    # Equal sets are one class, named by its smallest document (`class`); a class is known by id and digest.
+    full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "digest")
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.max("doc_id").alias("last")), "classes")
+    own = signed.where("n_shingles > 0").join(classes.select("digest", F.col("class").alias("doc_id")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    hits = written(own.select("doc_id", "digest", "n_shingles", F.explode("bands").alias("bucket")), "hits")
+    me = F.struct("doc_id", "digest")
+    buckets = written(hits.groupBy("bucket").agg(F.min(me).alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    hits_all, hits = hits, written(looked_up(hits, buckets, "bucket", hits.count()), "hits")
+    stars = hits.where(me != F.col("head")).select("head", "doc_id", "digest", "n_shingles").distinct()
+    wanted = hits.select("doc_id", "digest").distinct()
+    sets = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_signed(p, True), "doc_id long, n_shingles long, digest binary, h binary")
+    sets = written(sets.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "h"), "sets")
+    # A head's members are dealt into parts of bounded size; the head's set goes to each part once, and before its members.
+    stars = written(stars, "stars")
+    parts = stars.groupBy("head").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).select("head", "n", F.ceil(F.greatest(F.col("n") / p.star, F.col("size") / p.block_shingles)).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    members = looked_up(stars, parts, "head", stars.count()).withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), "parts").cast("int")).join(sets, ["doc_id", "digest"])
+    heads = parts.select("head.*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets, ["doc_id", "digest"])
+    sent = members.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.digest").alias("name"), "h", "part").unionByName(
+        heads.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("digest").alias("name"), "h", "part")
+    )
+    sent = sent.repartition("a", "name", "part").sortWithinPartitions("a", "name", "part", F.col("b").asc_nulls_first())
+    links = written(sent.select("a", "b", "name", "h").mapInArrow(_verified(p.percent), "a long, b long").distinct(), "links")
+    # A document of several sets is in all their classes.
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
+    bridges = full.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.where("n > 1"), "digest").where("doc_id != class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+    links = written(links.unionByName(bridges), "links")
+    comps = components(links)
     # What the stars leave open: buckets of three and more classes in several components.
-    placed = hits.where("n > 2").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.ceil(F.greatest(F.col("n") / p.block, F.col("size") / p.block_shingles)).cast("int").alias("parts"))
-    left_open = written(placed.drop("n_shingles").join(open_, "bucket"), "open")
+    placed = hits.where("n > 2").drop("n", "head").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "digest", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+    placed = written(placed, "open")
+    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    open_ = written(open_.select("bucket", "n", F.ceil(F.greatest(F.col("n") / p.block, F.col("size") / p.block_shingles)).cast("int").alias("parts")), "open")
+    left_open = looked_up(placed.drop("n_shingles"), open_, "bucket", placed.count())
     # Each class goes to every pair of its bucket's blocks that its own block is in.
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    spread = left_open.withColumn("part", part).select("bucket", "doc_id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("bucket", "doc_id", "comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") <= F.col("other")).alias("left"))
-    more = spread.join(sets, "doc_id").groupBy("bucket", "x", "y").applyInPandas(_blocks(p.percent), "a long, b long")
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts")).cast("int")
+    spread = left_open.withColumn("part", part).select("bucket", "doc_id", "digest", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("bucket", "doc_id", "digest", "comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") <= F.col("other")).alias("left"))
+    more = spread.join(sets, ["doc_id", "digest"]).groupBy("bucket", "x", "y").applyInPandas(_blocks(p.percent), "a long, b long")
     more = written(more.distinct(), "more")
     if more.limit(1).count():
-        final = written(components(links.unionByName(more)), "comps")
-    else:
-        final = comps
-    component = member.join(final, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("component", "class").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    discard(hits, sets, left_open)
-    out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+        discard(comps)
+        comps = components(links.unionByName(more))
+    # Classes of one document are that document's; only the others are looked up.
+    named = written(classes.where("class != last").join(comps, F.col("class") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "class").alias("component")), "named")
+    copies = looked_up(full.select("doc_id", "digest"), named, "digest", signed.count()).groupBy("doc_id").agg(F.min("component").alias("of_copies"))
+    out = signed.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left").join(copies, "doc_id", "left")
+    component = F.least(F.coalesce("component", "doc_id"), F.coalesce("of_copies", "doc_id"))
+    out = written(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "near")
+    discard(signed, classes, hits_all, buckets, hits, stars, sets, parts, links, comps, placed, open_, more, named)
+    return out

@@ -71,3 +71,43 @@ def test_block_links_find_every_joined_pair():
 def test_shingles():
     w = Words()
     assert len(shingles("a b c d e f a b c d e", 5, w)) == 7 - 1 and len(shingles("a b", 5, w)) == 1 and not len(shingles(" ", 5, w))
+
+
+def test_rows_that_share_an_id_are_linked_by_each_set(spark):
+    rng = random.Random(12)
+    a, b = ([["".join(rng.choices("abcdef", k=5)) for _ in range(200)] for _ in range(2)])
+    like = lambda t: " ".join([*t[:190], *["new"] * 3])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, like(a)), (3, like(b)), (4, " ".join(a)), (6, "alone"), (6, "by itself"), (6, "alone")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert {d: c for (d, _), c in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6} and len(got) == 5
+    # A document of two classes joins them.
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join(a)), (3, " ".join(b)), (7, like(b))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 2, 3: 2, 5: 2, 7: 2}
+
+
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rng = random.Random(13)
+    base = ["".join(rng.choices("abcdef", k=5)) for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(10, 60)] + [(i, " ".join([*base[:110], f"tail{i}"])) for i in range(100, 160)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Params(star=7)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in brute(rows).items()}
+
+
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    try:
+        common.components(spark.createDataFrame(links, "a long, b long"), most_rounds=1)
+    except RuntimeError:
+        return
+    raise AssertionError("the limit of rounds must raise")
