@@ -74,7 +74,7 @@ def partitions(spark: SparkSession) -> int:
 LEAST_HOT, MOST_HOT = 256, 10_000
 
 
-def looked_up(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, groups: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """`rows` joined to `groups`, which has one row a key and the number of rows of that key in its column n.
 
     Keys that many rows hold would all go to one task: they are broadcast instead, MOST_HOT of them at most, as each holds
@@ -84,7 +84,7 @@ def looked_up(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataF
     hot = groups.where(F.col("n") > limit)
     if not hot.limit(1).count():
         return rows.join(groups, key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col("n") <= limit), key)
+    cold = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(groups.where(F.col("n") <= limit), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 

@@ -89,7 +89,7 @@ def band_hashes(h: np.ndarray, a: np.ndarray, b: np.ndarray, p: Params) -> np.nd
 
 
 def _signed(p: Params, sets: bool):
-    """doc_id, n_shingles, digest of the set, then its bands, or (sets) the set itself."""
+    """doc_id, n_shingles, digest of the set in two halves, then its bands, or (sets) the set itself."""
 
     def run(batches):
         words, (a, b) = Words(), permutations(p)
@@ -110,7 +110,8 @@ def _signed(p: Params, sets: bool):
                 else:
                     ends = np.r_[0, np.cumsum([len(x) for x in more])]
                     last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(more) if more else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), last], ["doc_id", "n_shingles", "digest", "h" if sets else "bands"])
+                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), last], ["doc_id", "n_shingles", "d1", "d2", "h" if sets else "bands"])
 
     return run
 
@@ -130,13 +131,13 @@ def _verified(percent: int):
     def run(batches):
         head, x = None, None
         for batch in batches:
-            a, b, names, h = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            a, b, tags, h = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
             out = []
-            for i, (u, v, name) in enumerate(zip(a, b, names, strict=True)):
+            for i, (u, v, tag) in enumerate(zip(a, b, tags, strict=True)):
                 y = np.frombuffer(h[i].as_buffer(), np.uint64)
                 if v is None:
-                    head, x = (u, name), y.copy()
-                elif head == (u, name):
+                    head, x = (u, tag), y.copy()
+                elif head == (u, tag):
                     n = overlap(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                     if n > 0 and 100 * n >= percent * (len(x) + len(y) - n):
                         out.append((u, v))
@@ -192,55 +193,62 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     are read, so that other columns can't clash.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    signed = written(rows.mapInArrow(_signed(p, False), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    # Equal sets are one class, named by its smallest document (`class`); a class is known by id and digest.
-    full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.max("doc_id").alias("last")), "classes")
-    own = signed.where("n_shingles > 0").join(classes.select("digest", F.col("class").alias("doc_id")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    hits = written(own.select("doc_id", "digest", "n_shingles", F.explode("bands").alias("bucket")), "hits")
-    me = F.struct("doc_id", "digest")
-    buckets = written(hits.groupBy("bucket").agg(F.min(me).alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    hits_all, hits = hits, written(looked_up(hits, buckets, "bucket", hits.count()), "hits")
-    stars = hits.where(me != F.col("head")).select("head", "doc_id", "digest", "n_shingles").distinct()
-    wanted = hits.select("doc_id", "digest").distinct()
-    sets = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_signed(p, True), "doc_id long, n_shingles long, digest binary, h binary")
-    sets = written(sets.join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", "h"), "sets")
+    signed = written(rows.mapInArrow(_signed(p, False), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signed")
+    # Equal sets are one class, named by its smallest document. A class is known by that id and a tag, which tells an id's
+    # sets apart: 0 where it has one, else half of the set's digest.
+    digest = ["d1", "d2"]
+    full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", *digest)
+    classes = written(full.groupBy(*digest).agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.max("doc_id").alias("last")), "classes")
+    several = written(full.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo != hi").select("doc_id", F.lit(True).alias("several")), "several")
+    tag = F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0).cast("long")).alias("tag")
+    own = signed.where("n_shingles > 0").join(classes.select(*digest, F.col("class").alias("doc_id")), ["doc_id", *digest], "left_semi")
+    own = written(own.join(several, "doc_id", "left").select("doc_id", tag, "n_shingles", "bands").dropDuplicates(["doc_id", "tag"]), "own")
+    hits = own.select("doc_id", "tag", "n_shingles", F.explode("bands").alias("bucket"))
+    # Most classes are alone in their buckets: these go before anything else is asked of them.
+    met = written(hits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    hits = written(looked_up(hits, met, "bucket", own.count() * p.bands), "hits")
+    n_hits, me = hits.count(), F.struct("doc_id", "tag")
+    buckets = written(hits.groupBy("bucket").agg(F.min(me).alias("head"), F.count("*").alias("n")), "buckets")
+    stars = looked_up(hits.drop("n"), buckets, "bucket", n_hits).where(me != F.col("head"))
+    stars = written(stars.select("head", "doc_id", "tag", "n_shingles").distinct(), "stars")
+    wanted = hits.select("doc_id", "tag").distinct()
+    sets = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_signed(p, True), "doc_id long, n_shingles long, d1 long, d2 long, h binary")
+    sets = sets.join(several, "doc_id", "left").select("doc_id", tag, "h").join(wanted, ["doc_id", "tag"], "left_semi")
+    sets = written(sets.dropDuplicates(["doc_id", "tag"]), "sets")
     # A head's members are dealt into parts of bounded size; the head's set goes to each part once, and before its members.
-    stars = written(stars, "stars")
     parts = stars.groupBy("head").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).select("head", "n", F.ceil(F.greatest(F.col("n") / p.star, F.col("size") / p.block_shingles)).cast("int").alias("parts"))
     parts = written(parts, "parts")
-    members = looked_up(stars, parts, "head", stars.count()).withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), "parts").cast("int")).join(sets, ["doc_id", "digest"])
-    heads = parts.select("head.*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets, ["doc_id", "digest"])
-    sent = members.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.digest").alias("name"), "h", "part").unionByName(
-        heads.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("digest").alias("name"), "h", "part")
+    members = looked_up(stars, parts, "head", stars.count()).withColumn("part", F.pmod(F.xxhash64("doc_id", "tag"), "parts").cast("int")).join(sets, ["doc_id", "tag"])
+    heads = parts.select("head.*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets, ["doc_id", "tag"])
+    sent = members.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.tag").alias("tag"), "h", "part").unionByName(
+        heads.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "tag", "h", "part")
     )
-    sent = sent.repartition("a", "name", "part").sortWithinPartitions("a", "name", "part", F.col("b").asc_nulls_first())
-    links = written(sent.select("a", "b", "name", "h").mapInArrow(_verified(p.percent), "a long, b long").distinct(), "links")
+    sent = sent.repartition("a", "tag", "part").sortWithinPartitions("a", "tag", "part", F.col("b").asc_nulls_first())
+    links = sent.select("a", "b", "tag", "h").mapInArrow(_verified(p.percent), "a long, b long").distinct()
     # A document of several sets is in all their classes.
-    several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("doc_id")
-    bridges = full.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.where("n > 1"), "digest").where("doc_id != class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
-    links = written(links.unionByName(bridges), "links")
+    bridges = full.join(several, "doc_id", "left_semi").select("doc_id", *digest).distinct().join(classes.where("n > 1"), digest).where("doc_id != class")
+    links = written(links.unionByName(bridges.select(F.col("class").alias("a"), F.col("doc_id").alias("b"))), "links")
     comps = components(links)
     # What the stars leave open: buckets of three and more classes in several components.
-    placed = hits.where("n > 2").drop("n", "head").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "digest", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+    placed = hits.where("n > 2").drop("n").join(comps, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "tag", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
     placed = written(placed, "open")
     open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     open_ = written(open_.select("bucket", "n", F.ceil(F.greatest(F.col("n") / p.block, F.col("size") / p.block_shingles)).cast("int").alias("parts")), "open")
     left_open = looked_up(placed.drop("n_shingles"), open_, "bucket", placed.count())
     # Each class goes to every pair of its bucket's blocks that its own block is in.
-    part = F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts")).cast("int")
-    spread = left_open.withColumn("part", part).select("bucket", "doc_id", "digest", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("bucket", "doc_id", "digest", "comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") <= F.col("other")).alias("left"))
-    more = spread.join(sets, ["doc_id", "digest"]).groupBy("bucket", "x", "y").applyInPandas(_blocks(p.percent), "a long, b long")
+    part = F.pmod(F.xxhash64("doc_id", "tag"), F.col("parts")).cast("int")
+    spread = left_open.withColumn("part", part).select("bucket", "doc_id", "tag", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("bucket", "doc_id", "tag", "comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") <= F.col("other")).alias("left"))
+    more = spread.join(sets, ["doc_id", "tag"]).groupBy("bucket", "x", "y").applyInPandas(_blocks(p.percent), "a long, b long")
     more = written(more.distinct(), "more")
     if more.limit(1).count():
         discard(comps)
         comps = components(links.unionByName(more))
     # Classes of one document are that document's; only the others are looked up.
-    named = written(classes.where("class != last").join(comps, F.col("class") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "class").alias("component")), "named")
-    copies = looked_up(full.select("doc_id", "digest"), named, "digest", signed.count()).groupBy("doc_id").agg(F.min("component").alias("of_copies"))
+    named = written(classes.where("class != last").join(comps, F.col("class") == F.col("node"), "left").select(*digest, "n", F.coalesce("component", "class").alias("component")), "named")
+    copies = looked_up(full.select("doc_id", *digest), named, digest, signed.count()).groupBy("doc_id").agg(F.min("component").alias("of_copies"))
     out = signed.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left").join(copies, "doc_id", "left")
     component = F.least(F.coalesce("component", "doc_id"), F.coalesce("of_copies", "doc_id"))
     out = written(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "near")
-    discard(signed, classes, hits_all, buckets, hits, stars, sets, parts, links, comps, placed, open_, more, named)
+    discard(signed, classes, several, own, met, hits, buckets, stars, sets, parts, links, comps, placed, open_, more, named)
     return out

@@ -102,9 +102,9 @@ def test_components_of_paths_and_stars(spark, monkeypatch):
     from quire.llm import common
 
     monkeypatch.setattr(common, "LEAST_HOT", 3)
-    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    links = [(i, i + 1) for i in range(1, 12)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
+    assert got == {**{i: 1 for i in range(1, 13)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
     try:
         common.components(spark.createDataFrame(links, "a long, b long"), most_rounds=1)
