@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import discard, written
@@ -31,6 +31,8 @@ BEFORE = GRAMS - 1
 ENTRY = WIDTH + BEFORE + 2
 #: Bytes of text of a block and of the slabs in which a block is scanned.
 BLOCK, SLAB = 4 << 20, 1 << 18
+#: Anchors whose strings are made at once.
+FOLD = 1 << 14
 M1, M2, M3 = 0x100000001B3, np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 LAST = np.int64(2**63 - 1)
 
@@ -110,18 +112,25 @@ class Block:
         for a, b in alike(bucket[order]):
             yield int(bucket[order[a]]), order[a:b]
 
-    def entries(self, which: np.ndarray) -> np.ndarray:
-        """The strings (a row each) at the anchors `which`."""
+    def entries(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings (a row each) at the anchors `which`, and each anchor's row. Equal strings of FOLD neighbouring anchors
+        are one row, so that a text that repeats a few bytes takes few rows, though all its bytes may be anchors."""
         data = np.frombuffer(b"".join(self.texts) + bytes(WIDTH), np.uint8)
-        pos, doc = self.pos[which], self.doc[which]
-        right, left = np.minimum(WIDTH, self.ends[doc] - pos), np.minimum(BEFORE, pos - self.starts[doc])
-        out = np.zeros((len(pos), ENTRY), np.uint8)
-        on, back = np.arange(WIDTH), np.arange(BEFORE)
-        out[:, :WIDTH] = np.where(on < right[:, None], data[pos[:, None] + on], 0)
-        out[:, WIDTH] = right + 1
-        out[:, WIDTH + 1 : -1] = np.where(back < left[:, None], data[np.maximum(pos[:, None] - 1 - back, 0)], 0)
-        out[:, -1] = left + 1
-        return out
+        on, back = np.arange(WIDTH, dtype=np.int32), np.arange(BEFORE, dtype=np.int32)
+        found, of, n = [np.zeros((0, ENTRY), np.uint8)], [np.zeros(0, np.int64)], 0
+        for k in range(0, len(which), FOLD):
+            pos, doc = self.pos[which[k : k + FOLD]], self.doc[which[k : k + FOLD]]
+            right, left = np.minimum(WIDTH, self.ends[doc] - pos), np.minimum(BEFORE, pos - self.starts[doc])
+            out = np.zeros((len(pos), ENTRY), np.uint8)
+            out[:, :WIDTH] = np.where(on < right[:, None], data[pos[:, None] + on], 0)
+            out[:, WIDTH] = right + 1
+            out[:, WIDTH + 1 : -1] = np.where(back < left[:, None], data[np.maximum(pos[:, None] - 1 - back, 0)], 0)
+            out[:, -1] = left + 1
+            rows, inverse = np.unique(out.view(f"S{ENTRY}").ravel(), return_inverse=True)  # no row ends in a zero byte
+            found.append(rows.view(np.uint8).reshape(-1, ENTRY))
+            of.append(inverse + n)
+            n += len(rows)
+        return np.concatenate(found), np.concatenate(of)
 
 
 def prefixes(rows: np.ndarray) -> np.ndarray:
@@ -283,23 +292,31 @@ def _runs(buckets: int):
                 range_of[i] = bucket
                 shared[i] = np.unpackbits(np.frombuffer(said[bucket], np.uint8), count=len(i)) > 0
             which = np.flatnonzero(shared[b.of])
-            rows, bucket, doc, pos = b.entries(which), range_of[b.of[which]], b.docs[b.doc[which]], b.pos[which]
+            (rows, of), doc, pos = b.entries(which), b.docs[b.doc[which]], b.pos[which]
+            bucket = np.zeros(len(rows), np.int64)
+            bucket[of] = range_of[b.of[which]]  # equal strings begin with one gram
             order = np.argsort(rows.view(f"S{ENTRY}").ravel(), kind="stable")
             order = order[np.argsort(bucket[order], kind="stable")]
-            rows, bucket, doc, pos = rows[order], bucket[order], doc[order], pos[order]
+            rows, bucket = rows[order], bucket[order]
             new = np.r_[True, (rows[1:] != rows[:-1]).any(1) | (bucket[1:] != bucket[:-1])] if len(rows) else np.zeros(0, bool)
-            entry = np.cumsum(new) - 1
-            least = doc[new]  # rows of a block ascend by document, and the sorts keep that order
+            entry = np.empty(len(rows), np.int64)
+            entry[order] = np.cumsum(new) - 1
+            entry, rows, bucket = entry[of], rows[new], bucket[new]
+            least = np.full(len(rows), LAST)
+            np.minimum.at(least, entry, doc)
             local = doc > least[entry]
-            right, left = rows[:, WIDTH].astype(np.int64) - 1, rows[:, -1].astype(np.int64) - 1
+            right, left = (rows[:, WIDTH].astype(np.int64) - 1)[entry], (rows[:, -1].astype(np.int64) - 1)[entry]
             all_of_it = local & (right + left >= WIDTH)
             start, end = joined((pos - left)[all_of_it], (pos + right)[all_of_it])
             if len(start):
                 out.append((block % buckets, block, None, None, None, None, None, start.astype(np.uint32).tobytes(), end.astype(np.uint32).tobytes()))
+            own = np.flatnonzero(~local)
+            own = own[np.argsort(entry[own], kind="stable")]
+            edge = np.searchsorted(entry[own], np.arange(len(rows) + 1))
             for a, z in alike(bucket):
-                lcp, rest = coded(rows[a:z][new[a:z]])
-                own = ~local[a:z]
-                out.append((int(bucket[a]), block, lcp, rest, least[entry[a] : entry[z - 1] + 1].tobytes(), (entry[a:z][own] - entry[a]).astype(np.uint32).tobytes(), pos[a:z][own].astype(np.uint32).tobytes(), None, None))
+                lcp, rest = coded(rows[a:z])
+                mine = own[edge[a] : edge[z]]
+                out.append((int(bucket[a]), block, lcp, rest, least[a:z].tobytes(), (entry[mine] - a).astype(np.uint32).tobytes(), pos[mine].astype(np.uint32).tobytes(), None, None))
         return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.int64() if j < 2 else pa.binary()) for j in range(9)], names)
 
     return run
@@ -336,9 +353,11 @@ def _spans(table: pa.Table) -> pa.Table:
             base += n
             hit = own > 0
             if hit.any():
-                own, pos = own[hit], pos[hit]
-                i, d = np.nonzero(own[:, None] >> np.arange(BEFORE + 1, dtype=np.uint64) & np.uint64(1))
-                start, end = joined(pos[i] - d, pos[i] - d + WIDTH)
+                own, pos, some = own[hit], pos[hit], []
+                for k in range(0, len(own), FOLD):
+                    i, d = np.nonzero(own[k : k + FOLD, None] >> np.arange(BEFORE + 1, dtype=np.uint64) & np.uint64(1))
+                    some.append(joined(pos[k + i] - d, pos[k + i] - d + WIDTH))
+                start, end = joined(*(np.concatenate(x) for x in zip(*some, strict=True)))
                 out.append((r["block"], start.astype(np.uint32).tobytes(), end.astype(np.uint32).tobytes()))
     return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.int64() if not j else pa.binary()) for j in range(3)], ["block", "start", "finish"])
 
@@ -364,16 +383,26 @@ def _removed(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array([len(t) for t in b.texts], pa.int64()), pa.array(parts, spans_type), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
+def placed(doc_id: str, text: str, blocks: int, block_bytes: int) -> Column:
+    """A row's block: one of `blocks` by its hash, and past these numbers one of its own for a text of half a block."""
+    h = F.xxhash64(doc_id, text)
+    return F.when(F.octet_length(text) * 2 >= block_bytes, blocks + F.pmod(h, F.lit(1 << 40))).otherwise(F.pmod(h, F.lit(blocks)))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of docs: what was removed (byte offsets) and the bytes that stay.
 
     A null text is empty. Rows that share an id don't count as earlier to one another; a null id is later than all
-    others. A text longer than a block is a block of its own. Only ids and texts are read, so other columns can't clash.
+    others. Texts of half a block and more are blocks of their own; rows of one id and text share a block, a copy each.
+    Only ids and texts are read, so other columns can't clash.
+
+    A block sends its anchors in as many messages as there are ranges, but never more than it has anchors, so that messages
+    grow with the square of the blocks at first and with the anchors at most.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
+    by_block = rows.withColumn("block", placed("doc_id", "text", blocks, block_bytes))
     hashes = by_block.groupBy("block").applyInArrow(_hashes(blocks), "bucket long, block long, hashes binary, several binary")
     bits = written(hashes.groupBy("bucket").applyInArrow(_shared, "bucket long, block long, bits binary"), "bits")
     runs = by_block.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_runs(blocks), RUN)

@@ -69,3 +69,32 @@ def test_equals_brute_force_on_pieces(spark):
     for size in (1 << 22, 3000):
         assert digest(remove_repeats(docs, block_bytes=size).collect()) == brute(rows)
     assert remove_repeats(docs.where("false")).count() == 0
+
+
+def test_periodic_text_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quire.llm import suffix_dedup as S
+
+    text = "a" * (2 << 20)
+    docs = pa.table({"doc_id": [1, 2], "text": [text, "ab" * 500 + "a" * 300], "block": pa.array([0, 0], pa.int64())})
+    tracemalloc.start()
+    hashes = S._hashes(1)(docs)
+    runs = S._runs(1)(docs, S._shared(hashes))
+    S._spans(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20, peak
+
+
+def test_long_texts_are_blocks_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.suffix_dedup import placed
+
+    rows = spark.createDataFrame([(i % 3, ("t%d " % i) * 400) for i in range(12)] + [(None, "short"), (1, None)], "doc_id long, text string")
+    got = rows.withColumn("b", placed("doc_id", "text", 4, 2000)).select("b", F.length("text").alias("n")).collect()
+    long = [r.b for r in got if (r.n or 0) >= 1000]
+    assert len(set(long)) == len(long) == 12 and min(long) >= 4 and all(r.b < 4 for r in got if (r.n or 0) < 1000)
