@@ -23,11 +23,15 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: texts of each language that are learnt from at most, those of least hash. landmarks: of each language at most.
-    bits: n-grams are hashed to 2**bits features. longest: letters of the longest n-gram. ridge: of the regression."""
+    """rows: texts of each language that are learnt from at most, those of least hash; all_rows: of all languages together.
+    landmarks, all_landmarks: the same for landmarks. languages: learnt at most, those of most rows. bits: n-grams are hashed
+    to 2**bits features. longest: letters of the longest n-gram. ridge: of the regression."""
 
     rows: int = 400
+    all_rows: int = 8192
     landmarks: int = 64
+    all_landmarks: int = 768
+    languages: int = 512
     bits: int = 15
     longest: int = 3
     ridge: float = 1e-4
@@ -67,27 +71,36 @@ def presence(text: Column, fit: Fit) -> Column:
 def learn(labelled: DataFrame, fit: Fit = Fit(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model from a bounded sample of rows of each language (see Fit). Rows with a null text or language are ignored.
 
-    What comes to the driver are about twice `rows` presence vectors of 2**bits bits a language, whatever the texts' lengths.
+    What comes to the driver are about twice all_rows presence vectors of 2**bits bits, whatever the number of languages
+    and the texts' lengths.
     """
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    # Hashes are even, so those below this edge are twice as many as are wanted; all of a small language.
-    edges = {g: -(2**63) + min(2**64 - 1, 2**64 * 2 * fit.rows // n) for g, n in sizes.items()}
-    if not edges:
+    spark = labelled.sparkSession
+    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.languages).collect()}
+    if not sizes:
         return Model((), np.zeros((1 << fit.bits, 0), np.float32), fit)
-    below = F.lit(False)
-    for g, edge in edges.items():
-        below = below | ((F.col("lang") == g) & (F.col("h") <= edge))
-    rows = known.where(below).select("lang", "h", presence(F.col("text"), fit).alias("x")).collect()
-    languages = tuple(sorted(sizes))
-    rows = [r for g in languages for r in sorted((r for r in rows if r.lang == g), key=lambda r: r.h)[: fit.rows]]
-    X = np.unpackbits(np.frombuffer(b"".join(r.x for r in rows), np.uint8)).reshape(len(rows), -1).astype(np.float32)
-    X /= np.sqrt(np.maximum(X.sum(1, keepdims=True), 1))
-    Y = np.array([[1.0 if r.lang == g else -1.0 for g in languages] for r in rows])
-    chosen = [i for g in languages for i in [j for j, r in enumerate(rows) if r.lang == g][: fit.landmarks]]
-    L = X[chosen]
-    knm, kmm = (X @ L.T).astype(float), (L @ L.T).astype(float)
-    dual = np.linalg.lstsq(knm.T @ knm + fit.ridge * len(rows) * kmm + 1e-9 * np.eye(len(chosen)), knm.T @ Y, rcond=None)[0]
+    each, marks = max(1, min(fit.rows, fit.all_rows // len(sizes))), max(1, min(fit.landmarks, fit.all_landmarks // len(sizes)))
+    # Hashes are even, so those below this edge are twice as many as are wanted; all of a small language.
+    edges = [(g, -(2**63) + min(2**64 - 1, 2**64 * 2 * each // n)) for g, n in sizes.items()]
+    edges = F.broadcast(spark.createDataFrame(edges, "lang string, edge long"))
+    rows = known.join(edges, "lang").where("h <= edge").select("lang", "h", presence(F.col("text"), fit).alias("x")).collect()
+    own: dict[str, list] = {g: [] for g in sorted(sizes)}
+    for r in sorted(rows, key=lambda r: (r.h, r.x)):
+        if len(own[r.lang]) < each:
+            own[r.lang].append(r.x)
+    languages = tuple(own)
+    packed = [x for g in languages for x in own[g]]
+
+    def unit(part: list[bytes]) -> np.ndarray:
+        X = np.unpackbits(np.frombuffer(b"".join(part), np.uint8)).reshape(len(part), -1).astype(np.float32)
+        return X / np.sqrt(np.maximum(X.sum(1, keepdims=True), 1))
+
+    L = unit([x for g in languages for x in own[g][:marks]])
+    knm = np.concatenate([unit(packed[k : k + 256]) @ L.T for k in range(0, len(packed), 256)]).astype(float)
+    of = np.repeat(np.arange(len(languages)), [len(own[g]) for g in languages])
+    Y = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    kmm = (L @ L.T).astype(float)
+    dual = np.linalg.lstsq(knm.T @ knm + fit.ridge * len(packed) * kmm + 1e-9 * np.eye(len(L)), knm.T @ Y, rcond=None)[0]
     return Model(languages, (L.T @ dual.astype(np.float32)), fit)
 
 
