@@ -10,6 +10,7 @@ ten below the least score; unknown characters fall back to their bytes, a token
 from __future__ import annotations
 
 import functools
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+#: Marks and what follows them.
+RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: What an unknown character costs below the least score of the vocabulary (fixed by the tokenizer).
 UNKNOWN = 10.0
 #: Words that a worker remembers.
@@ -33,6 +36,8 @@ class Counter:
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min(s for _, s in pieces) - UNKNOWN
         self.bytes_known = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
+        # No piece goes from another character into a mark, so that no path crosses such a place and texts may be cut there.
+        self.cuts = SPACE in self.single and not any(p[i] == SPACE != p[i - 1] for p, _ in pieces for i in range(1, len(p)))
         self.count: dict[str, int] = {}
         self.score: dict[str, float] = {}
 
@@ -65,12 +70,15 @@ class Counter:
         return count[size], score[size]
 
     def text(self, text: str | None) -> tuple[int, float]:
-        """(tokens, score) of a whole text: spaces become marks, and each mark begins a word."""
+        """(tokens, score) of a whole text: spaces become marks, and a text begins with one."""
         if not text:
             return 0, 0.0
-        words = text.replace(SPACE, " ").split(" ")
-        if not words[0] and len(words) > 1:
-            del words[0]
+        text = text.replace(" ", SPACE)
+        if text[0] != SPACE:
+            text = SPACE + text
+        if not self.cuts:
+            return self.word(text)
+        words = RUNS.findall(text) if SPACE * 2 in text else [SPACE + w for w in text[1:].split(SPACE)]
         count, score = self.count, self.score
         new = {w for w in words if w not in count}
         if new:
@@ -79,7 +87,7 @@ class Counter:
                 score.clear()
                 new = set(words)
             for w in new:
-                count[w], score[w] = self.word(SPACE + w)
+                count[w], score[w] = self.word(w)
         return sum(map(count.__getitem__, words)), sum(map(score.__getitem__, words))
 
 

@@ -11,7 +11,7 @@ PATH = P.path("piece_bpe_32k.model")
 
 def library(pieces, fallback):
     t = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=fallback))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     return t
 
 
@@ -19,7 +19,7 @@ def test_counts_equal_the_library():
     pieces = read_pieces(PATH)
     ours, theirs = Counter(pieces), library(pieces, True)
     rng = random.Random(5)
-    texts = ["", " ", "  two  spaces ", "▁marks▁ in", "a\nb\tc", "漢字 🎉🎉 ́", "x" * 500, "the quick brown fox"]
+    texts = ["", " ", "  two  spaces ", "▁marks▁ in", "a\nb\tc", "漢字 🎉🎉 ́", "x" * 500, "the quick brown fox", "    indented     text", "a    b", "▁▁x ▁ y", " " * 70, "end   "]
     texts += ["".join(rng.choices("abcdeéß漢🎉 \n'1.▁", k=rng.randint(1, 80))) for _ in range(500)]
     for t in texts:
         assert ours.text(t)[0] == len(theirs.encode(t, add_special_tokens=False).ids), t
