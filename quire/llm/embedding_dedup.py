@@ -22,13 +22,17 @@ from quire.llm.common import components, written
 @dataclass(frozen=True)
 class Params:
     """least: cosine of linked vectors. recall: share of planted neighbours at that cosine that the visited cells hold.
-    sample: vectors that codebooks are fitted on at most. words: codewords of a half at most, and they grow with the root
-    of the table. block: vectors of a cell that are compared at once."""
+    words: codewords of a half at most, and they grow with the root of the table, so that a cell holds about `cell` vectors
+    up to words**2 * cell of them. sample: vectors that codebooks are fitted on at least, or 16 a codeword (65,536 at most).
+    exact: vectors of a length that are compared without an index, as one cell. block: vectors of a cell that are compared
+    at once."""
 
     least: float = 0.93
     recall: float = 0.995
     sample: int = 8192
-    words: int = 256
+    words: int = 4096
+    cell: int = 200
+    exact: int = 500
     block: int = 4096
     seed: int = 7
 
@@ -89,14 +93,19 @@ class Index:
 
 def unit(rows) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows])
+    x /= np.abs(x).max(1, keepdims=True)  # squares of very large and very small components would not fit
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def codewords(total: int, p: Params) -> int:
+    return int(min(p.words, max(2, round((total / p.cell) ** 0.5))))
+
+
 def fit(sample: np.ndarray, total: int, p: Params) -> Index:
     """Codebooks from unit vectors, and the number of cells to visit, from planted neighbours of up to 1,000 of them."""
     rng = np.random.default_rng(p.seed)
     cut = sample.shape[1] // 2
-    k = int(min(p.words, max(2, round((total / 200) ** 0.5))))
+    k = codewords(total, p)
     index = Index(codebook(sample[:, :cut], k, rng), codebook(sample[:, cut:], k, rng), 1)
     q = sample[rng.permutation(len(sample))[:1000]]
     away = rng.standard_normal(q.shape)
@@ -110,8 +119,11 @@ def fit(sample: np.ndarray, total: int, p: Params) -> Index:
 def _ranks(index: Index, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """How many cells are nearer to x than `cell`."""
     d1, d2 = index.halves(x)
-    d = (d1[:, :, None] + d2[:, None, :]).reshape(len(x), -1)
-    return (d < np.take_along_axis(d, cell[:, None], 1) - 1e-12).sum(1)
+    i, j = np.divmod(cell, len(index.two))
+    rows = np.arange(len(x))
+    edge = d1[rows, i] + d2[rows, j] - 1e-12
+    d2.sort(1)
+    return np.array([np.searchsorted(b, t - a).sum() for a, b, t in zip(d1, d2, edge, strict=True)])
 
 
 def _cells(index: Index):
@@ -181,16 +193,17 @@ def near_vectors(vectors: DataFrame, p: Params = Params(), vec_id: str = "vec_id
     rows = written(rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("embedding")), "vectors")
     classes = rows.where("usable").groupBy("dim", "label", "embedding").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies"))
     classes = written(classes.select(F.col("class").alias("vec_id"), "dim", "label", "embedding", "copies"), "classes")
-    placed = None
-    for dim, total in [(r.dim, r["count"]) for r in classes.groupBy("dim").count().collect()]:  # as many lengths as models
+    sizes = written(classes.groupBy("dim").agg(F.count("*").alias("total")), "sizes")
+    few = classes.join(sizes.where(F.col("total") <= p.exact).select("dim"), "dim", "left_semi")
+    zero = F.lit(0).cast("long")
+    placed = few.select("vec_id", "dim", "label", "embedding", "copies", zero.alias("home"), F.array(zero).alias("visits"))
+    for dim, total in [(r.dim, r.total) for r in sizes.where(F.col("total") > p.exact).orderBy("dim").collect()]:  # a model a length
         own = classes.where(F.col("dim") == dim)
-        share = min(1.0, 2 * p.sample / total)
-        drawn = own.where(F.xxhash64("vec_id") <= F.lit(-(2**63) + min(2**64 - 1, int(2**64 * share)))).orderBy(F.xxhash64("vec_id")).limit(p.sample).select("embedding").collect()
+        most = min(65_536, max(p.sample, 16 * codewords(total, p)))
+        share = min(1.0, 2 * most / total)
+        drawn = own.where(F.xxhash64("vec_id") <= F.lit(-(2**63) + min(2**64 - 1, int(2**64 * share)))).orderBy(F.xxhash64("vec_id")).limit(most).select("embedding").collect()
         index = fit(unit([r.embedding for r in drawn]), total, p)
-        part = own.mapInPandas(_cells(index), f"vec_id long, dim int, label string, embedding {kind}, copies long, home long, visits array<long>")
-        placed = part if placed is None else placed.unionByName(part)
-    if placed is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        placed = placed.unionByName(own.mapInPandas(_cells(index), f"vec_id long, dim int, label string, embedding {kind}, copies long, home long, visits array<long>"))
     placed = written(placed, "placed")
     lives = placed.withColumn("cell", F.col("home")).withColumn("lives", F.lit(True))
     visits = placed.withColumn("cell", F.explode("visits")).withColumn("lives", F.lit(False))
