@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.operators.joins import banded
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -139,11 +140,14 @@ def leave_one_out(rows: DataFrame, group: str, hit: str) -> DataFrame:
     return own.select(group, (F.sum("n").over(w) - F.col("n")).alias("n"), (F.sum("hits").over(w) - F.col("hits")).alias("hits")).withColumn("rate", F.col("hits") / F.nullif(F.col("n"), F.lit(0)))
 
 
-def element_overlap(elements: DataFrame, page: list[str], idx: str = "idx", unit: str = "unit") -> DataFrame:
-    """Mean over a page's elements of the share of each that the others cover."""
+def element_overlap(elements: DataFrame, page: list[str], idx: str = "idx", unit: str = "unit", band: float | None = None) -> DataFrame:
+    """Mean over a page's elements of the share of each that the others cover. Shares are summed as decimals, so that the
+    result doesn't depend on the order of rows. band: see quire.operators.joins.banded."""
     a, b = elements.select(*page, F.col(idx).alias("_i"), F.col(unit).alias("_a")), elements.select(*page, F.col(idx).alias("_j"), F.col(unit).alias("_b"))
-    own = a.join(b, page).where("_i != _j").groupBy(*page, "_i").agg(F.sum(G.overlap_over_first(F.col("_a"), F.col("_b"))).alias("_o"))
-    return a.join(own, [*page, "_i"], "left").groupBy(*page).agg(F.avg(F.coalesce("_o", F.lit(0.0))).alias("overlap"))
+    share = G.overlap_over_first(F.col("_a"), F.col("_b")).cast("decimal(38,12)")
+    own = banded(a, b, page, "_a", "_b", band).where("_i != _j").groupBy(*page, "_i").agg(F.sum(share).alias("_o"))
+    mean = F.sum(F.coalesce("_o", F.lit(0).cast("decimal(38,12)"))).cast("double") / F.count("*")
+    return a.join(own, [*page, "_i"], "left").groupBy(*page).agg(mean.alias("overlap"))
 
 
 def element_alignment(elements: DataFrame, page: list[str], idx: str = "idx", unit: str = "unit") -> DataFrame:

@@ -28,19 +28,25 @@ def _numbered(rows: DataFrame, scope: list[str], order: list[str], name: str, f:
     return folded(rows, scope, order, lambda g: g.assign(**{name: f(g)})[schema.fieldNames()], schema)
 
 
+def folded_sql(rows: DataFrame, scope: list[str], order: list[str], first: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """rows with `name`, the field n of a state that aggregate() carries over each scope's rows in order: one array a scope, in
+    generated code. The state has the fields n and out (array); step(state, row) gives the next one but for out."""
+    packed = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("_row")))).alias("_rows"))
+    numbers = F.aggregate("_rows", first, step, lambda s: s["out"])
+    return packed.select(F.explode(F.arrays_zip(F.col("_rows._row").alias("row"), numbers.alias("n"))).alias("_z")).select("_z.row.*", F.col("_z.n").alias(name))
+
+
 def batched(rows: DataFrame, scope: list[str], order: list[str], tokens: str, most_tokens: int = 200, most_rows: int = 5, name: str = "batch") -> DataFrame:
     """Batches that are closed once a row has taken them past either limit, that row included."""
+    zero = F.lit(0).cast("long")
 
-    def number(g):
-        out, batch, total, n = [], 0, 0, 0
-        for t in g[tokens]:
-            out.append(batch)
-            total, n = total + t, n + 1
-            if total > most_tokens or n > most_rows:
-                batch, total, n = batch + 1, 0, 0
-        return out
+    def step(s: Column, row: Column) -> Column:
+        total, k = s["total"] + row["_row"][tokens].cast("long"), s["k"] + 1
+        full = (total > most_tokens) | (k > most_rows)
+        return F.struct(F.when(full, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(full, zero).otherwise(total).alias("total"), F.when(full, zero).otherwise(k).alias("k"), F.concat(s["out"], F.array(s["n"])).alias("out"))
 
-    return _numbered(rows, scope, order, name, number)
+    first = F.struct(zero.alias("n"), zero.alias("total"), zero.alias("k"), F.array().cast("array<long>").alias("out"))
+    return folded_sql(rows.drop(name), scope, order, first, step, name)
 
 
 def seeded_bands(rows: DataFrame, scope: list[str], order: list[str], value: str, gap: float, name: str = "band") -> DataFrame:

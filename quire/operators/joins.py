@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +19,39 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def layout_of(chars: DataFrame, layouts: DataFrame, page: list[str], char: list[str], priority: list[str], box: str = "box") -> DataFrame:
+def banded(left: DataFrame, right: DataFrame, page: list[str], a: str, b: str, band: float | None) -> DataFrame:
+    """left and right on one page; with `band` (a height in points) only pairs whose boxes a and b share a height, each once.
+
+    Boxes are dealt to the bands of the page that they reach into, and meet in the first one that both reach, so that a page
+    of very many boxes costs its neighbours and not all its pairs. A box without a height meets nothing.
+    """
+    if band is None:
+        return left.join(right, page)
+    low, high = (lambda c: F.floor(F.col(c)["y"] / band)), (lambda c: F.floor(F.col(c)["y2"] / band))
+    one = left.withColumn("_band", F.explode(F.when(low(a) <= high(a), F.sequence(low(a), high(a)))))
+    two = right.withColumn("_band", F.explode(F.when(low(b) <= high(b), F.sequence(low(b), high(b)))))
+    return one.join(two, [*page, "_band"]).where(F.col("_band") == F.greatest(low(a), low(b))).drop("_band")
+
+
+def layout_of(chars: DataFrame, layouts: DataFrame, page: list[str], char: list[str], priority: list[str], box: str = "box", band: float | None = None) -> DataFrame:
     """Each char with layout_id and class_name of the best layout that overlaps it, null where none does.
 
     Best: class in the order of `priority` (others last), then the larger share of the char, then the lesser layout_id.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), F.col("class_name")), F.lit(0)), F.lit(len(priority) + 1))
     right = layouts.select(*page, "layout_id", "class_name", F.col(box).alias("_box"), rank.alias("_rank"))
-    met = chars.join(right, page).where(G.intersection(F.col(box), F.col("_box")) > 0)
+    met = banded(chars, right, page, box, "_box", band).where(G.intersection(F.col(box), F.col("_box")) > 0)
     best = met.groupBy(*page, *char).agg(F.min_by(F.struct("layout_id", "class_name"), F.struct("_rank", -G.overlap_over_first(F.col(box), F.col("_box")), "layout_id")).alias("_best"))
     return chars.join(best, [*page, *char], "left").withColumns({"layout_id": F.col("_best.layout_id"), "class_name": F.col("_best.class_name")}).drop("_best")
 
 
-def overlapping(items: DataFrame, others: DataFrame, page: list[str], ratio: float, box: str = "box", how: str = "left_semi") -> DataFrame:
-    """Items that share more than `ratio` of their area with one of the others on their page (left_anti: that don't)."""
+def overlapping(items: DataFrame, others: DataFrame, page: list[str], ratio: float, box: str = "box", how: str = "left_semi", band: float | None = None) -> DataFrame:
+    """Items that share more than `ratio` of their area with one of the others on their page (left_anti: that don't). With a
+    band (see banded) items that are equal in page and box go one way together."""
+    if band is not None:
+        right = others.select(*page, F.col(box).alias("_box")).distinct()
+        met = banded(items.select(*page, box).distinct(), right, page, box, "_box", band).where(G.overlap_over_first(F.col(box), F.col("_box")) > ratio)
+        return items.join(met.select(*page, box).distinct(), [*page, box], how).select(*items.columns)
     a, b = items.alias("a"), others.select(*page, F.col(box).alias("_box")).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in page]
     on = G.overlap_over_first(F.col(f"a.{box}"), F.col("b._box")) > ratio
@@ -38,9 +60,9 @@ def overlapping(items: DataFrame, others: DataFrame, page: list[str], ratio: flo
     return a.join(b, on, how)
 
 
-def unprotected_lines(curves: DataFrame, paragraphs: DataFrame, figures: DataFrame, page: list[str], ratio: float) -> DataFrame:
+def unprotected_lines(curves: DataFrame, paragraphs: DataFrame, figures: DataFrame, page: list[str], ratio: float, band: float | None = None) -> DataFrame:
     """Curves that paragraphs cover and no figure or table protects."""
-    return overlapping(overlapping(curves, paragraphs, page, ratio), figures, page, ratio, how="left_anti")
+    return overlapping(overlapping(curves, paragraphs, page, ratio, band=band), figures, page, ratio, how="left_anti", band=band)
 
 
 def assigned_elements(elements: DataFrame, formulas: DataFrame, page: list[str], element: list[str], tolerance: float = 2.0) -> DataFrame:
@@ -57,11 +79,11 @@ def assigned_elements(elements: DataFrame, formulas: DataFrame, page: list[str],
     return met.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*page, *element, "formula_idx", "match_type", "score")
 
 
-def collisions(paragraphs: DataFrame, page: list[str], idx: str, min_iou: float = 0.2, min_coverage: float = 0.4, source: DataFrame | None = None, source_iou: float = 0.05) -> DataFrame:
+def collisions(paragraphs: DataFrame, page: list[str], idx: str, min_iou: float = 0.2, min_coverage: float = 0.4, source: DataFrame | None = None, source_iou: float = 0.05, band: float | None = None) -> DataFrame:
     """Pairs (a < b) on a page that stand on one another, but for those whose source boxes (page, idx, box) did already."""
     one = paragraphs.select(*page, F.col(idx).alias("a"), F.col("box").alias("box_a"))
     two = paragraphs.select(*page, F.col(idx).alias("b"), F.col("box").alias("box_b"))
-    pairs = one.join(two, page).where((F.col("a") < F.col("b")) & (G.intersection(F.col("box_a"), F.col("box_b")) > 0))
+    pairs = banded(one, two, page, "box_a", "box_b", band).where((F.col("a") < F.col("b")) & (G.intersection(F.col("box_a"), F.col("box_b")) > 0))
     pairs = pairs.withColumns({"iou": G.iou(F.col("box_a"), F.col("box_b")), "coverage": G.coverage(F.col("box_a"), F.col("box_b"))}).where((F.col("iou") >= min_iou) | (F.col("coverage") >= min_coverage))
     if source is not None:
         for side in "ab":
@@ -70,9 +92,9 @@ def collisions(paragraphs: DataFrame, page: list[str], idx: str, min_iou: float
     return pairs.select(*page, "a", "b", "iou", "coverage")
 
 
-def worst_overlap(paragraphs: DataFrame, artwork: DataFrame, page: list[str], idx: str, least: float) -> DataFrame:
+def worst_overlap(paragraphs: DataFrame, artwork: DataFrame, page: list[str], idx: str, least: float, band: float | None = None) -> DataFrame:
     """Each paragraph's worst overlap (iou of `least` or more) with artwork (page, art, box)."""
-    met = paragraphs.join(artwork.select(*page, "art", F.col("box").alias("_box")), page).withColumn("iou", G.iou(F.col("box"), F.col("_box"))).where(F.col("iou") >= least)
+    met = banded(paragraphs, artwork.select(*page, "art", F.col("box").alias("_box")), page, "box", "_box", band).withColumn("iou", G.iou(F.col("box"), F.col("_box"))).where(F.col("iou") >= least)
     return met.groupBy(*page, idx).agg(F.max("iou").alias("iou"), F.min_by("art", F.struct(-F.col("iou"), F.col("art"))).alias("art"))
 
 
@@ -128,36 +150,50 @@ def scoped(rows: DataFrame, fonts: DataFrame, key: str = "font_id") -> DataFrame
 def terms_in_texts(texts: DataFrame, glossary: DataFrame, text: str = "text", source: str = "source", most: int = 200_000) -> DataFrame:
     """Pairs of texts and glossary entries whose source stands in them: ASCII case and runs of white space don't count.
 
-    One automaton holds all terms, so a text is read once; a glossary of more than `most` entries is taken in parts.
+    One automaton holds all terms, so a text is read once; it is built once a worker. A glossary of more than `most` entries
+    is taken in parts.
     """
     term = F.trim(F.regexp_replace(ascii_lower(F.col(source)), r"\s+", " "))
     entries = glossary.select("*", term.alias("_term")).where("_term != ''").dropDuplicates(["_term"])
     size = entries.count()
+    parts = max(1, -(-size // most))
     out = None
-    for k in range(max(1, -(-size // most))):
-        own = entries.where(F.pmod(F.xxhash64("_term"), F.lit(-(-size // most) or 1)) == k)
-        terms = [r[0] for r in own.select("_term").collect()]
-
+    for k in range(parts):
+        own = entries.where(F.pmod(F.xxhash64("_term"), F.lit(parts)) == k) if parts > 1 else entries
+        terms = texts.sparkSession.sparkContext.broadcast(sorted(r[0] for r in own.select("_term").collect()))
+        # All white space as one space in generated code; the automaton sees the text as it is then.
         flat = F.regexp_replace(ascii_lower(F.col(text)), r"\s+", " ")
-        part = texts.withColumn("_found", found_in(flat, terms)).withColumn("_term", F.explode("_found")).drop("_found").join(small(own), "_term").drop("_term")
+        part = texts.withColumn("_term", F.explode(found_in(flat, terms))).join(small(own), "_term").drop("_term")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def found_in(text: Column, terms: list[str]) -> Column:
-    """The terms (array<string>) that stand in a text, each once, in order."""
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def found_in(text: Column, terms: Broadcast) -> Column:
+    """The terms (a broadcast list) that stand in a text, each once, in order."""
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
+        auto = automaton(name, terms)
+        return pa.array([sorted({t for _, t in auto.iter(x)}) if x and len(auto) else [] for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return found(text)
+
+
+def automaton(name: str, terms: Broadcast) -> ahocorasick.Automaton:
+    """One for each worker process and list of terms; the last few are kept."""
+    if name not in _automata:
         auto = ahocorasick.Automaton()
-        for t in terms:
+        for t in terms.value:
             auto.add_word(t, t)
-        if not terms:
-            return pa.array([[] for _ in texts], pa.list_(pa.string()))
         auto.make_automaton()
-        return pa.array([sorted({t for _, t in auto.iter(x.as_py() or "")}) for x in texts], pa.list_(pa.string()))
-
-    return found(text)
+        while len(_automata) > 3:
+            del _automata[next(iter(_automata))]
+        _automata[name] = auto
+    return _automata[name]
 
 
 def ascii_lower(text: Column) -> Column:

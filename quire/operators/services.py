@@ -18,11 +18,12 @@ def latest(cache: DataFrame, key: list[str] | None = None, id: str = "id") -> Da
     return cache.groupBy(*(key or KEY)).agg(F.max_by(F.struct(*rest), id).alias("_r")).select(*(key or KEY), "_r.*").select(*cache.columns)
 
 
-def upserted(cache: DataFrame, rows: DataFrame) -> DataFrame:
-    """cache with rows (no ids) put in, later ids winning."""
-    top = cache.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = rows.withColumn("id", F.monotonically_increasing_id() + 1).join(F.broadcast(top)).withColumn("id", F.col("id") + F.col("_top")).drop("_top")
-    return latest(cache.unionByName(new))
+def upserted(cache: DataFrame, rows: DataFrame, order: str = "seq") -> DataFrame:
+    """cache with rows (no ids) put in, later ones of a key winning. `order`, a column of rows, is their number from 1 on in the
+    order in which they came; ids go on by it from the cache's highest, so that a recomputed partition gives the same ids."""
+    top = cache.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    new = rows.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col(order).cast("long"))
+    return latest(cache.unionByName(new.select(*cache.columns)))
 
 
 def newest(cache: DataFrame, n: int = 50_000, id: str = "id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered queries over the sample tables and the SQL that says the same.
 
-A line of a document plays a paragraph. Lines have made-up boxes: 6 wide for each of up to 80 characters, 12 high and 10
-apart, so that neighbours overlap by 2.
+A line of a document plays a paragraph. Lines have made-up boxes: 6 wide for each character, 12 high and 10 apart, so that
+neighbours overlap by 2. More queries are in quire.plans.inventory.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 def boxed(spark: SparkSession, d: str) -> DataFrame:
     y2 = -10.0 * F.col("line")
-    return lines(spark, d).withColumn("box", G.box(F.lit(0.0), y2 - 12, 6.0 * F.least("n", F.lit(80)), y2))
+    return lines(spark, d).withColumn("box", G.box(F.lit(0.0), y2 - 12, 6.0 * F.col("n"), y2))
 
 
 LINES = "lines as (select * from (select doc_id, unnest(range(0, len(s))) as line, unnest(s) as txt from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)) where txt <> '')"
-BOXES = LINES + ", boxes as (select doc_id, line, txt, length(txt) as n, 0.0::double as x, (-10.0 * line - 12)::double as y, (6.0 * least(length(txt), 80))::double as x2, (-10.0 * line)::double as y2 from lines)"
+BOXES = LINES + ", boxes as (select doc_id, line, txt, length(txt) as n, 0.0::double as x, (-10.0 * line - 12)::double as y, (6.0 * length(txt))::double as x2, (-10.0 * line)::double as y2 from lines)"
 REGIONS = "regions as (select doc_id, line as layout_id, case when line % 10 = 0 then 'title' else 'text' end as class_name, 0.0::double as x, y - 5 as y, 300.0::double as x2, y2 + 5 as y2 from boxes where line % 5 = 0)"
 
 
@@ -65,14 +65,24 @@ def line_boxes(spark, d):
     return boxed(spark, d).select("doc_id", "line", "n", "box.x2", "box.y", "box.y2")
 
 
-@query(f"with {LINES} select doc_id, line from lines where regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$')")
+FIGURES = "figures as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then ' -' || l_quantity::int || '.5 ' when 1 then l_quantity::int || '' when 2 then l_quantity::int || ' %' else l_shipdate::date::varchar end as txt from lineitem)"
+
+
+@query(f"with {FIGURES} select l_orderkey, l_linenumber from figures where regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$')")
 def numeric_only_lines(spark, d):
-    return lines(spark, d).where(T.pure_numeric(F.col("txt"))).select("doc_id", "line")
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    txt = F.when(n % 4 == 0, F.concat(F.lit(" -"), q, F.lit(".5 "))).when(n % 4 == 1, q).when(n % 4 == 2, F.concat(q, F.lit(" %"))).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return table(spark, d, "lineitem").where(T.pure_numeric(txt)).select("l_orderkey", "l_linenumber")
+
+
+CONTENTS = "contents as (select p_partkey, p_name || ' ' || case when p_size % 3 = 0 then repeat('. ', p_size % 7) else repeat('.', p_size % 7) || '…' end || ' ' || p_size as txt from part)"
 
 
-@query(f"with {LINES} select doc_id, line from lines where regexp_matches(replace(txt, '…', '...'), '(?:\\.\\s?){{4,}}')")
+@query(f"with {CONTENTS} select p_partkey from contents where regexp_matches(replace(txt, '…', '...'), '(?:\\.\\s?){{4,}}')")
 def leader_dot_lines(spark, d):
-    return lines(spark, d).where(T.leader_dots(F.col("txt"))).select("doc_id", "line")
+    size = F.col("p_size")
+    dots = F.when(size % 3 == 0, F.expr("repeat('. ', p_size % 7)")).otherwise(F.concat(F.expr("repeat('.', p_size % 7)"), F.lit("…")))
+    return table(spark, d, "part").where(T.leader_dots(F.concat("p_name", F.lit(" "), dots, F.lit(" "), size.cast("string")))).select("p_partkey")
 
 
 @query(f"with {LINES} select doc_id, count(*) as n_lines, sum(length(txt)) as n_chars from lines where length(txt) >= 5 and not regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$') and not regexp_matches(txt, '^[0-9\\s]*$') group by doc_id")
@@ -133,10 +143,12 @@ def lopo_agreement(spark, d):
     return A.leave_one_out(j, "source", "hit").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"with {BOXES}, u as (select doc_id, x / 480 as x, x2 / 480 as x2, (y + 1012) / 1012 as y, (y2 + 1012) / 1012 as y2 from boxes where line < 100), c as (select distinct doc_id, r, k from (select doc_id, unnest(range(least(greatest(floor(y * 32), 0), 31)::int, greatest(least(greatest(ceil(y2 * 32) - 1, 0), 31), least(greatest(floor(y * 32), 0), 31))::int + 1)) as r, least(greatest(floor(x * 32), 0), 31)::int as k0, least(greatest(ceil(x2 * 32) - 1, 0), 31)::int as k1 from u where x2 > x) t, unnest(range(k0, greatest(k0, k1) + 1)) as q(k)) select doc_id, round(count(*) / 1024.0, 6)::double as coverage from c group by doc_id")
+@query(f"with {BOXES}, u as (select doc_id, (line // 100)::bigint as page, x / 480 as x, x2 / 480 as x2, (y + 1000.0 * (line // 100) + 1012) / 1012 as y, (y2 + 1000.0 * (line // 100) + 1012) / 1012 as y2 from boxes), c as (select distinct doc_id, page, r, k from (select doc_id, page, unnest(range(least(greatest(floor(y * 32), 0), 31)::int, greatest(least(greatest(ceil(y2 * 32) - 1, 0), 31), least(greatest(floor(y * 32), 0), 31))::int + 1)) as r, least(greatest(floor(x * 32), 0), 31)::int as k0, least(greatest(ceil(x2 * 32) - 1, 0), 31)::int as k1 from u where x2 > x) t, unnest(range(k0, greatest(k0, k1) + 1)) as q(k)) select doc_id, page, round(count(*) / 1024.0, 6)::double as coverage from c group by doc_id, page")
 def grid_coverage(spark, d):
-    b = boxed(spark, d).where("line < 100").withColumn("unit", G.on_unit_page(F.col("box"), G.box(0, -1012, 480, 0)))
-    return A.grid_coverage(b, ["doc_id"], 32).withColumn("coverage", F.round("coverage", 6))
+    page, b = F.floor(F.col("line") / 100), F.col("box")
+    down = 1000.0 * page
+    b = boxed(spark, d).withColumn("page", page).withColumn("unit", G.on_unit_page(G.box(b["x"], b["y"] + down, b["x2"], b["y2"] + down), G.box(0, -1012, 480, 0)))
+    return A.grid_coverage(b, ["doc_id", "page"], 32).withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"with {LINES}, c as (select doc_id, (length(txt) % 97) / 97.0 as x from lines), g as (select doc_id, case when x - lag(x) over (partition by doc_id order by x) >= 0.2 then 1 else 0 end as cut from c) select doc_id, least(sum(cut) + 1, 4)::bigint as columns from g group by doc_id")
@@ -151,24 +163,24 @@ AREA = "(({0}.x2 - {0}.x) * ({0}.y2 - {0}.y))"
 
 @query(f"with {BOXES}, p as (select doc_id, a.line as a, b.line as b, {PAIR} as i, {AREA.format('a')} as sa, {AREA.format('b')} as sb from boxes a join boxes b using (doc_id) where a.line < b.line and b.line - a.line < 3) select doc_id, a, b, round(i / (sa + sb - i), 6) as iou, round(i / least(sa, sb), 6) as coverage from p where i > 0 and (i / (sa + sb - i) >= 0.08 or i / least(sa, sb) >= 0.16)")
 def collision_pairs(spark, d):
-    return J.collisions(boxed(spark, d), ["doc_id"], "line", 0.08, 0.16).withColumns({"iou": F.round("iou", 6), "coverage": F.round("coverage", 6)})
+    return J.collisions(boxed(spark, d), ["doc_id"], "line", 0.08, 0.16, band=100.0).withColumns({"iou": F.round("iou", 6), "coverage": F.round("coverage", 6)})
 
 
 @query(f"with {BOXES}, {REGIONS}, m as (select doc_id, line, layout_id as art, {PAIR} / ({AREA.format('a')} + {AREA.format('b')} - {PAIR}) as iou from boxes a join regions b using (doc_id)) select doc_id, line, round(max(iou), 6) as iou, arg_min(art, (-iou, art)) as art from (select * from m where iou >= 0.1) group by all")
 def worst_overlap(spark, d):
     art = regions(spark, d).withColumnRenamed("layout_id", "art")
-    return J.worst_overlap(boxed(spark, d), art, ["doc_id"], "line", 0.1).withColumn("iou", F.round("iou", 6))
+    return J.worst_overlap(boxed(spark, d), art, ["doc_id"], "line", 0.1, band=100.0).withColumn("iou", F.round("iou", 6))
 
 
 @query(f"with {BOXES}, {REGIONS}, m as (select doc_id, line, layout_id, class_name, row_number() over (partition by doc_id, line order by case class_name when 'title' then 1 when 'text' then 2 else 3 end, {PAIR} / {AREA.format('a')} desc, layout_id) as k from boxes a join regions b using (doc_id) where {PAIR} > 0) select l.doc_id, l.line, m.layout_id, m.class_name from boxes l left join m on m.doc_id = l.doc_id and m.line = l.line and k = 1")
 def layout_top1(spark, d):
-    return J.layout_of(boxed(spark, d), regions(spark, d), ["doc_id"], ["line"], ["title", "text"]).select("doc_id", "line", "layout_id", "class_name")
+    return J.layout_of(boxed(spark, d), regions(spark, d), ["doc_id"], ["line"], ["title", "text"], band=100.0).select("doc_id", "line", "layout_id", "class_name")
 
 
 @query(f"with {BOXES}, {REGIONS} select doc_id, line from boxes a where exists (select 1 from regions b where b.doc_id = a.doc_id and class_name = 'text' and {PAIR} / {AREA.format('a')} > 0.3) and not exists (select 1 from regions b where b.doc_id = a.doc_id and class_name = 'title' and {PAIR} / {AREA.format('a')} > 0.3)")
 def protected_anti(spark, d):
     r = regions(spark, d)
-    return J.unprotected_lines(boxed(spark, d), r.where("class_name = 'text'"), r.where("class_name = 'title'"), ["doc_id"], 0.3).select("doc_id", "line")
+    return J.unprotected_lines(boxed(spark, d), r.where("class_name = 'text'"), r.where("class_name = 'title'"), ["doc_id"], 0.3, band=100.0).select("doc_id", "line")
 
 
 CONV = "conv as (select conv_id, turn, role, text, lead(turn) over w as next_turn, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn))"
@@ -286,9 +298,9 @@ def mid_break_rate(spark, d):
     return A.strata(t, "role", "o").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"with {BOXES}, o as (select doc_id, a.line, sum({PAIR} / {AREA.format('a')}) as o from boxes a join boxes b using (doc_id) where a.line <> b.line group by all) select doc_id, round(avg(coalesce(o, 0)), 6) as overlap from boxes left join o using (doc_id, line) group by doc_id")
+@query(f"with {BOXES}, o as (select doc_id, a.line, sum(({PAIR} / {AREA.format('a')})::decimal(38, 12)) as o from boxes a join boxes b using (doc_id) where abs(a.line - b.line) = 1 group by all) select doc_id, round((sum(coalesce(o, 0)) / count(*))::double, 6) as overlap from boxes left join o using (doc_id, line) group by doc_id")
 def overlap_metric(spark, d):
-    return A.element_overlap(boxed(spark, d), ["doc_id"], "line", "box").withColumn("overlap", F.round("overlap", 6))
+    return A.element_overlap(boxed(spark, d), ["doc_id"], "line", "box", band=100.0).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"with {BOXES}, u as (select doc_id, line, unnest([1, 2, 3, 4, 5, 6]) as k, unnest([x / 480, (x + x2) / 960, x2 / 480, y2 / 20000, (y + y2) / 40000, y / 20000]) as v from boxes), e as (select doc_id, line, least(v - lag(v) over w, lead(v) over w - v) as g from u window w as (partition by doc_id, k order by v, line)), m as (select doc_id, line, min(g) as g from e group by all) select doc_id, round(avg(-ln(1 - least(greatest(g, 0), 0.999999))), 6) as alignment from m group by doc_id")
@@ -378,9 +390,13 @@ def normalise_term(spark, d):
     return table(spark, d, "part").select("p_partkey", T.normal_term(F.col("p_name")).alias("term"))
 
 
-@query("with s(name, value) as (values ('a', '5'), ('a_allowed_range', '1..4'), ('b', '2'), ('b_allowed_range', '0..2'), ('c', 'x'), ('c_allowed_range', '0..1'), ('d', '1')) select n.name, case when r.value is null then 'no_range' when try_cast(n.value as double) is null then 'not_a_number' else 'out_of_range' end as fault from s n left join s r on r.name = n.name || '_allowed_range' where n.name not like '%_allowed_range' and (r.value is null or try_cast(n.value as double) is null or try_cast(n.value as double) not between split_part(r.value, '..', 1)::double and split_part(r.value, '..', 2)::double)")
+@query("with s as (select 'size' || p_partkey as name, case when p_partkey % 5 = 0 then p_name else p_size::varchar end as value, p_type, p_partkey from part), r as (select name, case p_type when 'ECONOMY' then null when 'STANDARD' then '10..30' else '1..25' end as r from s) select s.name, case when r is null then 'no_range' when try_cast(value as double) is null then 'not_a_number' else 'out_of_range' end as fault from s join r using (name) where r is null or try_cast(value as double) is null or try_cast(value as double) not between split_part(r, '..', 1)::double and split_part(r, '..', 2)::double")
 def config_range_check(spark, d):
-    return R.range_faults(spark.createDataFrame([("a", "5"), ("a_allowed_range", "1..4"), ("b", "2"), ("b_allowed_range", "0..2"), ("c", "x"), ("c_allowed_range", "0..1"), ("d", "1")], "name string, value string"))
+    p = table(spark, d, "part")
+    name, key = F.concat(F.lit("size"), F.col("p_partkey").cast("string")), F.col("p_partkey")
+    own = p.select(name.alias("name"), F.when(key % 5 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string")).alias("value"))
+    ranges = p.where("p_type != 'ECONOMY'").select(F.concat(name, F.lit("_allowed_range")).alias("name"), F.when(F.col("p_type") == "STANDARD", "10..30").otherwise("1..25").alias("value"))
+    return R.range_faults(own.unionByName(ranges))
 
 
 @query("with e as (select trim(lower(p_brand)) as k, min(p_brand) as source, min(p_partkey) as page from part where p_size <= 5 group by 1), h as (select trim(lower(p_brand)) as k, min(p_brand) as source, min(p_partkey) as page from part where p_size > 20 group by 1) select k, coalesce(e.source, h.source) as source, least(e.page, h.page) as first_page, case when e.source is null then 'harvest' when h.source is null then 'extractor' else 'both' end as origin from e full join h using (k)")
@@ -436,3 +452,6 @@ def translation_redistribution(spark, d):
 def lossless_sentences(spark, d):
     t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
     return t.select("doc_id", F.size("s").alias("n_sentences"), (F.array_join("s", "") == F.col("text")).alias("lossless"))
+
+
+from quire.plans import inventory  # noqa: E402, F401  it registers its queries here

@@ -112,8 +112,8 @@ def test_matching_and_peeling(spark):
 
 def test_cache(spark):
     cache = frame(spark, "id long, engine string, params string, text string, translation string", (1, "e", "p", "a", "old"), (2, "e", "p", "b", "x"))
-    new = frame(spark, "engine string, params string, text string, translation string", ("e", "p", "a", "new"))
-    up = services.upserted(cache, new.select("engine", "params", "text", "translation"))
+    new = frame(spark, "engine string, params string, text string, translation string, seq long", ("e", "p", "a", "new", 2), ("e", "p", "a", "older", 1))
+    up = services.upserted(cache, new)
     assert {r.text: r.translation for r in up.collect()} == {"a": "new", "b": "x"}
     req = frame(spark, "engine string, params string, text string", ("e", "p", "a"), ("e", "p", "c"))
     assert [r.text for r in services.misses(req, cache).collect()] == ["c"]
