@@ -275,3 +275,260 @@ def means_and_deltas(spark, d):
     n = F.col("l_linenumber")
     a, b = F.when(n % 5 != 0, F.col("l_discount")), F.when(n % 2 != 0, F.col("l_tax"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rounded(G.mean_of(a, b)).alias("mean"), rounded(A.relative_delta(a, F.col("l_tax"))).alias("delta"))
+
+
+# Records.
+
+
+@query("with t as (select p_brand, trim(p_name) as src, case when p_size % 4 = 0 then '' when p_size % 4 = 1 then repeat('x', 60 + p_size) else p_type end as tgt from part) select p_brand, src, trim(tgt) as tgt from t where length(src) between 1 and 99 and length(trim(tgt)) between 1 and 99")
+def reply_terms(spark, d):
+    k = F.col("p_size") % 4
+    tgt = F.when(k == 0, "").when(k == 1, F.expr("repeat('x', 60 + p_size)")).otherwise(F.col("p_type"))
+    reply = F.to_json(F.collect_list(F.struct(F.concat(F.lit(" "), "p_name").alias("src"), tgt.alias("tgt"))))
+    return table(spark, d, "part").groupBy("p_brand").agg(reply.alias("reply")).select("p_brand", F.explode(R.term_pairs(F.col("reply"))).alias("t")).select("p_brand", "t.src", "t.tgt")
+
+
+@query("select event_id, case event_id % 5 when 0 then null else k end as k, case event_id % 5 when 0 then 'not_json' when 1 then 'missing:note' when 2 then 'extra_field' else case when k > 50 then 'bounds:k' when event_type not in ('click', 'purchase') then 'vocabulary:note' end end as violation from (select event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events) where event_id % 5 = 0 or true")
+def strict_replies(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    m, note = F.col("event_id") % 5, F.col("event_type")
+    reply = F.when(m == 0, F.lit("no json")).when(m == 1, F.to_json(F.struct("k"))).when(m == 2, F.to_json(F.struct("k", note.alias("note"), F.lit(1).alias("more")))).otherwise(F.to_json(F.struct("k", note.alias("note"))))
+    r = R.strict_reply(reply, {"k": "long", "note": "string"}, {"k": (0, 50)}, {"note": ["click", "purchase"]})
+    return e.select("event_id", F.when(m != 0, F.col("k")).alias("k"), r["violation"].alias("violation"))
+
+
+@query("select o_orderkey, '{\"a\":\"' || o_orderpriority || '\",\"b\":\"' || o_orderstatus || '\"}' as settings, sha256(o_orderpriority || chr(10) || o_orderstatus) as digest from orders")
+def cache_digests(spark, d):
+    m = F.create_map(F.lit("b"), "o_orderstatus", F.lit("a"), "o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", R.canonical_json(m).alias("settings"), R.cache_digest(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("digest"))
+
+
+@query("select p_partkey, substring(sha256(p_name || chr(31) || p_partkey), 1, 7) as id, '{\"name\":\"' || p_name || '\"}' as kept, '{\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}' as record from part")
+def record_ids(spark, d):
+    m = F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand")
+    return table(spark, d, "part").select("p_partkey", R.short_id(F.col("p_name"), F.col("p_partkey").cast("string"), length=7).alias("id"), F.to_json(R.without_fields(m, ["brand"])).alias("kept"), R.record("p_size", "p_name").alias("record"))
+
+
+# Aggregates.
+
+
+@query("with t as (select l_suppkey, l_shipdate::date as term, count(*) as n, bool_or(l_linenumber > 1) as mid, count(distinct l_orderkey) as paragraphs from lineitem group by all) select l_suppkey, term, n, paragraphs, rank from (select *, row_number() over (partition by l_suppkey order by n desc, term) as rank from t where n >= 2 and mid and paragraphs >= 2) where rank <= 10")
+def frequent_terms(spark, d):
+    u = table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("term"), F.col("l_orderkey").alias("paragraph"), (F.col("l_linenumber") > 1).alias("mid_sentence"))
+    return A.qualifying_terms(u, ["l_suppkey"], 2, 2, 10)
+
+
+@query("with c as (select l_suppkey, l_discount, sum(l_quantity) as w from lineitem group by all), m as (select l_suppkey, l_discount as mode from c qualify row_number() over (partition by l_suppkey order by w desc, l_discount) = 1) select l_suppkey, least(l_discount, mode) as l_discount, count(*) as n from lineitem join m using (l_suppkey) group by l_suppkey, least(l_discount, mode)")
+def clamped_scales(spark, d):
+    return A.clamped_to_mode(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", "l_quantity").groupBy("l_suppkey", "l_discount").agg(F.count("*").alias("n"))
+
+
+@query("select l_orderkey, case when max(l_quantity) - min(l_quantity) <= 5 then 1 end as near, case when count(distinct l_returnflag) = 1 then max(l_returnflag) end as flag from lineitem group by l_orderkey")
+def agreed_values(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.when(A.agreed("l_quantity", 5.0).isNotNull(), 1).alias("near"), A.agreed("l_returnflag").alias("flag"))
+
+
+@query("with g as (select o_custkey, abs(o_totalprice - lag(o_totalprice) over (partition by o_custkey order by o_orderkey)) as g from orders), p as (select o_custkey, list_sort(list(g) filter (where g > 0)) as v from g group by 1) select o_custkey, coalesce(v[len(v) // 2 + 1], 10.0) as spacing from p")
+def line_spacings(spark, d):
+    return A.line_spacing(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
+
+
+@query("select o_orderpriority, case when count_if(o_orderstatus <> 'P') - count_if(o_custkey % 10 = 0) > 0 then round(count_if(o_orderstatus = 'O') / (count_if(o_orderstatus <> 'P') - count_if(o_custkey % 10 = 0)), 6) end as rate from orders group by 1")
+def strict_rates(spark, d):
+    s = F.col("o_orderstatus")
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(A.strict_rate(s == "O", s != "P", F.col("o_custkey") % 10 == 0), 6).alias("rate"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 and o_orderkey % 2 = 0 then null else coalesce(case when o_orderkey % 3 > 0 then o_orderstatus = 'F' end, true) and coalesce(case when o_orderkey % 2 > 0 then o_totalprice > 100000 end, true) end as kept from orders")
+def conserved_levels(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", A.all_levels(F.when(k % 3 > 0, F.col("o_orderstatus") == "F"), F.when(k % 2 > 0, F.col("o_totalprice") > 100000)).alias("kept"))
+
+
+@query("select l_suppkey, l_returnflag, round(sum(l_discount) / nullif(sum(l_tax), 0), 6) as ratio from lineitem group by all")
+def summed_ratios(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(A.ratio(F.col("l_discount"), F.col("l_tax")), 6).alias("ratio"))
+
+
+@query("select o_custkey, list_sort(list(o_totalprice))[count(*) // 2 + 1] as middle from orders group by 1")
+def upper_medians(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(A.upper_median("o_totalprice").alias("middle"))
+
+
+# Joins.
+
+
+@query(f"with {BOXES}, {REGIONS}, m as (select a.doc_id, a.line, b.layout_id as formula_idx, {PAIR} / {AREA.format('a')} as share, a.x >= b.x - 2 and a.x2 <= b.x2 + 2 and a.y >= b.y - 2 and a.y2 <= b.y2 + 2 as inside, sqrt(pow((a.x + a.x2 - b.x - b.x2) / 2, 2) + pow((a.y + a.y2 - b.y - b.y2) / 2, 2)) as away from boxes a join regions b using (doc_id) where layout_id % 3 > 0 or layout_id % 3 = a.line % 3), t as (select *, case when share >= 0.95 then 'exact' when inside then 'contained' end as match_type from m), s as (select *, case when match_type = 'exact' then share else 0.5 + 0.4 * greatest(0, 1 - away / 100) end as score from t where match_type is not null) select doc_id, line, formula_idx, match_type, round(score, 6) as score from s qualify row_number() over (partition by doc_id, line order by match_type <> 'exact', score desc, formula_idx) = 1")
+def formula_elements(spark, d):
+    k = F.col("layout_id") % 3
+    f = regions(spark, d).select("doc_id", F.col("layout_id").alias("formula_idx"), "box", F.when(k == 0, k).alias("xobj_id"))
+    e = boxed(spark, d).withColumn("xobj_id", F.col("line") % 3)
+    return J.assigned_elements(e, f, ["doc_id"], ["line"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {BOXES}, {REGIONS}, m as (select a.doc_id, a.line, b.layout_id as o from boxes a join regions b using (doc_id) where a.line <> b.layout_id and {PAIR} / ({AREA.format('a')} + {AREA.format('b')} - {PAIR}) >= 0.2) select l.doc_id, l.line, coalesce(array_to_string(list_sort(list(distinct o) filter (where o is not null)), ','), '') as on_ from boxes l left join m using (doc_id, line) group by all")
+def stood_on(spark, d):
+    others = regions(spark, d).select("doc_id", F.col("layout_id").alias("line"), "box")
+    on = J.standing_on(boxed(spark, d).select("doc_id", "line", "box"), others, ["doc_id"], "line", 0.2)
+    return on.select("doc_id", "line", F.array_join(J.induced(F.array().cast("array<int>"), F.col("on").cast("array<int>")).cast("array<string>"), ",").alias("on_"))
+
+
+@query(f"with {BOXES}, m as (select a.doc_id, a.line, min(case when b.x >= a.x2 and least(a.y2, b.y2) > greatest(a.y, b.y) then b.x end) as r, max(case when b.y2 <= a.y and least(a.x2, b.x2) > greatest(a.x, b.x) then b.y2 end) as t from boxes a left join (select doc_id, line, x + case when line % 2 = 0 then 150 else 0 end as x, x2 + case when line % 2 = 0 then 150 else 0 end as x2, y, y2 from boxes) b using (doc_id) group by all) select doc_id, line, least(540.0, r) as right_limit, greatest(-4400.0, t) as bottom_limit from m")
+def free_space(spark, d):
+    b = F.col("box")
+    p = boxed(spark, d).select("doc_id", "line", "box", G.box(0, -4000, 600, 0).alias("crop"))
+    move = F.when(F.col("line") % 2 == 0, 150.0).otherwise(0.0)
+    blockers = boxed(spark, d).select("doc_id", F.col("line").alias("idx"), G.box(b["x"] + move, b["y"], b["x2"] + move, b["y2"]).alias("box"))
+    return J.nearest_free(p, blockers, ["doc_id"], "line")
+
+
+CHARS = "chars as (select l_orderkey, l_linenumber as char_idx, min(l_partkey % 400)::double as x, min(l_partkey % 400)::double + 4 as x2, min(l_quantity) as size from lineitem group by all)"
+
+
+def line_chars(spark: SparkSession, d: str) -> DataFrame:
+    """A character for each order and line number."""
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("char_idx")).agg(F.min(F.col("l_partkey") % 400).cast("double").alias("x"), F.min("l_quantity").alias("size"))
+    return c.withColumn("box", G.box(F.col("x"), 0, F.col("x") + 4, 10))
+
+
+@query(f"with {CHARS}, f as (select * from chars where char_idx % 2 = 0), c as (select * from chars where char_idx % 2 = 1) select f.l_orderkey, f.char_idx as idx, arg_max(c.char_idx, (c.x2, -c.char_idx)) filter (where c.x2 <= f.x) as left_char, min(f.x - c.x2) filter (where c.x2 <= f.x) as left_gap, arg_min(c.char_idx, (c.x, c.char_idx)) filter (where c.x >= f.x2) as right_char, min(c.x - f.x2) filter (where c.x >= f.x2) as right_gap from f left join c using (l_orderkey) group by all")
+def formula_neighbours(spark, d):
+    c = line_chars(spark, d)
+    f = c.where("char_idx % 2 = 0").select("l_orderkey", F.col("char_idx").alias("idx"), "box")
+    return J.nearest_sides(f, c.where("char_idx % 2 = 1").select("l_orderkey", "char_idx", "box"), ["l_orderkey"], "idx")
+
+
+@query("with can as (select p_type as unicode, p_size % 2 = 0 as bold, p_size % 3 = 0 as italic, p_brand as font, min(p_partkey) as priority from part group by all), best as (select unicode, bold, italic, arg_min(font, priority) as mapped_font from can group by all) select p_partkey, mapped_font from (select p_partkey, p_type as unicode, p_partkey % 2 = 0 as bold, p_partkey % 3 = 0 as italic from part) left join best using (unicode, bold, italic)")
+def mapped_fonts(spark, d):
+    p = table(spark, d, "part")
+    can = p.groupBy(F.col("p_type").alias("unicode"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_size") % 3 == 0).alias("italic"), F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("priority"))
+    can = can.withColumn("font_id", F.concat_ws("|", "brand", "unicode", F.col("bold").cast("string"), F.col("italic").cast("string")))
+    k = F.col("p_partkey")
+    chars = p.select("p_partkey", F.col("p_type").alias("unicode"), (k % 2 == 0).alias("bold"), (k % 3 == 0).alias("italic"))
+    m = J.first_font(chars, can.select("font_id", "bold", "italic", "priority"), can.select("font_id", "unicode"))
+    return m.select("p_partkey", F.split_part("mapped_font", F.lit("|"), F.lit(1)).alias("mapped_font"))
+
+
+@query("with f as (select case when s_nationkey % 4 = 0 then 0 else s_nationkey end as scope, s_suppkey % 10 as font_id, min(s_name) as font from supplier group by all) select c_custkey, coalesce(o.font, p.font) as font from customer c left join f o on o.scope = c.c_nationkey and o.font_id = c.c_custkey % 10 left join (select * from f where scope = 0) p on p.font_id = c.c_custkey % 10")
+def scoped_fonts(spark, d):
+    n = F.col("s_nationkey")
+    f = table(spark, d, "supplier").groupBy(F.when(n % 4 == 0, 0).otherwise(n).alias("scope"), (F.col("s_suppkey") % 10).alias("font_id")).agg(F.min("s_name").alias("font"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("scope"), (F.col("c_custkey") % 10).alias("font_id"))
+    return J.scoped(c, f).select("c_custkey", "font")
+
+
+@query("select p_partkey, p_type as was, coalesce(case when p_partkey % 4 = 0 then p_brand end, p_type) as kind from part")
+def ruled_terms(spark, d):
+    p = table(spark, d, "part")
+    return J.overlaid(p.select("p_partkey", F.col("p_type").alias("kind")), p.where("p_partkey % 4 = 0").select("p_partkey", F.col("p_brand").alias("kind")), ["p_partkey"], "kind")
+
+
+@query("with pages as (select o_orderkey as page, o_custkey as article_id from orders) select a.page as first, b.page as second, a.article_id from pages a join pages b on b.page = a.page + 1 and b.article_id // 10 = a.article_id // 10")
+def article_pairs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.floor(F.col("o_custkey") / 10).alias("article_id"), "o_custkey")
+    p = J.same_article(o.select(F.col("page").alias("first"), (F.col("page") + 1).alias("second")), o.select("page", "article_id"))
+    return p.join(o.select(F.col("page").alias("first"), "o_custkey"), "first").select("first", "second", F.col("o_custkey").alias("article_id"))
+
+
+@query("with v as (select p_partkey as page, p_type as kind from part), l as (select p_partkey as page, case when p_size % 2 = 0 then [p_type] else ['ECONOMY', 'STANDARD'] end as accepted from part where p_partkey % 3 > 0), pol as (select distinct p_type as kind, length(p_type) as policy from part) select page, list_contains(accepted, kind) as hit, coalesce((select bool_or(q.policy = w.policy) from pol q, pol w where w.kind = v.kind and list_contains(l.accepted, q.kind)), false) as policy_hit from v join l using (page)")
+def label_scores(spark, d):
+    p = table(spark, d, "part").select(F.lit("f").alias("file"), F.col("p_partkey").alias("page"), "p_type", "p_size")
+    labels = p.where("page % 3 > 0").select("file", "page", F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array(F.lit("ECONOMY"), F.lit("STANDARD"))).alias("accepted"))
+    policies = p.select(F.col("p_type").alias("kind"), F.length("p_type").alias("policy")).distinct()
+    return J.scored_labels(p.select("file", "page", F.col("p_type").alias("kind")), labels, policies).select("page", "hit", "policy_hit")
+
+
+@query("with t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) as source from benchmark) select source, min(doc_id) as first_page from t left join documents d on contains(regexp_replace(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), source) group by source")
+def term_first_pages(spark, d):
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("s")).select(F.lower("s").alias("source")).distinct()
+    return passes.first_pages(terms, table(spark, d, "documents").select(F.col("doc_id").alias("page_number"), "text"))
+
+
+@query("with t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{9,}'))) as source from benchmark), m as (select source, conv_id * 1000 + turn as id from t, conversations where contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), source)) select source, count(id) as matches, coalesce(array_to_string(list_sort(list(id) filter (where id is not null))[1:3], ','), '') as samples from t left join m using (source) group by source")
+def term_match_counts(spark, d):
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{9,})"))).alias("s")).select(F.lower("s").alias("source")).distinct()
+    asked = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    m = passes.match_counts(terms, asked)
+    return m.select("source", "matches", F.coalesce(F.array_join(F.transform("samples", lambda s: s["id"].cast("string")), ","), F.lit("")).alias("samples"))
+
+
+# Windows.
+
+
+@query(f"with {BOXES}, m as (select *, lag(y) over w as py, lag(y2) over w as py2 from (select doc_id, line, n, y - n % 13 as y, y2 - n % 13 as y2 from boxes) window w as (partition by doc_id order by line)) select doc_id, line, sum(case when greatest(least(y2, py2) - greatest(y, py), 0) / (y2 - y) < 0.1 then 1 else 0 end) over (partition by doc_id order by line) as row_ from m")
+def character_lines(spark, d):
+    b, n = F.col("box"), F.col("n")
+    c = boxed(spark, d).withColumn("row_key", F.col("line")).select("doc_id", "row_key", G.box(b["x"], b["y"] - n % 13, b["x2"], b["y2"] - n % 13).alias("box"))
+    return W.lines_of(c, ["doc_id"], ["row_key"], 0.1).select("doc_id", F.col("row_key").alias("line"), F.col("line").alias("row_"))
+
+
+@query("select conv_id, turn, sum(cut) over (partition by conv_id order by turn) as run from (select conv_id, turn, case when role is distinct from lag(role) over (partition by conv_id order by turn) then 1 else 0 end as cut from conversations where turn % 3 <> 1)")
+def role_runs(spark, d):
+    return W.runs(table(spark, d, "conversations").where("turn % 3 != 1"), ["conv_id"], ["turn"], "role").select("conv_id", "turn", F.col("island").alias("run"))
+
+
+@query("with u as (select l_orderkey, l_linenumber, l_partkey, l_suppkey % 3 as col, l_quantity as y2, l_partkey % 100 as x from lineitem) select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by col, y2 desc, x, l_linenumber, l_partkey) as reading from u qualify count(*) over (partition by l_orderkey, col, y2, x) = 1")
+def reading_order_ranks(spark, d):
+    x = F.col("l_partkey") % 100
+    u = table(spark, d, "lineitem").withColumns({"column": F.col("l_suppkey") % 3, "box": G.box(x, 0, x, F.col("l_quantity"))})
+    alone = F.count("*").over(W.Window.partitionBy("l_orderkey", "column", "l_quantity", x))
+    return W.reading_ranks(u, ["l_orderkey"]).withColumn("_a", alone).where("_a = 1").select("l_orderkey", "l_linenumber", "l_partkey", "reading")
+
+
+@query("with c as (select l_orderkey, l_linenumber as k, min(l_partkey % 400)::double as x, min(l_quantity) as y from lineitem group by all), s as (select *, lead(x) over w - x as dx, lead(y) over w - y as dy from c window w as (partition by l_orderkey order by k)) select l_orderkey, sum(dx) as dx, sum(dy) as dy, sum(abs(dx)) as across, sum(abs(dy)) as down, coalesce(sum(abs(dy)) > sum(abs(dx)), false) as vertical from s group by 1")
+def reading_travel(spark, d):
+    c = line_chars(spark, d).withColumn("box", G.box(F.col("x"), F.col("size"), F.col("x"), F.col("size")))
+    return W.travel(c, ["l_orderkey"], ["char_idx"])
+
+
+@query("with c as (select l_orderkey, l_linenumber as k, min(l_quantity) as s, min(l_partkey) % 4 = 0 as blocked from lineitem group by all), r as (select *, sum(case when blocked then 1 else 0 end) over (partition by l_orderkey order by k) as g from c) select l_orderkey, k, sum(case when blocked then 0 else s end) over (partition by l_orderkey, g order by k) as total_shift from r")
+def column_shifts(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").alias("shift"), (F.min("l_partkey") % 4 == 0).alias("blocked"))
+    return W.shifted_columns(c, ["l_orderkey"], ["k"]).select("l_orderkey", "k", "total_shift")
+
+
+@query("with c as (select l_orderkey, l_linenumber as k, min(l_quantity) as y_new, max(l_quantity) + any_value(l_linenumber) as y_old from lineitem group by l_orderkey, l_linenumber), a as (select *, lag(y_new) over (partition by l_orderkey order by k) as above from c) select l_orderkey, k, case when abs(y_new - y_old) > 6 then 'cap' when y_new < 5 then 'frame' when y_new > above then 'monotone' when above - y_new < 10 then 'gap' end as violation from a")
+def guard_violations(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("k")).agg(F.min("l_quantity").alias("y_new"), F.max("l_quantity").alias("m"))
+    c = c.select("l_orderkey", "k", "y_new", (F.col("m") + F.col("k")).alias("y_old"), F.lit(5.0).alias("y_floor"), F.lit(10.0).alias("height"))
+    return W.first_violation(c, ["l_orderkey"], ["k"], 6.0).select("l_orderkey", "k", "violation")
+
+
+@query("with p as (select o_custkey, o_orderkey, case when o_orderkey % 4 = 1 then '12' else 'text' end as t, o_orderkey % 3 as lay from orders), r as (select *, regexp_matches(t, '^[0-9\\s]*$') as num, last_value(case when t = 'text' then lay end ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as before_lay, lag(t = '12') over (partition by o_custkey order by o_orderkey) as after_num from p) select o_custkey, o_orderkey, sum(case when not num and not (coalesce(after_num, false) and before_lay is not distinct from lay) then 1 else 0 end) over (partition by o_custkey order by o_orderkey) as merged from r")
+def numbered_paragraphs(spark, d):
+    k = F.col("o_orderkey")
+    p = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(k % 4 == 1, "12").otherwise("text").alias("text"), (k % 3).alias("layout_id"), F.lit(None).cast("int").alias("xobj_id"))
+    return W.line_numbers_merged(p, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "merged")
+
+
+@query("select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3")
+def top_excerpts(spark, d):
+    return W.top_n(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_custkey", "o_orderkey")
+
+
+# Folds.
+
+
+@query("with recursive n as (select o_custkey, o_orderkey, o_totalprice as v, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as k from orders), b as (select o_custkey, o_orderkey, k, v as first, 0::bigint as band from n where k = 1 union all select n.o_custkey, n.o_orderkey, n.k, case when n.v - b.first > 30000 then n.v else b.first end, case when n.v - b.first > 30000 then b.band + 1 else b.band end from b join n on n.o_custkey = b.o_custkey and n.k = b.k + 1) select o_custkey, o_orderkey, band from b")
+def column_bands(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return folds.seeded_bands(o, ["o_custkey"], ["o_orderkey"], "o_totalprice", 30000.0).select("o_custkey", "o_orderkey", "band")
+
+
+@query(f"with recursive {CHARS}, n as (select l_orderkey, char_idx, char_idx % 2 as font, size, row_number() over (partition by l_orderkey order by char_idx) as k from chars), b as (select l_orderkey, char_idx, k, font, size, 0::bigint as run from n where k = 1 union all select n.l_orderkey, n.char_idx, n.k, case when n.font <> b.font or abs(n.size - b.size) > 20 then n.font else b.font end, case when n.font <> b.font or abs(n.size - b.size) > 20 then n.size else b.size end, case when n.font <> b.font or abs(n.size - b.size) > 20 then b.run + 1 else b.run end from b join n on n.l_orderkey = b.l_orderkey and n.k = b.k + 1) select l_orderkey, char_idx, run from b")
+def style_run_numbers(spark, d):
+    c = line_chars(spark, d).select("l_orderkey", "char_idx", (F.col("char_idx") % 2).cast("string").alias("font_id"), F.col("size").alias("font_size"))
+    return folds.style_runs(c, ["l_orderkey"], ["char_idx"], tolerance=20.0).select("l_orderkey", "char_idx", "run")
+
+
+@query("with recursive n as (select conv_id, turn, trim(substring(text, 1, 12)) || case when turn % 3 = 0 then '-' else '' end as m, row_number() over (partition by conv_id order by turn) as k from conversations where trim(substring(text, 1, 12)) <> ''), j as (select conv_id, k, m as s from n where k = 1 union all select n.conv_id, n.k, case when regexp_matches(j.s, '\\p{L}-$') and regexp_matches(n.m, '^\\p{Ll}') then regexp_replace(j.s, '-$', '') || n.m else rtrim(j.s) || ' ' || n.m end from j join n on n.conv_id = j.conv_id and n.k = j.k + 1) select conv_id, s as text from j qualify row_number() over (partition by conv_id order by k desc) = 1")
+def joined_chain_texts(spark, d):
+    m = F.concat(F.trim(F.substring("text", 1, 12)), F.when(F.col("turn") % 3 == 0, "-").otherwise(""))
+    t = table(spark, d, "conversations").where(F.trim(F.substring("text", 1, 12)) != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", m.alias("m")))).alias("c"))
+    return t.select("conv_id", folds.joined_members(F.transform("c", lambda x: x["m"])).alias("text"))
+
+
+@query("with u as (select o_custkey, sum(o_totalprice / 1000) as w from orders group by 1), s as (select o_custkey, w, unnest([1, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]::double[]) as scale from u), f as (select o_custkey, any_value(w) as w, coalesce(max(scale) filter (where ceil(w * scale / 200) * 12 * scale <= 60), 0.1) as scale from s group by 1) select o_custkey, scale, ceil(w * scale / 200)::bigint as lines from f")
+def typeset_scales(spark, d):
+    u = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("width"), F.lit(200.0).alias("m"), F.lit(60.0).alias("r"), F.lit(12.0).alias("h"))
+    return folds.optimal_scale(u, ["o_custkey"], "m", "r", "h")
