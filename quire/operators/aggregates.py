@@ -20,6 +20,13 @@ def voted(rows: DataFrame, key: list[str], value: str, seq: str) -> DataFrame:
     return counts.groupBy(*key).agg(F.min_by(F.struct(value, "votes"), F.struct(-F.col("votes"), F.col("first_seq"))).alias("_v")).select(*key, f"_v.{value}", "_v.votes")
 
 
+def without_descent(chars: DataFrame, page: list[str], font: str = "font_id", descent: str = "descent", box: str = "box", seq: str = "char_idx") -> DataFrame:
+    """chars with their boxes raised by the descent that most characters of their font on the page have."""
+    common = voted(chars, [*page, font], descent, seq).select(*page, font, F.col(descent).alias("_d"))
+    b = F.col(box)
+    return chars.join(common, [*page, font], "left").withColumn(box, G.box(b["x"], b["y"] - F.coalesce("_d", F.lit(0.0)), b["x2"], b["y2"] - F.coalesce("_d", F.lit(0.0)))).drop("_d")
+
+
 def weighted_mode(rows: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
     """Each key's value of greatest total weight; of equals the smallest."""
     sums = rows.groupBy(*key, value).agg(F.sum(weight).alias("weight"))

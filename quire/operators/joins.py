@@ -45,6 +45,11 @@ def layout_of(chars: DataFrame, layouts: DataFrame, page: list[str], char: list[
     return chars.join(best, [*page, *char], "left").withColumns({"layout_id": F.col("_best.layout_id"), "class_name": F.col("_best.class_name")}).drop("_best")
 
 
+def one_layout(chars: DataFrame, formula: list[str], layout: str = "layout_id") -> DataFrame:
+    """(formula, same): whether all of a formula's characters lie in one layout; those in none are a layout of their own."""
+    return chars.groupBy(*formula).agg((F.count_distinct(F.coalesce(F.col(layout), F.lit(-1))) == 1).alias("same"))
+
+
 def overlapping(items: DataFrame, others: DataFrame, page: list[str], ratio: float, box: str = "box", how: str = "left_semi", band: float | None = None) -> DataFrame:
     """Items that share more than `ratio` of their area with one of the others on their page (left_anti: that don't). With a
     band (see banded) items that are equal in page and box go one way together."""

@@ -438,7 +438,7 @@ def label_scores(spark, d):
     return J.scored_labels(p.select("file", "page", F.col("p_type").alias("kind")), labels, policies).select("page", "hit", "policy_hit")
 
 
-@query("with t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) as source from benchmark) select source, min(doc_id) as first_page from t left join documents d on contains(regexp_replace(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), source) group by source")
+@query("with t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{10,}'))) as source from benchmark) select t.source, min(doc_id) as first_page from t left join documents d on contains(regexp_replace(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'), t.source) group by t.source")
 def term_first_pages(spark, d):
     terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"))).alias("s")).select(F.lower("s").alias("source")).distinct()
     return passes.first_pages(terms, table(spark, d, "documents").select(F.col("doc_id").alias("page_number"), "text"))
@@ -532,3 +532,376 @@ def joined_chain_texts(spark, d):
 def typeset_scales(spark, d):
     u = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 1000).alias("width"), F.lit(200.0).alias("m"), F.lit(60.0).alias("r"), F.lit(12.0).alias("h"))
     return folds.optimal_scale(u, ["o_custkey"], "m", "r", "h")
+
+
+@query("with recursive n as (select o_custkey, o_orderkey as idx, o_totalprice / 1000 as y2, row_number() over (partition by o_custkey order by o_orderkey) as k from orders), s as (select a.o_custkey, a.k, a.idx as first, b.idx as second, b.y2 - a.y2 > 20 as jump from n a join n b on b.o_custkey = a.o_custkey and b.k = a.k + 1), w as (select o_custkey, k, first, second, jump as taken from s where k = 1 union all select s.o_custkey, s.k, s.first, s.second, s.jump and not w.taken from w join s on s.o_custkey = w.o_custkey and s.k = w.k + 1) select o_custkey, first, second from w where taken")
+def cross_column_pairs(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") / 1000).alias("y2"))
+    return folds.greedy_pairs(o, ["o_custkey"], ["idx"], 20.0)
+
+
+@query("with c as (select l_orderkey, l_linenumber as i, min(l_partkey) % 3 as font, min(l_discount) as descent from lineitem group by all), v as (select l_orderkey, font, arg_min(descent, (-n, f)) as m from (select l_orderkey, font, descent, count(*) as n, min(i) as f from c group by all) group by all) select l_orderkey, i as char_idx, round(10 - m, 6) as y from c join v using (l_orderkey, font)")
+def raised_characters(spark, d):
+    c = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("char_idx")).agg((F.min("l_partkey") % 3).alias("font_id"), F.min("l_discount").alias("descent")).withColumn("box", G.box(0, 10, 5, 20))
+    return A.without_descent(c, ["l_orderkey"]).select("l_orderkey", "char_idx", F.round("box.y", 6).alias("y"))
+
+
+@query("select l_orderkey, count(distinct coalesce(case when l_suppkey % 2 = 0 then l_suppkey % 3 end, -1)) = 1 as same from lineitem group by 1")
+def single_layouts(spark, d):
+    c = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey") % 3).alias("layout_id"))
+    return J.one_layout(c, ["l_orderkey"])
+
+
+# Passes.
+
+
+@query("select conv_id, turn from conversations where conv_id % 5 > 0 and length(text) >= 60 and not (turn % 4 = 3) and role = 'user' and not exists (select 1 from conversations t where t.conv_id = conversations.conv_id and t.turn = conversations.turn and length(t.text) % 7 = 0)")
+def sendable_paragraphs(spark, d):
+    t = table(spark, d, "conversations")
+    p = t.select("conv_id", "turn", "text", F.when(F.col("conv_id") % 5 > 0, F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("debug_id"), (F.col("turn") % 4 == 3).alias("vertical"), F.when(F.col("role") == "user", "text").otherwise("title").alias("layout_label"))
+    taken = p.where("length(text) % 7 = 0 and debug_id is not null")
+    return passes.sendable(p, taken, 60, True).select("conv_id", "turn")
+
+
+@query("with u as (select l_orderkey, l_linenumber, l_partkey, l_suppkey % 2 as r, (l_partkey % 50) * 10.0 as x from lineitem qualify count(*) over (partition by l_orderkey, l_linenumber) = 1) select l_orderkey, l_linenumber from u a where not exists (select 1 from u b where b.l_orderkey = a.l_orderkey and b.l_linenumber <> a.l_linenumber and b.r = a.r and greatest(a.x - (b.x + 5), b.x - (a.x + 5)) <= 60)")
+def solitary_units(spark, d):
+    x = (F.col("l_partkey") % 50) * 10.0
+    y = F.col("l_suppkey") % 2 * 100
+    u = table(spark, d, "lineitem").withColumn("_n", F.count("*").over(W.Window.partitionBy("l_orderkey", "l_linenumber"))).where("_n = 1")
+    u = u.select("l_orderkey", "l_linenumber", G.box(x, y, x + 5, y + 10).alias("box"), F.lit(60.0).alias("font_size"))
+    return passes.solitary(u, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber")
+
+
+@query("with u as (select o_custkey, o_orderkey % 4 as page, o_orderkey % 2 as col, o_orderkey as k from orders), e as (select o_custkey, page, col, min(k) as head, max(k) as tail from u group by all), b as (select *, lead(page) over w as p1, lead(col) over w as c1, lead(head) over w as h1, lead(page, 2) over w as p2, lead(col, 2) over w as c2, lead(head, 2) over w as h2 from e window w as (partition by o_custkey order by page, col)) select o_custkey, page, col, tail, 1 as skip, p1 as head_page, c1 as head_column, h1 as head from b where h1 is not null union all select o_custkey, page, col, tail, 2, p2, c2, h2 from b where h2 is not null")
+def column_pairs(spark, d):
+    k = F.col("o_orderkey")
+    u = table(spark, d, "orders").select("o_custkey", (k % 4).alias("page"), (k % 2).alias("column"), k.alias("par_idx"), k.alias("reading"))
+    return passes.page_column_pairs(u, ["o_custkey"]).withColumnRenamed("column", "col")
+
+
+@query("with l as (select distinct p_brand as chain_id, p_type as label from part where p_partkey % 7 = 0), c as (select distinct p_type as label, length(p_type) % 2 as class from part), n as (select chain_id, count(*) as n from l group by 1), h as (select chain_id, class, count(*) as h from l join c using (label) group by all) select n.chain_id, min(class) as class from n left join h on h.chain_id = n.chain_id and h.h = n.n group by 1")
+def chain_classes(spark, d):
+    p = table(spark, d, "part")
+    return passes.class_of_labels(p.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("chain_id"), F.col("p_type").alias("label")), p.select((F.length("p_type") % 2).alias("class"), F.col("p_type").alias("label")))
+
+
+@query("with p as (select l_orderkey, l_linenumber % 2 as k, max(l_discount * 10) as a, min(l_tax * 10) as b, bool_or(l_quantity > 10) as eligible from lineitem group by all), s as (select l_orderkey, k, eligible, case when eligible then least(greatest((a * case when k = 0 then 0.7 else 0.2 end + b * case when k = 0 then 0.3 else 0.8 end) / 1.0, 0), 1) end as score from p), t as (select * from s qualify row_number() over (partition by l_orderkey order by coalesce(score, -1) desc, k) = 1) select l_orderkey, case when k = 0 then 'body' else 'title' end as pair, round(score, 6) as score, coalesce(score >= 0.5, false) as linked, case when coalesce(score >= 0.5, false) then null when score is null then 'not_eligible' else 'below_threshold' end as reason from t where score is null or abs(score - 0.5) > 1e-9")
+def best_boundaries(spark, d):
+    k = F.col("l_linenumber") % 2
+    p = table(spark, d, "lineitem").groupBy("l_orderkey", k.alias("k")).agg(F.max(F.col("l_discount") * 10).alias("a"), F.min(F.col("l_tax") * 10).alias("b"), F.bool_or(F.col("l_quantity") > 10).alias("eligible"))
+    p = p.withColumns({"pair": F.when(F.col("k") == 0, "body").otherwise("title"), "reason": F.when(~F.col("eligible"), "not_eligible")})
+    b = passes.best_boundary(p, ["l_orderkey"], {"body": {"a": 0.7, "b": 0.3}, "title": {"a": 0.2, "b": 0.8}}, 0.5)
+    return b.where("score is null or abs(score - 0.5) > 1e-9").withColumn("score", F.round("score", 6))
+
+
+@query("select o_orderkey as boundary, case when o_orderkey % 3 = 0 then null when o_orderstatus = 'F' then 'linked' when o_orderpriority in ('1-URGENT', '2-HIGH') then 'trap' else 'clean' end as adjudication from orders")
+def adjudications(spark, d):
+    o = table(spark, d, "orders")
+    truth = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("boundary"), (F.col("o_orderstatus") == "F").alias("linked"), F.col("o_orderpriority").alias("note"))
+    return passes.adjudicated(o.select(F.col("o_orderkey").alias("boundary")), truth, ["urgent", "HIGH"])
+
+
+@query("with r as (select l_orderkey, l_linenumber as i, any_value(case l_linenumber % 3 when 0 then 'formula' when 1 then 'plain' else 'styled' end) as kind, min(l_shipdate::date::varchar) as t from lineitem group by all), m as (select *, count_if(kind <> 'plain') over (partition by l_orderkey) as marks, bool_or(kind = 'plain' or kind = 'styled') over (partition by l_orderkey) as told from r), n as (select *, kind = 'formula' or (kind = 'styled' and marks <= 2) as mark from m), o as (select *, sum(mark::int) over (partition by l_orderkey order by i) as no from n) select l_orderkey, string_agg(case when told and mark and kind = 'formula' then '{v' || no || '}' when told and mark then '<s' || no || '>' || t || '</s' || no || '>' else t end, '' order by i) as sent from o group by 1")
+def placeholder_texts(spark, d):
+    n = F.col("l_linenumber")
+    r = table(spark, d, "lineitem").groupBy("l_orderkey", n.alias("i")).agg(F.min(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("text"))
+    k = F.col("i") % 3
+    return passes.with_placeholders(r.withColumn("kind", F.when(k == 0, "formula").when(k == 1, "plain").otherwise("styled")), ["l_orderkey"], "i", 2).select("l_orderkey", "sent")
+
+
+@query("select conv_id, turn, unnest(['text', 'formula', 'text', 'styled']) as kind, unnest([null, 1, null, 2]::int[]) as number, unnest([role || ' ', null, ' and ', substring(text, 1, 5)]) as said from conversations where not contains(substring(text, 1, 5), '<') union all select conv_id, turn, 'text', null, ' end' from conversations where not contains(substring(text, 1, 5), '<')")
+def parsed_replies(spark, d):
+    t = table(spark, d, "conversations").where(~F.contains(F.substring("text", 1, 5), F.lit("<")))
+    reply = F.concat("role", F.lit(" {V1} and <s2>"), F.substring("text", 1, 5), F.lit("</s2> end{v9}"))
+    parts = passes.parsed_reply(F.lit("{v1} <s2>x</s2>"), reply)
+    return t.select("conv_id", "turn", F.explode(parts).alias("p")).select("conv_id", "turn", "p.kind", "p.number", F.col("p.text").alias("said"))
+
+
+@query("with p as (select o_custkey as article_id, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rank, o_orderkey % 11 = 0 as opens from orders where o_orderpriority in ('1-URGENT', '5-LOW')) select o_orderkey, rank, round((o_orderkey % 30 + 10) / 20.0, 6) as ratio from p where (rank <= 2 or opens) and (o_orderkey % 30 + 10) / 20.0 >= 1.5")
+def drop_cap_candidates(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    p = o.select(F.lit(1).alias("doc"), F.col("o_custkey").alias("article_id"), F.col("o_orderdate").alias("page_number"), k.alias("par_idx"), k.alias("debug_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "text").when(F.col("o_orderpriority") == "5-LOW", "plain text").otherwise("title").alias("layout_label"), (k % 11 == 0).alias("opens"))
+    runs = o.select(F.lit(1).alias("doc"), k.alias("debug_id"), F.lit("A").alias("initial"), (k % 30 + 10).cast("double").alias("initial_size"), F.lit(20.0).alias("median_size"))
+    return passes.drop_caps(p, runs, ["doc"], rank=2).select(F.col("debug_id").alias("o_orderkey"), "rank", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"with {BOXES}, s as (select *, least(1.0, 400 / nullif(x2 - x, 0), 880 / nullif(y2 - y, 0)) as scale from boxes), f as (select *, case when x < 20 then 20 - x when x + (x2 - x) * scale > 420 then 420 - (x + (x2 - x) * scale) else 0 end as dx, case when y < -900 then -900 - y when y + (y2 - y) * scale > -20 then -20 - (y + (y2 - y) * scale) else 0 end as dy from s) select doc_id, line, case when scale < 0.6 then null when scale < 1 then 'shrink' when dx <> 0 or dy <> 0 then 'slide' else 'none' end as action, case when scale < 0.6 then 'scale_floor' end as refusal from f")
+def containment_plans(spark, d):
+    i = boxed(spark, d).select("doc_id", "line", "box").withColumn("bounds", G.box(20, -900, 420, -20))
+    return passes.contained_plans(i).select("doc_id", "line", "action", "refusal")
+
+
+@query(f"with {BOXES}, p as (select a.doc_id, a.line, a.x as ax, a.y as ay, a.x2 as ax2, a.y2 as ay2, b.x as bx, b.y as b_y, b.x2 as bx2, b.y2 as by2 from boxes a join boxes b on b.doc_id = a.doc_id and b.line = a.line + 1), q as (select *, (ax2 - ax) * (ay2 - ay) <= (bx2 - bx) * (by2 - b_y) as a_moves from p), m as (select doc_id, line, a_moves, case when a_moves then ax else bx end as x, case when a_moves then ay else b_y end as y, case when a_moves then ax2 else bx2 end as x2, case when a_moves then ay2 else by2 end as y2, case when a_moves then bx else ax end as ox, case when a_moves then b_y else ay end as oy, case when a_moves then bx2 else ax2 end as ox2, case when a_moves then by2 else ay2 end as oy2 from q) select doc_id, line, case when a_moves then 'a' else 'b' end as moves, (x2 - x) * (y2 - y) / ((ox2 - ox) * (oy2 - oy)) > 0.8 as alike from m")
+def separation_movers(spark, d):
+    a, b = boxed(spark, d).select("doc_id", "line", F.col("box").alias("box_a")), boxed(spark, d).select("doc_id", (F.col("line") - 1).alias("line"), F.col("box").alias("box_b"))
+    p = passes.separation_plans(a.join(b, ["doc_id", "line"]).withColumn("page_box", G.box(-1e9, -1e9, 1e9, 1e9)))
+    return p.select("doc_id", "line", "moves", F.coalesce(F.col("refusal") == "alike", F.lit(False)).alias("alike"))
+
+
+@query("select event_id, case when event_type not in ('click', 'error') then 'unknown_kind' when not ((event_type = 'click' and event_id % 3 in (0, 1)) or (event_type = 'error' and event_id % 3 = 1)) then 'action' when event_id % 2 = 0 then 'not_one_paragraph' end as refusal from events")
+def admitted_issues(spark, d):
+    k = F.col("event_id")
+    i = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.when(k % 3 == 0, "slide").when(k % 3 == 1, "shrink").otherwise("split").alias("action"), F.when(k % 2 == 0, F.array()).otherwise(F.array(F.lit("p"))).alias("paragraph_refs"))
+    return passes.admitted(i, {"click": ["slide", "shrink"], "error": ["shrink"]}).select("event_id", "refusal")
+
+
+@query("select o_custkey, count_if(o_orderkey % 4 > 0 and o_orderstatus <> 'O') >= greatest(0.4 * count(*), 1) as scanned from orders group by 1")
+def scanned_documents(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus") != "O").alias("is_scanned"))
+    return passes.scanned(o, ["o_custkey"], 0.4)
+
+
+@query("select 'big' as field, count_if(o_totalprice > 100000) as rows from orders union all select 'late', count_if(o_orderstatus = 'P') from orders having count_if(o_orderstatus = 'P') > 0")
+def unset_fields(spark, d):
+    o = table(spark, d, "orders").select(F.when(F.col("o_totalprice") > 100000, 1).alias("big"), F.when(F.col("o_orderstatus") == "P", 1).alias("late"), F.when(F.col("o_totalprice") < -1, 1).alias("none"))
+    return passes.fields_set(o, ["big", "late", "none"])
+
+
+@query("with u as (select l_orderkey, 100 as o, l_linenumber as s, 'char ' || l_linenumber as op from lineitem union all select l_orderkey, case when l_linenumber = 1 then 5 else 20 end, l_linenumber, 'curve ' || l_linenumber from lineitem where l_linenumber % 2 = 1) select l_orderkey, string_agg(op, chr(10) order by o, s, op) as stream from u group by 1")
+def drawn_streams(spark, d):
+    n = F.col("l_linenumber")
+    t = table(spark, d, "lineitem").select("l_orderkey", F.col("l_orderkey").alias("page_number"), n.alias("sub_order"))
+    chars = t.withColumn("op", F.concat(F.lit("char "), F.col("sub_order").cast("string")))
+    curves = t.where("sub_order % 2 = 1").withColumn("op", F.concat(F.lit("curve "), F.col("sub_order").cast("string"))).withColumn("render_order", F.when(F.col("sub_order") == 1, 5))
+    return passes.streams_of(passes.render_units(chars=chars, curves=curves), ["l_orderkey"])
+
+
+@query(f"with {BOXES}, u as (select doc_id, line + 1000 as layout_id, case when line % 2 = 0 then 'paragraph_hybrid' else 'table_hybrid' end as class_name, x, y, x2, y2 from boxes union all select doc_id, line + 2000, case when line % 3 = 0 then 'title' else 'text' end, x, y - 0.1, x2, y2 from boxes), h as (select t.doc_id, t.layout_id, least(t.x, min(h.x)) as x, least(t.y, min(h.y)) as y, greatest(t.x2, max(h.x2)) as x2, greatest(t.y2, max(h.y2)) as y2 from u t join u h on h.doc_id = t.doc_id and h.class_name = 'paragraph_hybrid' and h.layout_id = t.layout_id - 1000 where t.class_name = 'text' group by t.doc_id, t.layout_id, t.x, t.y, t.x2, t.y2) select doc_id, layout_id, u.class_name, round(coalesce(h.y, u.y), 6) as y from u left join h using (doc_id, layout_id)")
+def united_layouts(spark, d):
+    b, k = F.col("box"), F.col("line")
+    one = boxed(spark, d).select("doc_id", k.alias("layout_id"), F.when(k % 2 == 0, "paragraph").otherwise("table").alias("class_name"), "box", F.lit(0.9).alias("conf"))
+    two = boxed(spark, d).select("doc_id", k.alias("layout_id"), F.when(k % 3 == 0, "title").otherwise("text").alias("class_name"), G.box(b["x"], b["y"] - 0.1, b["x2"], b["y2"]).alias("box"), F.lit(0.8).alias("conf"))
+    return passes.hybrid_layout(one, two, ["doc_id"]).select("doc_id", "layout_id", "class_name", F.round("box.y", 6).alias("y"))
+
+
+# Services.
+
+
+@query("with c as (select l_partkey, l_suppkey, l_returnflag, max(l_orderkey * 10 + l_linenumber) as id from lineitem where l_linestatus = 'F' group by all) select distinct l.l_partkey as engine, l.l_suppkey as params, l.l_returnflag as text, case when c.id is not null then 't' || c.id end as translation from lineitem l left join c using (l_partkey, l_suppkey, l_returnflag)")
+def cache_hits(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("engine"), F.col("l_suppkey").alias("params"), F.col("l_returnflag").alias("text"), "l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    cache = l.where("l_linestatus = 'F'").select("id", "engine", "params", "text", F.concat(F.lit("t"), F.col("id").cast("string")).alias("translation"))
+    return services.hits(l.select("engine", "params", "text").distinct(), cache)
+
+
+@query("with c as (select o_orderkey as id, o_custkey as engine, o_orderpriority as params, o_orderstatus as text from orders where o_orderkey % 2 = 0), n as (select (select max(id) from c) + o_orderkey + 1 as id, o_custkey as engine, o_orderpriority as params, o_orderstatus as text from orders where o_orderkey % 2 = 1) select engine, params, text, max(id) as id from (select * from c union all select * from n) group by all")
+def cache_upserts(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    cols = [F.col("o_custkey").alias("engine"), F.col("o_orderpriority").alias("params"), F.col("o_orderstatus").alias("text")]
+    return services.upserted(o.where(k % 2 == 0).select(k.alias("id"), *cols), o.where(k % 2 == 1).select((k + 1).alias("seq"), *cols), "seq").select("engine", "params", "text", "id")
+
+
+@query("with r as (select l_orderkey, min(l_quantity) as a, max(l_quantity) as b, min(l_partkey % 7)::double as c, max(l_partkey % 7)::double as e, count(*) as n from lineitem group by 1) select l_orderkey, n % 4 <> 3 and (case when n % 2 = 0 then a < b or c < e else false end) as improved from r")
+def improved_rounds(spark, d):
+    r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b"), F.min(F.col("l_partkey") % 7).cast("double").alias("c"), F.max(F.col("l_partkey") % 7).cast("double").alias("e"), F.count("*").alias("n"))
+    before = F.array(F.when(F.col("n") % 4 != 3, F.when(F.col("n") % 2 == 0, F.col("b")).otherwise(F.col("a"))), F.when(F.col("n") % 2 == 0, F.col("e")).otherwise(F.col("c")))
+    after = F.array(F.when(F.col("n") % 2 == 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("n") % 2 == 0, F.col("c")).otherwise(F.col("e")))
+    return r.select("l_orderkey", services.improved(before, after).alias("improved"))
+
+
+@query("with c as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations) select conv_id, turn, right(text, 20) as before, left(nxt, 20) as after from c where nxt is not null")
+def boundary_windows(spark, d):
+    t = J.adjacent(table(spark, d, "conversations"), ["conv_id"], "turn", ["text"])
+    return t.select("conv_id", "turn", services.windows_at(F.col("text"), F.col("next_text"), 20).alias("w")).select("conv_id", "turn", "w.before", "w.after")
+
+
+@query("select conv_id as chain_id, count(*) as members, sum(length(text)) as tokens, case when count(*) < 4 then 'single' else null end as few, case when count(*) < 2 then 'single' when bool_or(turn = 5) then 'blank_member' when sum(length(text)) > 2500 then 'too_long' end as refusal from conversations group by 1")
+def chain_plans(spark, d):
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("chain_index"), F.when(F.col("turn") == 5, " ").otherwise(F.col("text")).alias("text"), F.length("text").alias("tokens"))
+    return services.planned_chains(m, 2500).select("chain_id", "members", "tokens", F.when(F.col("members") < 4, "single").alias("few"), "refusal")
+
+
+@query("with n as (select user_id, row_number() over (partition by user_id order by event_id) as sequence from events) select sequence from n where user_id = 3 and sequence > 4")
+def replayed_events(spark, d):
+    w = W.Window.partitionBy("user_id").orderBy("event_id")
+    log = table(spark, d, "events").where("user_id = 3").select(F.col("user_id").cast("string").alias("execution_id"), F.row_number().over(w).cast("long").alias("sequence"))
+    return services.replayed(log, "3", 4).select("sequence")
+
+
+# Sources and sinks.
+
+
+@query("select c_custkey, '<tr><td>' || c_name || ' &amp; &lt;b&gt;</td><td>' || c_mktsegment || '</td></tr>' as value from customer")
+def review_rows(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" & <b>")).alias("n"), "c_mktsegment")
+    # html_rows() gives the rows alone; the key stands first in them and is cut off again.
+    r = files.html_rows(c, ["c_custkey", "n", "c_mktsegment"])
+    return r.select(F.regexp_extract("value", "<td>(\\d+)</td>", 1).cast("long").alias("c_custkey"), F.regexp_replace("value", "^<tr><td>\\d+</td>", "<tr>").alias("value"))
+
+
+@query("select '| n_name | n_regionkey |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_name || ' | ' || n_regionkey || ' |', chr(10) order by n_name) as value from nation")
+def report_table(spark, d):
+    return files.markdown_table(table(spark, d, "nation").select("n_name", "n_regionkey"), ["n_name"])
+
+
+@query("select p_brand as file, p_partkey::int as page, case when p_size % 2 = 0 then p_type else p_type || ',other' end as accepted from part")
+def accepted_labels(spark, d):
+    p = table(spark, d, "part")
+    raw = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.to_json(F.array("p_type", F.lit("other"))))
+    pages = F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), raw)))
+    text = p.groupBy("p_brand").agg(pages.alias("m")).select(F.to_json(F.create_map("p_brand", "m")).alias("value"))
+    return files.page_labels(text).select("file", "page", F.array_join("accepted", ",").alias("accepted"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 > 0 then o_orderkey % 100 end::int as tail_page, case when o_orderkey % 3 > 0 then o_custkey end::int as head_page from orders")
+def boundary_keys(spark, d):
+    k = F.col("o_orderkey")
+    key = F.concat(F.lit(" "), (k % 100).cast("string"), F.when(k % 3 == 0, "-").when(k % 3 == 1, " -> ").otherwise("->"), F.col("o_custkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", files.boundary(key).alias("b")).select("o_orderkey", "b.*")
+
+
+@query("with e as (select p_name as path, max(case when p_size > 5 then p_brand end) as publication, count(*) as n from part where p_partkey % 2 = 0 group by 1), f as (select p_name as path, min(p_size)::varchar as sha256 from part where p_partkey % 3 > 0 group by 1), m as (select p_name as path, min(p_size)::varchar as w from part group by 1) select path, 'duplicate' as fault from e where n > 1 union all select path, 'no_publication' from e where publication is null union all select path, 'missing' from e where path not in (select path from f) union all select path, 'unlisted' from f where path not in (select path from e) union all select path, 'changed' from m join f using (path) where w <> sha256")
+def registry_checks(spark, d):
+    p, one = table(spark, d, "part").withColumnRenamed("p_name", "path"), F.min("p_size").cast("string")
+    listed = p.where("p_partkey % 2 = 0")
+    known = listed.groupBy("path").agg(F.max(F.when(F.col("p_size") > 5, F.col("p_brand"))).alias("publication"), F.count("*").alias("n"))
+    twice = known.where("n > 1").select("path", F.lit("x").alias("publication"))
+    on_disk = p.where("p_partkey % 3 > 0").groupBy("path").agg(one.alias("sha256"))
+    return files.registry_faults(known.select("path", "publication").unionByName(twice), on_disk, p.groupBy("path").agg(one.alias("sha256"))).distinct()
+
+
+@query("with l as (select p_brand as file, p_partkey as page, p_type as kind from part) select file, page, 'type:' || kind as fault from l where kind not in ('ECONOMY', 'STANDARD') union all select file, page, 'page' from l where page % 5 = 0")
+def label_faults(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("page"), F.array("p_type").alias("accepted"))
+    return files.unknown_labels(p, ["ECONOMY", "STANDARD"], p.where("page % 5 > 0").select("file", "page"))
+
+
+@query("select p_partkey as page_number, side, case when side = 0 then p_name else p_type end as text from part, (values (0), (1)) s(side) where side = 0 or p_partkey % 3 > 0")
+def alternating_pages(spark, d):
+    p = table(spark, d, "part").withColumnRenamed("p_partkey", "page_number")
+    return files.interleaved(p.select("page_number", F.col("p_name").alias("text")), p.where("page_number % 3 > 0").select("page_number", F.col("p_type").alias("text"))).select("page_number", "side", "text")
+
+
+@query("select p_partkey as page_number, case when p_partkey % 4 > 0 then p_name end as original, case when p_partkey % 3 > 0 then p_type end as translated from part where p_partkey % 4 > 0 or p_partkey % 3 > 0")
+def facing_pages(spark, d):
+    p = table(spark, d, "part").withColumnRenamed("p_partkey", "page_number")
+    s = files.side_by_side(p.where("page_number % 4 > 0").select("page_number", F.col("p_name").alias("text")), p.where("page_number % 3 > 0").select("page_number", F.col("p_type").alias("text")))
+    return s.select("page_number", F.col("original.text").alias("original"), F.col("translated.text").alias("translated"))
+
+
+@query("with s as (select o_custkey % 7 as part, count(*) as n from orders group by 1), b as (select part, coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as b from s), p as (select o_orderkey, o_custkey % 7 as part, row_number() over (partition by o_custkey % 7 order by o_orderkey) - 1 as page from orders) select o_orderkey, (page + b)::bigint as page_number from p join b using (part)")
+def merged_page_numbers(spark, d):
+    part = F.col("o_custkey") % 7
+    o = table(spark, d, "orders").select("o_orderkey", part.alias("part"), (F.row_number().over(W.Window.partitionBy(part).orderBy("o_orderkey")) - 1).cast("long").alias("page_number"))
+    return files.merged_parts(o, ["page_number"])[0].select("o_orderkey", "page_number")
+
+
+# Content streams: a part is a page that shows its name, in a form of its own where its number is odd.
+
+TEXT = "shown as (select p_partkey, p_name, (p_size % 9 + 4) as size, p_partkey % 50 as x, p_size as y from part)"
+
+
+def streams(spark: SparkSession, d: str, before: str = "") -> DataFrame:
+    size, x = (F.col("p_size") % 9 + 4).cast("string"), (F.col("p_partkey") % 50).cast("string")
+    s = F.concat(F.lit(before + "BT /F1 "), size, F.lit(" Tf "), x, F.lit(" "), F.col("p_size").cast("string"), F.lit(" Td ("), "p_name", F.lit(") Tj ET"))
+    return table(spark, d, "part").select("p_partkey", F.encode(s, "utf-8").alias("content"))
+
+
+@query(f"with {TEXT} select p_partkey, unnest([0, 1, 2, 3, 4]) as seq, unnest(['BT', 'Tf', 'Td', 'Tj', 'ET']) as operator, unnest(['[]', '[\"/F1\", ' || size || ']', '[' || x || ', ' || y || ']', '[{{\"hex\": \"' || lower(hex(encode(p_name))) || '\"}}]', '[]']) as operands from shown")
+def content_operations(spark, d):
+    return content.operations_of(streams(spark, d), ["p_partkey"])
+
+
+@query(f"with {TEXT} select p_partkey, lower(hex(encode(p_name))) as codes, '/F1' as font, size::double as font_size, 2.0 as a, (2 * x + 7)::double as e, (3 * y + 9)::double as f from shown")
+def content_text_runs(spark, d):
+    ops = content.operations_of(streams(spark, d, "q 2 0 0 3 7 9 cm "), ["p_partkey"])
+    return content.text_runs(ops, ["p_partkey"]).select("p_partkey", "codes", "font", "font_size", "a", "e", "f")
+
+
+@query(f"with {TEXT} select p_partkey, i::int as pos, substring(p_name, i + 1, 1) as unicode, round(x + 0.5 * size * i, 6) as x, round(x + 0.5 * size * (i + 1), 6) as x2, round(y - 0.2 * size, 6) as y, round(y + 0.8 * size, 6) as y2 from shown, range(0, 60) r(i) where i < length(p_name)")
+def content_glyphs(spark, d):
+    runs = content.text_runs(content.operations_of(streams(spark, d), ["p_partkey"]), ["p_partkey"])
+    widths = spark.range(32, 127).select(F.lit("/F1").alias("font"), F.col("id").cast("int").alias("code"), F.chr("id").alias("unicode"), F.lit(500.0).alias("width"), F.lit(800.0).alias("ascent"), F.lit(-200.0).alias("descent"))
+    g = content.glyphs(runs, widths, ["p_partkey"])
+    return g.select("p_partkey", "pos", "unicode", *[F.round(f"box.{c}", 6).alias(c) for c in ("x", "x2", "y", "y2")])
+
+
+@query(f"with {TEXT}, g as (select p_partkey, i::int as pos, substring(p_name, i + 1, 1) as u from shown, range(0, 60) r(i) where i < length(p_name)) select p_partkey, count(*) as n from g where u = ' ' or u < 'n' group by 1")
+def content_valid_characters(spark, d):
+    t = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.concat("p_name", F.lit("\x07")), "")).alias("unicode")).withColumn("font", F.lit("f"))
+    mapped = spark.range(0, 110).select(F.lit("f").alias("font"), F.chr("id").alias("unicode")).unionByName(spark.createDataFrame([("f", "")], "font string, unicode string"))
+    return content.valid_chars(t, mapped).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("with p as (select p_partkey, p_partkey % 2 = 1 as form from part) select p_partkey, count(*) as operations from (select p_partkey, unnest(case when form then ['q', 'BT', 'Tf', 'Td', 'Tj', 'ET', 'Q'] else ['q', 'Do', 'Q'] end) as op from p) group by 1")
+def content_forms(spark, d):
+    key = ["p_partkey"]
+    page = table(spark, d, "part").select("p_partkey", F.encode(F.lit("q /X1 Do Q"), "utf-8").alias("content"))
+    forms = content.operations_of(streams(spark, d).where("p_partkey % 2 = 1"), key).withColumn("name", F.lit("/X1"))
+    return content.with_forms(content.operations_of(page, key), forms, key).groupBy("p_partkey").agg(F.count("*").alias("operations"))
+
+
+@query("select p_partkey, p_size as code, chr(97 + p_size % 26) as unicode from part union all select p_partkey, 100 + i, chr(65 + i::int) from part, range(0, 3) r(i)")
+def content_code_maps(spark, d):
+    h = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    s = F.concat(F.lit("1 beginbfchar\n<"), h(F.col("p_size"), 2), F.lit("> <"), h(97 + F.col("p_size") % 26, 4), F.lit(">\nendbfchar\n1 beginbfrange\n<64> <66> <0041>\nendbfrange"))
+    return table(spark, d, "part").select("p_partkey", F.explode(content.to_unicode(F.encode(s, "utf-8"))).alias("code", "unicode"))
+
+
+# Streams.
+
+
+@query("select user_id::varchar as execution_id, round(100 * sum(value * least(greatest(event_id % 7, 0) / 5.0, 1)) / nullif(sum(value), 0), 6) as progress from events group by 1")
+def overall_progress(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("execution_id"), F.col("event_type").alias("stage"), F.col("value").alias("weight"), (F.col("event_id") % 7).alias("done"), F.lit(5).alias("total"))
+    return S.progress(e).withColumn("progress", F.round("progress", 6))
+
+
+@query("select user_id::varchar as execution_id, max(event_id) + 1 as sequence, 'error' as type from events group by 1 having not bool_or(event_type = 'error')")
+def unfinished_executions(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("execution_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("type"))
+    return S.unfinished(log).select("execution_id", "sequence", "type")
+
+
+# Characters.
+
+
+@query("with c as (select p_partkey, i::int as i, substring(replace(p_name, ' ', ''), i + 1, 1) as u, sum(case when i % 4 = 0 then 12 else 5 end) over (partition by p_partkey order by i) as x from part, range(0, 60) r(i) where i < length(replace(p_name, ' ', ''))), g as (select *, x - (lag(x) over w + 5) as gap from c window w as (partition by p_partkey order by i)) select p_partkey, string_agg(case when gap > 1 then ' ' else '' end || u, '' order by i) as text from g group by 1")
+def spaced_texts(spark, d):
+    name = F.replace("p_name", F.lit(" "), F.lit(""))
+    c = table(spark, d, "part").select("p_partkey", F.posexplode(F.split(name, "")).alias("i", "unicode")).where("unicode != ''")
+    x = F.sum(F.when(F.col("i") % 4 == 0, 12.0).otherwise(5.0)).over(W.Window.partitionBy("p_partkey").orderBy("i"))
+    c = c.withColumn("_x", x).select("p_partkey", "i", "unicode", G.box(F.col("_x"), 0, F.col("_x") + 5, 10).alias("box"))
+    return C.texts(c, ["p_partkey"], "i")
+
+
+@query("with c as (select p_partkey, unnest(regexp_extract_all(p_name || '+α7[•(', '(?s).')) as u from part) select p_partkey, count_if(u <> ' ' and (regexp_matches(u, '^[0-9\\[\\]•]') or u in ('+', 'α') or u = 'q' or u = 'w')) as starts from c group by 1")
+def formula_starts(spark, d):
+    c = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.concat("p_name", F.lit("+α7[•(")), "")).alias("u")).where("u != ''")
+    u = F.col("u")
+    return c.groupBy("p_partkey").agg(F.count_if(C.begins_formula(u, u != "q", "w")).alias("starts"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then upper(substring(p_name, 1, 1)) || substring(p_name, 2) else 'A  ' || upper(p_name) end as text, case when p_size % 2 = 0 then 2.0 else 0.0 end as y from part")
+def closed_initials(spark, d):
+    even = F.col("p_size") % 2 == 0
+    first = F.upper(F.substring("p_name", 1, 1))
+    p = table(spark, d, "part").select("p_partkey", F.when(even, F.concat(first, F.lit("  "), F.expr("substring(p_name, 2)"))).otherwise(F.concat(F.lit("A  "), F.upper("p_name"))).alias("text"), F.when(even, first).otherwise("A").alias("initial"), G.box(0, 0, 9, 20).alias("box"), G.box(1, 2, 8, 18).alias("body_box"))
+    return C.flattened_initials(p).select("p_partkey", "text", "box.y")
+
+
+@query("with w as (select p_partkey, (p_size * 10)::double as width, 200.0 as room from part), s as (select *, round(1 - greatest(ceil(round((1 - room / nullif(width, 0)) / 0.05, 9)), 0) * 0.05, 6) as s from w) select p_partkey, case when width > 0 and s >= 0.5 then s when width = 0 then 1.0 end as scale from s")
+def heading_scales(spark, d):
+    return C.single_line_scale(table(spark, d, "part").select("p_partkey", (F.col("p_size") * 10).cast("double").alias("width"), F.lit(200.0).alias("room"))).select("p_partkey", "scale")
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then 1 + p_size % 3 end::int as after from part")
+def repeated_headings(spark, d):
+    n = F.col("p_size") % 3
+    own = F.slice(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.lit(1), n + 1)
+    runs = F.when(F.col("p_size") % 2 == 0, F.concat(own, F.array(F.upper(F.array_join(own, " "))))).otherwise(F.concat(own, F.array("p_name")))
+    return table(spark, d, "part").select("p_partkey", C.repeats_at(runs).alias("after"))
+
+
+@query("select doc_id, case when lang in ('de', 'fr') then 'roman' when lang = 'en' and doc_id % 2 = 0 then 'british' when lang = 'en' then 'english' else 'default' end as profile from documents where doc_id is not null")
+def language_profile_rows(spark, d):
+    tag = F.when((F.col("lang") == "en") & (F.col("doc_id") % 2 == 0), "EN_GB").when(F.col("lang") == "en", "en-US").when(F.col("lang") == "de", "de_AT").otherwise(F.col("lang"))
+    prefixes = spark.createDataFrame([("de", "roman"), ("fr", "roman"), ("en", "english"), ("en-gb", "british")], "prefix string, profile string")
+    return C.language_profiles(table(spark, d, "documents").where("doc_id is not null").select("doc_id", tag.alias("language")), prefixes, "default").select("doc_id", "profile")
+
+
+@query("with b as (select o_custkey as page, o_orderstatus as kind, count(*) as n from orders where o_orderkey % 2 = 0 group by all), a as (select o_custkey as page, o_orderstatus as kind, count(*) as n from orders where o_orderkey % 2 = 1 group by all), w as (select distinct page from a left join b using (page, kind) where a.n > coalesce(b.n, 0)) select c_custkey as page, case when c_custkey in (select page from w) then 'before' else 'after' end as state from customer")
+def rolled_back_pages(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderstatus").alias("kind"), "o_orderkey")
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("page"))
+    return C.rolled_back(p.withColumn("state", F.lit("before")), p.withColumn("state", F.lit("after")), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["page"])

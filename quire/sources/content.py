@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,14 +198,15 @@ def valid_chars(chars: DataFrame, mapped: DataFrame, unicode: str = "unicode") -
 def to_unicode(stream: Column) -> Column:
     """A ToUnicode stream as map<int, string>."""
 
-    @F.udf("map<int, string>")
-    def parse(data):
-        return None if data is None else cmap(bytes(data))
+    @F.arrow_udf("map<int, string>")
+    def parse(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else sorted(cmap(x).items()) for x in data.to_pylist()], pa.map_(pa.int32(), pa.string()))
 
     return parse(stream)
 
 
 def cmap(data: bytes) -> dict[int, str]:
+    """The text of each code; a range ends where Unicode does, as no code beyond could have a text."""
     out: dict[int, str] = {}
     text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
     clean = lambda b: re.sub(rb"(?<=[0-9A-Fa-f])\s+(?=[0-9A-Fa-f]*>)", b"", b)
@@ -213,11 +215,11 @@ def cmap(data: bytes) -> dict[int, str]:
             out[int(code, 16)] = text(to)
     for body in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
         for lo, hi, each, one in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:\[(.*?)\]|<([0-9A-Fa-f]+)>)", body, re.S):
-            first, last = int(lo, 16), min(int(hi, 16), int(lo, 16) + 65535)
+            first, last = int(lo, 16), int(hi, 16)
             if one:
                 base = text(one)
-                for i in range(first, last + 1):
-                    out[i] = base[:-1] + chr(ord(base[-1]) + i - first) if base else ""
+                for i in range(first, min(last, first + 0x10FFFF - ord(base[-1])) + 1 if base else first):
+                    out[i] = base[:-1] + chr(ord(base[-1]) + i - first)
             else:
                 for i, h in zip(range(first, last + 1), re.findall(rb"<([0-9A-Fa-f]+)>", each), strict=False):
                     out[i] = text(h)
