@@ -52,29 +52,30 @@ def batched(rows: DataFrame, scope: list[str], order: list[str], tokens: str, mo
 def seeded_bands(rows: DataFrame, scope: list[str], order: list[str], value: str, gap: float, name: str = "band") -> DataFrame:
     """Bands of ascending values; one begins where a value is more than `gap` past the band's first."""
 
-    def number(g):
-        out, band, first = [], -1, None
-        for v in g[value]:
-            if first is None or v - first > gap:
-                band, first = band + 1, v
-            out.append(band)
-        return out
+    def step(s: Column, row: Column) -> Column:
+        v = row["_row"][value].cast("double")
+        new = s["first"].isNull() | (v - s["first"] > gap)
+        n = F.when(new, s["n"] + 1).otherwise(s["n"])
+        return F.struct(n.alias("n"), F.when(new, v).otherwise(s["first"]).alias("first"), F.concat(s["out"], F.array(n)).alias("out"))
 
-    return _numbered(rows, scope, [value, *order], name, number)
+    first = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("double").alias("first"), F.array().cast("array<long>").alias("out"))
+    return folded_sql(rows.drop(name), scope, [value, *order], first, step, name)
 
 
 def style_runs(rows: DataFrame, scope: list[str], order: list[str], font: str = "font_id", size: str = "font_size", tolerance: float = 0.02, name: str = "run") -> DataFrame:
     """Runs in the style of the run's first character (sizes within a tolerance); formulas cut runs."""
+    formula = "is_formula" in rows.columns
 
-    def number(g):
-        out, run, seed = [], -1, None
-        for f, s, cut in zip(g[font], g[size], g["is_formula"] if "is_formula" in g else [False] * len(g), strict=True):
-            if seed is None or cut or seed[2] or f != seed[0] or abs(s - seed[1]) > tolerance:
-                run, seed = run + 1, (f, s, cut)
-            out.append(run)
-        return out
-
-    return _numbered(rows, scope, order, name, number)
+    def step(s: Column, row: Column) -> Column:
+        f, v = row["_row"][font].cast("string"), row["_row"][size].cast("double")
+        cut = F.coalesce(row["_row"]["is_formula"], F.lit(False)) if formula else F.lit(False)
+        new = (s["n"] < 0) | cut | s["cut"] | ~f.eqNullSafe(s["font"]) | (F.abs(v - s["size"]) > tolerance)
+        keep = lambda now, was: F.when(new, now).otherwise(was)
+        n = keep(s["n"] + 1, s["n"])
+        return F.struct(n.alias("n"), keep(f, s["font"]).alias("font"), keep(v, s["size"]).alias("size"), keep(cut, s["cut"]).alias("cut"), F.concat(s["out"], F.array(n)).alias("out"))
+
+    first = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("string").alias("font"), F.lit(None).cast("double").alias("size"), F.lit(False).alias("cut"), F.array().cast("array<long>").alias("out"))
+    return folded_sql(rows.drop(name), scope, order, first, step, name)
 
 
 def line_bands(rows: DataFrame, scope: list[str], order: list[str], ratio: float = 0.5, name: str = "band") -> DataFrame:

@@ -85,7 +85,7 @@ def leader_dot_lines(spark, d):
     return table(spark, d, "part").where(T.leader_dots(F.concat("p_name", F.lit(" "), dots, F.lit(" "), size.cast("string")))).select("p_partkey")
 
 
-@query(f"with {LINES} select doc_id, count(*) as n_lines, sum(length(txt)) as n_chars from lines where length(txt) >= 5 and not regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$') and not regexp_matches(txt, '^[0-9\\s]*$') group by doc_id")
+@query(f"with {LINES} select doc_id, count(*) as n_lines, sum(length(txt))::bigint as n_chars from lines where length(txt) >= 5 and not regexp_matches(trim(txt), '^-?\\d+(\\.\\d+)?$') and not regexp_matches(txt, '^[0-9\\s]*$') group by doc_id")
 def filter_translatable(spark, d):
     t = F.col("txt")
     return lines(spark, d).where((F.col("n") >= 5) & ~T.pure_numeric(t) & ~T.digits_or_space(t)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_chars"))
@@ -292,7 +292,7 @@ def corpus_sum_ratio(spark, d):
     return A.corpus_ratio(t, ["l_linestatus"]).withColumns({"numerator": F.round("numerator", 2), "denominator": F.round("denominator", 2)})
 
 
-@query(f"with o as (select role, case when length({ENDED}) > 0 then right({ENDED}, 1) not in ('.', '!', '?', '。', '！', '？', '…') end as open from conversations) select role, count(*) as n, count_if(open) as open, grouping(role)::int as level, round(count_if(open) / count(*), 6) as rate from o group by rollup(role)")
+@query(f"with o as (select role, case when length({ENDED}) > 0 then right({ENDED}, 1) not in ('.', '!', '?', '。', '！', '？', '…') end as open from conversations) select role, count(*) as n, count_if(open)::bigint as open, grouping(role)::int as level, round(count_if(open) / count(*), 6) as rate from o group by rollup(role)")
 def mid_break_rate(spark, d):
     t = table(spark, d, "conversations").withColumn("o", T.open_end(F.col("text")) == 1)
     return A.strata(t, "role", "o").withColumn("rate", F.round("rate", 6))
@@ -448,7 +448,11 @@ def translation_redistribution(spark, d):
     return folds.redistributed(t.select(F.col("conv_id").alias("chain_id"), F.col("m.n").alias("lengths"), "translation"))
 
 
-@query()
+SENTENCE = "(?:[.!?]+[\"''”’»)\\]]*(?:\\s+|$)|[。！？…]+[”’」』）]*\\s*)"
+SHORT = "(?:^|\\s)[(\"''“‘]*(?:Mr|Mrs|Dr|St|vs|e\\.g|i\\.e|No)\\.[.!?]*[\"''”’»)\\]]*(?:\\s|$)"
+
+
+@query(f"select doc_id, (len(regexp_extract_all(text, '{SENTENCE}')) - len(regexp_extract_all(text, '{SHORT}')) + case when regexp_matches(text, '{SENTENCE}$') or text = '' then 0 else 1 end)::int as n_sentences, true as lossless from documents where text is not null")
 def lossless_sentences(spark, d):
     t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
     return t.select("doc_id", F.size("s").alias("n_sentences"), (F.array_join("s", "") == F.col("text")).alias("lossless"))

@@ -65,7 +65,7 @@ def name_shapes(spark, d):
     return n.select("k", T.name_or_label(F.col("t")).alias("shape"))
 
 
-@query("with c as (select conv_id, turn, unnest(regexp_extract_all(text || ' 漢字、かな', '(?s).')) as c from conversations) select conv_id, turn, count_if(regexp_matches(c, '^[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ac00}-\\x{d7af}]$')) as cjk, count_if(contains(',.;:!?，。；：！？、''\"”’)」』》', c)) as hanging, count_if(regexp_matches(c, '^(?:\\s|-|[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ac00}-\\x{d7af}])$')) as breaks from c group by all")
+@query("with c as (select conv_id, turn, unnest(regexp_extract_all(text || ' 漢字、かな', '(?s).')) as c from conversations) select conv_id, turn, count_if(regexp_matches(c, '^[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ac00}-\\x{d7af}]$'))::bigint as cjk, count_if(contains(',.;:!?，。；：！？、''\"”’)」』》', c))::bigint as hanging, count_if(regexp_matches(c, '^(?:\\s|-|[\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{ac00}-\\x{d7af}])$'))::bigint as breaks from c group by all")
 def character_classes(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.split(F.concat("text", F.lit(" 漢字、かな")), "")).alias("c")).where("c != ''")
     c = F.col("c")
@@ -455,14 +455,14 @@ def term_match_counts(spark, d):
 # Windows.
 
 
-@query(f"with {BOXES}, m as (select *, lag(y) over w as py, lag(y2) over w as py2 from (select doc_id, line, n, y - n % 13 as y, y2 - n % 13 as y2 from boxes) window w as (partition by doc_id order by line)) select doc_id, line, sum(case when greatest(least(y2, py2) - greatest(y, py), 0) / (y2 - y) < 0.1 then 1 else 0 end) over (partition by doc_id order by line) as row_ from m")
+@query(f"with {BOXES}, m as (select *, lag(y) over w as py, lag(y2) over w as py2 from (select doc_id, line, n, y - n % 13 as y, y2 - n % 13 as y2 from boxes) window w as (partition by doc_id order by line)) select doc_id, line, sum(case when greatest(least(y2, py2) - greatest(y, py), 0) / (y2 - y) < 0.1 then 1 else 0 end) over (partition by doc_id order by line)::bigint as row_ from m")
 def character_lines(spark, d):
     b, n = F.col("box"), F.col("n")
     c = boxed(spark, d).withColumn("row_key", F.col("line")).select("doc_id", "row_key", G.box(b["x"], b["y"] - n % 13, b["x2"], b["y2"] - n % 13).alias("box"))
     return W.lines_of(c, ["doc_id"], ["row_key"], 0.1).select("doc_id", F.col("row_key").alias("line"), F.col("line").alias("row_"))
 
 
-@query("select conv_id, turn, sum(cut) over (partition by conv_id order by turn) as run from (select conv_id, turn, case when role is distinct from lag(role) over (partition by conv_id order by turn) then 1 else 0 end as cut from conversations where turn % 3 <> 1)")
+@query("select conv_id, turn, sum(cut) over (partition by conv_id order by turn)::bigint as run from (select conv_id, turn, case when role is distinct from lag(role) over (partition by conv_id order by turn) then 1 else 0 end as cut from conversations where turn % 3 <> 1)")
 def role_runs(spark, d):
     return W.runs(table(spark, d, "conversations").where("turn % 3 != 1"), ["conv_id"], ["turn"], "role").select("conv_id", "turn", F.col("island").alias("run"))
 
@@ -494,7 +494,7 @@ def guard_violations(spark, d):
     return W.first_violation(c, ["l_orderkey"], ["k"], 6.0).select("l_orderkey", "k", "violation")
 
 
-@query("with p as (select o_custkey, o_orderkey, case when o_orderkey % 4 = 1 then '12' else 'text' end as t, o_orderkey % 3 as lay from orders), r as (select *, regexp_matches(t, '^[0-9\\s]*$') as num, last_value(case when t = 'text' then lay end ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as before_lay, lag(t = '12') over (partition by o_custkey order by o_orderkey) as after_num from p) select o_custkey, o_orderkey, sum(case when not num and not (coalesce(after_num, false) and before_lay is not distinct from lay) then 1 else 0 end) over (partition by o_custkey order by o_orderkey) as merged from r")
+@query("with p as (select o_custkey, o_orderkey, case when o_orderkey % 4 = 1 then '12' else 'text' end as t, o_orderkey % 3 as lay from orders), r as (select *, regexp_matches(t, '^[0-9\\s]*$') as num, last_value(case when t = 'text' then lay end ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding) as before_lay, lag(t = '12') over (partition by o_custkey order by o_orderkey) as after_num from p) select o_custkey, o_orderkey, sum(case when not num and not (coalesce(after_num, false) and before_lay is not distinct from lay) then 1 else 0 end) over (partition by o_custkey order by o_orderkey)::bigint as merged from r")
 def numbered_paragraphs(spark, d):
     k = F.col("o_orderkey")
     p = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(k % 4 == 1, "12").otherwise("text").alias("text"), (k % 3).alias("layout_id"), F.lit(None).cast("int").alias("xobj_id"))
@@ -651,7 +651,7 @@ def scanned_documents(spark, d):
     return passes.scanned(o, ["o_custkey"], 0.4)
 
 
-@query("select 'big' as field, count_if(o_totalprice > 100000) as rows from orders union all select 'late', count_if(o_orderstatus = 'P') from orders having count_if(o_orderstatus = 'P') > 0")
+@query("select 'big' as field, count_if(o_totalprice > 100000)::bigint as rows from orders union all select 'late', count_if(o_orderstatus = 'P')::bigint from orders having count_if(o_orderstatus = 'P') > 0")
 def unset_fields(spark, d):
     o = table(spark, d, "orders").select(F.when(F.col("o_totalprice") > 100000, 1).alias("big"), F.when(F.col("o_orderstatus") == "P", 1).alias("late"), F.when(F.col("o_totalprice") < -1, 1).alias("none"))
     return passes.fields_set(o, ["big", "late", "none"])
@@ -705,7 +705,7 @@ def boundary_windows(spark, d):
     return t.select("conv_id", "turn", services.windows_at(F.col("text"), F.col("next_text"), 20).alias("w")).select("conv_id", "turn", "w.before", "w.after")
 
 
-@query("select conv_id as chain_id, count(*) as members, sum(length(text)) as tokens, case when count(*) < 4 then 'single' else null end as few, case when count(*) < 2 then 'single' when bool_or(turn = 5) then 'blank_member' when sum(length(text)) > 2500 then 'too_long' end as refusal from conversations group by 1")
+@query("select conv_id as chain_id, count(*) as members, sum(length(text))::bigint as tokens, case when count(*) < 4 then 'single' else null end as few, case when count(*) < 2 then 'single' when bool_or(turn = 5) then 'blank_member' when sum(length(text)) > 2500 then 'too_long' end as refusal from conversations group by 1")
 def chain_plans(spark, d):
     m = table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("chain_index"), F.when(F.col("turn") == 5, " ").otherwise(F.col("text")).alias("text"), F.length("text").alias("tokens"))
     return services.planned_chains(m, 2500).select("chain_id", "members", "tokens", F.when(F.col("members") < 4, "single").alias("few"), "refusal")
@@ -802,13 +802,13 @@ def content_operations(spark, d):
     return content.operations_of(streams(spark, d), ["p_partkey"])
 
 
-@query(f"with {TEXT} select p_partkey, lower(hex(encode(p_name))) as codes, '/F1' as font, size::double as font_size, 2.0 as a, (2 * x + 7)::double as e, (3 * y + 9)::double as f from shown")
+@query(f"with {TEXT} select p_partkey, lower(hex(encode(p_name))) as codes, '/F1' as font, size::double as font_size, 2.0::double as a, (2 * x + 7)::double as e, (3 * y + 9)::double as f from shown")
 def content_text_runs(spark, d):
     ops = content.operations_of(streams(spark, d, "q 2 0 0 3 7 9 cm "), ["p_partkey"])
     return content.text_runs(ops, ["p_partkey"]).select("p_partkey", "codes", "font", "font_size", "a", "e", "f")
 
 
-@query(f"with {TEXT} select p_partkey, i::int as pos, substring(p_name, i + 1, 1) as unicode, round(x + 0.5 * size * i, 6) as x, round(x + 0.5 * size * (i + 1), 6) as x2, round(y - 0.2 * size, 6) as y, round(y + 0.8 * size, 6) as y2 from shown, range(0, 60) r(i) where i < length(p_name)")
+@query(f"with {TEXT} select p_partkey, i::int as pos, substring(p_name, i + 1, 1) as unicode, (x + 0.5 * size * i)::double as x, (x + 0.5 * size * (i + 1))::double as x2, (y - 0.2 * size)::double as y, (y + 0.8 * size)::double as y2 from shown, range(0, 60) r(i) where i < length(p_name)")
 def content_glyphs(spark, d):
     runs = content.text_runs(content.operations_of(streams(spark, d), ["p_partkey"]), ["p_partkey"])
     widths = spark.range(32, 127).select(F.lit("/F1").alias("font"), F.col("id").cast("int").alias("code"), F.chr("id").alias("unicode"), F.lit(500.0).alias("width"), F.lit(800.0).alias("ascent"), F.lit(-200.0).alias("descent"))
@@ -847,9 +847,10 @@ def overall_progress(spark, d):
     return S.progress(e).withColumn("progress", F.round("progress", 6))
 
 
-@query("select user_id::varchar as execution_id, max(event_id) + 1 as sequence, 'error' as type from events group by 1 having not bool_or(event_type = 'error')")
+@query("select user_id || '-' || event_id % 400 as execution_id, max(event_id) + 1 as sequence, 'error' as type from events group by 1 having not bool_or(event_type = 'error')")
 def unfinished_executions(spark, d):
-    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("execution_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("type"))
+    name = F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 400).cast("string"))
+    log = table(spark, d, "events").select(name.alias("execution_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("type"))
     return S.unfinished(log).select("execution_id", "sequence", "type")
 
 
@@ -865,14 +866,14 @@ def spaced_texts(spark, d):
     return C.texts(c, ["p_partkey"], "i")
 
 
-@query("with c as (select p_partkey, unnest(regexp_extract_all(p_name || '+α7[•(', '(?s).')) as u from part) select p_partkey, count_if(u <> ' ' and (regexp_matches(u, '^[0-9\\[\\]•]') or u in ('+', 'α') or u = 'q' or u = 'w')) as starts from c group by 1")
+@query("with c as (select p_partkey, unnest(regexp_extract_all(p_name || '+α7[•(', '(?s).')) as u from part) select p_partkey, count_if(u <> ' ' and (regexp_matches(u, '^[0-9\\[\\]•]') or u in ('+', 'α') or u = 'q' or u = 'w'))::bigint as starts from c group by 1")
 def formula_starts(spark, d):
     c = table(spark, d, "part").select("p_partkey", F.explode(F.split(F.concat("p_name", F.lit("+α7[•(")), "")).alias("u")).where("u != ''")
     u = F.col("u")
     return c.groupBy("p_partkey").agg(F.count_if(C.begins_formula(u, u != "q", "w")).alias("starts"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then upper(substring(p_name, 1, 1)) || substring(p_name, 2) else 'A  ' || upper(p_name) end as text, case when p_size % 2 = 0 then 2.0 else 0.0 end as y from part")
+@query("select p_partkey, case when p_size % 2 = 0 then upper(substring(p_name, 1, 1)) || substring(p_name, 2) else 'A  ' || upper(p_name) end as text, case when p_size % 2 = 0 then 2.0 else 0.0 end::double as y from part")
 def closed_initials(spark, d):
     even = F.col("p_size") % 2 == 0
     first = F.upper(F.substring("p_name", 1, 1))

@@ -126,45 +126,63 @@ def text_runs(ops: DataFrame, key: list[str]) -> DataFrame:
     kinds = dict(ops.dtypes)
     more = "run long, part long, codes string, adjust double, font string, font_size double, char_space double, word_space double, scale double, rise double, a double, b double, c double, d double, e double, f double"
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out, saved, run = [], [], 0
-        s = {"ctm": UNIT, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0}
-        tm = tlm = UNIT
-        for op, raw in zip(g["operator"], g["operands"], strict=True):
-            x = json.loads(raw)
-            try:
-                if op == "q":
-                    saved.append(dict(s))
-                elif op == "Q" and saved:
-                    s = saved.pop()
-                elif op == "cm":
-                    s["ctm"] = times(tuple(map(float, x[:6])), s["ctm"])
-                elif op == "BT":
-                    tm = tlm = UNIT
-                elif op == "Tf":
-                    s["font"], s["size"] = x[0], float(x[1])
-                elif op in ("Tc", "Tw", "Tz", "TL", "Ts"):
-                    s[op] = float(x[0])
-                elif op == "Tm":
-                    tm = tlm = tuple(map(float, x[:6]))
-                elif op in ("Td", "TD", "T*", "'", '"'):
-                    if op == "TD":
-                        s["TL"] = -float(x[1])
-                    if op == '"':
-                        s["Tw"], s["Tc"] = float(x[0]), float(x[1])
-                    dx, dy = (float(x[0]), float(x[1])) if op in ("Td", "TD") else (0.0, -s["TL"])
-                    tm = tlm = times((1.0, 0.0, 0.0, 1.0, dx, dy), tlm)
-                if op in ("Tj", "TJ", "'", '"'):
-                    parts = x[0] if op == "TJ" else [x[-1]]
-                    for i, p in enumerate(parts):
-                        codes = p["hex"] if isinstance(p, dict) else None
-                        out.append((*(g[k].iloc[0] for k in key), run, i, codes, 0.0 if codes is not None else float(p), s["font"], s["size"], s["Tc"], s["Tw"], s["Tz"] / 100, s["Ts"], *times(tm, s["ctm"])))
-                    run += 1
-            except (IndexError, TypeError, ValueError, KeyError):
-                continue  # an operation with operands that don't fit is passed over
-        return pd.DataFrame(out, columns=[*key, *(c.split()[0] for c in more.split(", "))])
-
-    return ops.groupBy(*key).applyInPandas(lambda g: fold(g.sort_values("seq")), ", ".join([*(f"{k} {kinds[k]}" for k in key), more]))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, fold = None, None
+        for f in frames:
+            out: list[tuple] = []
+            for *k, op, raw in f[[*key, "operator", "operands"]].itertuples(index=False, name=None):
+                if k != page:
+                    page, fold = k, TextState()
+                out += [(*k, *shown) for shown in fold.step(op, json.loads(raw))]
+            yield pd.DataFrame(out, columns=[*key, *(c.split()[0] for c in more.split(", "))])
+
+    # Pages come one after another in a partition, so that none is a group in memory.
+    ordered = ops.select(*key, "seq", "operator", "operands").repartition(*key).sortWithinPartitions(*key, "seq")
+    return ordered.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), more]))
+
+
+class TextState:
+    """The state of graphics and text of a page, and the number of strings shown so far."""
+
+    def __init__(self) -> None:
+        self.saved: list[dict] = []
+        self.run = 0
+        self.s = {"ctm": UNIT, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0}
+        self.tm = self.tlm = UNIT
+
+    def step(self, op: str, x: list) -> list[tuple]:
+        """What an operation shows. One whose operands don't fit is passed over."""
+        s, out = self.s, []
+        try:
+            if op == "q":
+                self.saved.append(dict(s))
+            elif op == "Q" and self.saved:
+                self.s = s = self.saved.pop()
+            elif op == "cm":
+                s["ctm"] = times(tuple(map(float, x[:6])), s["ctm"])
+            elif op == "BT":
+                self.tm = self.tlm = UNIT
+            elif op == "Tf":
+                s["font"], s["size"] = x[0], float(x[1])
+            elif op in ("Tc", "Tw", "Tz", "TL", "Ts"):
+                s[op] = float(x[0])
+            elif op == "Tm":
+                self.tm = self.tlm = tuple(map(float, x[:6]))
+            elif op in ("Td", "TD", "T*", "'", '"'):
+                if op == "TD":
+                    s["TL"] = -float(x[1])
+                if op == '"':
+                    s["Tw"], s["Tc"] = float(x[0]), float(x[1])
+                dx, dy = (float(x[0]), float(x[1])) if op in ("Td", "TD") else (0.0, -s["TL"])
+                self.tm = self.tlm = times((1.0, 0.0, 0.0, 1.0, dx, dy), self.tlm)
+            if op in ("Tj", "TJ", "'", '"'):
+                for i, p in enumerate(x[0] if op == "TJ" else [x[-1]]):
+                    codes = p["hex"] if isinstance(p, dict) else None
+                    out.append((self.run, i, codes, 0.0 if codes is not None else float(p), s["font"], s["size"], s["Tc"], s["Tw"], s["Tz"] / 100, s["Ts"], *times(self.tm, s["ctm"])))
+                self.run += 1
+        except (IndexError, TypeError, ValueError, KeyError):
+            pass
+        return out
 
 
 def glyphs(runs: DataFrame, widths: DataFrame, key: list[str], code_bytes: int = 1) -> DataFrame:
