@@ -229,3 +229,16 @@ def joined_lines(lines: DataFrame, page: list[str], order: list[str], overlap: f
 
     kinds = dict(lines.dtypes)
     return folded(lines, page, order, join, ", ".join([*(f"{c} {kinds[c]}" for c in page), "x double, y double, x2 double, y2 double, members array<long>"]))
+
+
+def words_of(glyphs: DataFrame, page: list[str], order: list[str], gap: float = 0.3) -> DataFrame:
+    """(page, word, text, box): words read from glyphs (unicode, font_size, box) alone, whatever paragraphs say: a word ends
+    at a space, at a gap of `gap` font sizes and where a glyph shares less than half its height with the one before."""
+    w = Window.partitionBy(*page).orderBy(*order)
+    blank = F.trim("unicode") == ""
+    b, before = F.col("box"), F.lag("box").over(w)
+    new = blank | F.coalesce(F.lag(blank).over(w), F.lit(True)) | (b["x"] - before["x2"] > gap * F.col("font_size")) | (b["x"] < before["x"]) | (G.y_overlap_over_first(b, before) < 0.5)
+    g = glyphs.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("word", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    letters = F.array_sort(F.collect_list(F.struct(*order, F.col("unicode").alias("_u"))))
+    out = g.where(~blank).groupBy(*page, "word").agg(F.array_join(F.transform(letters, lambda x: x["_u"]), "").alias("text"), G.bounding_box(F.col("box")).alias("box"))
+    return out.select(*page, "word", "text", "box")

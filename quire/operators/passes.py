@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -234,6 +235,79 @@ def modelled(pages: DataFrame, model: Callable[[], Callable[[pd.DataFrame], pd.D
     return pages.mapInPandas(run, schema)
 
 
+def detected(pages: DataFrame, page: list[str], session: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: list[str], least: float = 0.25, side: int = 1024) -> DataFrame:
+    """(page, layout_id, class_name, conf, box) of page images (image: binary rows of grey pixels, width and height in
+    pixels) by an object detector; box in the image's own pixels, y up.
+
+    session() is made once a worker; it is given float images of side x side in 0..1, batch first, and gives for each an
+    array of rows x, y, x2, y2, confidence, class in these pixels, y down. Images are scaled to fit and padded, and boxes
+    are scaled back; rows under `least` confidence and of no listed class go.
+    """
+    kinds = dict(pages.dtypes)
+
+    def run(frames):
+        predict = session()
+        for f in frames:
+            images, scales = [], []
+            for data, w, h in zip(f["image"], f["width"], f["height"], strict=True):
+                grey, k = np.frombuffer(bytes(data), np.uint8).reshape(h, w), side / max(w, h)
+                ys, xs = ((np.arange(max(1, int(n * k))) / k).astype(int).clip(0, n - 1) for n in (h, w))
+                padded = np.zeros((side, side), np.float32)
+                padded[: len(ys), : len(xs)] = grey[ys][:, xs] / 255
+                images.append(padded)
+                scales.append(k)
+            out = []
+            for *key, h, k, found in zip(*(f[c] for c in page), f["height"], scales, predict(np.stack(images)) if images else [], strict=True):
+                n = 0
+                for x, y, x2, y2, conf, kind in np.asarray(found, float).reshape(-1, 6):
+                    if conf >= least and 0 <= int(kind) < len(classes):
+                        out.append((*key, n, classes[int(kind)], float(conf), {"x": x / k, "y": h - y2 / k, "x2": x2 / k, "y2": h - y / k}))
+                        n += 1
+            yield pd.DataFrame(out, columns=[*page, "layout_id", "class_name", "conf", "box"])
+
+    return pages.select(*page, "image", "width", "height").mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in page), f"layout_id int, class_name string, conf double, box {G.BOX}"]))
+
+
+def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
+    """Mean structural similarity of two grey images, over square windows of equal weight."""
+    window = min(window, *a.shape)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        s = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return (s[window:, window:] - s[:-window, window:] - s[window:, :-window] + s[:-window, :-window]) / window**2
+
+    a, b = a.astype(float), b.astype(float)
+    ma, mb, n = mean(a), mean(b), window**2 / max(1, window**2 - 1)
+    va, vb, cov = n * (mean(a * a) - ma * ma), n * (mean(b * b) - mb * mb), n * (mean(a * b) - ma * mb)
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+
+
+def image_similarity(a: Column, b: Column, width: Column) -> Column:
+    """SSIM of grey images (binary rows of `width` pixels); null where one is missing or their sizes differ."""
+
+    @F.arrow_udf("double")
+    def alike(one: pa.Array, two: pa.Array, widths: pa.Array) -> pa.Array:
+        out = []
+        for x, y, w in zip(one.to_pylist(), two.to_pylist(), widths.to_pylist(), strict=True):
+            fits = x and y and w and len(x) == len(y) and len(x) % w == 0
+            out.append(ssim(np.frombuffer(x, np.uint8).reshape(-1, w), np.frombuffer(y, np.uint8).reshape(-1, w)) if fits else None)
+        return pa.array(out, pa.float64())
+
+    return alike(a, b, width)
+
+
+def scan_pages(pages: DataFrame, least: float = 0.95) -> DataFrame:
+    """pages (whole, textless: a page's images with and without its text, width) with is_scanned: the text makes no
+    difference to be seen. Null where the images can't be compared."""
+    return pages.withColumn("is_scanned", image_similarity(F.col("whole"), F.col("textless"), F.col("width")) > least)
+
+
+def marked_scans(pages: DataFrame, doc: list[str], share: float = 0.8) -> DataFrame:
+    """Documents of which more than that share of pages holds invisible text or artifact marks."""
+    return pages.groupBy(*doc).agg((F.count_if(F.coalesce(F.col("invisible") | F.col("artifact"), F.lit(False))) > share * F.count("*")).alias("scanned"))
+
+
 def hybrid_layout(first: DataFrame, second: DataFrame, page: list[str], least: float = 0.95) -> DataFrame:
     """Boxes of two layout services (ids from 1000 and 2000), most confident first; a text box that a hybrid paragraph all but
     equals takes the union of both."""
@@ -267,3 +341,20 @@ def judged(rows: DataFrame, ask: Callable[[], Callable[[str], str]], prompt: str
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return rows.mapInPandas(run, f"{kinds}, _reply string").withColumn("reply", F.from_json("_reply", schema)).drop("_reply")
+
+
+def cached_answers(requests: DataFrame, cache: DataFrame, ask: Callable[[], Callable[[str], str]], prompt: str, schema: str, save: Callable[[DataFrame], DataFrame], attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(requests with `digest` and `reply`, the new rows of the cache): replies from the cache (digest, reply: JSON) or of a
+    client, which is asked once for each new prompt, again up to `attempts` times while its reply is no JSON.
+
+    save(df) writes the new rows where all executors can read them, so that a client is not asked again. A reply that never
+    becomes JSON, or holds nothing of the schema, is null and not kept.
+    """
+    from quire.functions.records import cache_digest
+
+    keyed = requests.withColumn("digest", cache_digest(F.col(prompt)))
+    known = cache.select("digest", "reply").dropDuplicates(["digest"])
+    new = keyed.join(known, "digest", "left_anti").select("digest", F.col(prompt).alias("_prompt")).dropDuplicates(["digest"])
+    fresh = save(judged(new, ask, "_prompt", schema, attempts).select("digest", F.to_json("reply").alias("reply")).where("reply is not null and reply != '{}'"))
+    told = known.unionByName(fresh)
+    return keyed.join(told, "digest", "left").withColumn("reply", F.from_json("reply", schema)), fresh

@@ -18,7 +18,7 @@ from quire.operators import folds, passes, services
 from quire.operators import joins as J
 from quire.operators import windows as W
 from quire.plans.catalog import AREA, BOXES, LINES, PAIR, REGIONS, boxed, lines, query, regions, table
-from quire.sources import content, files
+from quire.sources import content, files, pdf
 from quire.streaming import events as S
 
 # Text.
@@ -906,3 +906,108 @@ def rolled_back_pages(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderstatus").alias("kind"), "o_orderkey")
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("page"))
     return C.rolled_back(p.withColumn("state", F.lit("before")), p.withColumn("state", F.lit("after")), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["page"])
+
+
+# Files of pages: parts are pages of their brand's document.
+
+
+def brand_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    n = (F.row_number().over(W.Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("page_number")
+    stream = F.concat(F.lit("BT /F1 9 Tf "), (F.col("p_partkey") % 50).cast("string"), F.lit(" "), F.col("p_size").cast("string"), F.lit(" Td ("), "p_name", F.lit(") Tj ET"))
+    return p.select("p_brand", n, (200.0 + F.col("p_size")).alias("width"), F.lit(300.0).alias("height"), stream.alias("stream"))
+
+
+PAGED = "paged as (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as page_number from part)"
+
+
+@query(f"with {PAGED} select p_brand, page_number::int as page_number, lower(hex(encode(p_name))) as codes, (p_partkey % 50)::double as e, p_size::double as f from paged")
+def pdf_texts(spark, d):
+    pages = pdf.pages_of(pdf.documents_of(brand_pages(spark, d), ["p_brand"]).withColumnRenamed("pdf", "content"), ["p_brand"])
+    key = ["p_brand", "page_number"]
+    return content.text_runs(content.operations_of(pages, key), key).select(*key, "codes", "e", "f")
+
+
+@query(f"with {PAGED} select p_brand, page_number::int as page_number, (200 + p_size)::double as width, 300.0::double as height, null::varchar as corrupt from paged union all select 'damaged', null, null, null, 'Refused: no PDF header'")
+def pdf_geometry(spark, d):
+    files_ = pdf.documents_of(brand_pages(spark, d), ["p_brand"]).withColumnRenamed("pdf", "content")
+    damaged = spark.range(1).select(F.lit("damaged").alias("p_brand"), F.encode(F.lit("no file"), "utf-8").alias("content"))
+    p = pdf.pages_of(files_.unionByName(damaged), ["p_brand"], geometry=True)
+    return p.select("p_brand", "page_number", F.col("media")[2].alias("width"), F.col("media")[3].alias("height"), "corrupt")
+
+
+@query(f"with {PAGED} select p_brand, (2 * page_number + s)::int as page_number, (200 + p_size)::double as width from paged, (values (0), (1)) t(s)")
+def pdf_dual_pages(spark, d):
+    p = brand_pages(spark, d)
+    both = pdf.documents_of(pdf.dual_pages(p, p.withColumn("stream", F.lit("BT ET")), ["p_brand"]), ["p_brand"])
+    return pdf.pages_of(both.withColumnRenamed("pdf", "content"), ["p_brand"]).select("p_brand", "page_number", F.col("media")[2].alias("width"))
+
+
+@query(f"with {TEXT}, w as (select p_partkey, size, x, unnest(string_split(p_name, ' ')) as text, p_name from shown) select p_partkey, text, round(x + 0.5 * size * (strpos(p_name, text) - 1), 6)::double as x from w")
+def glyph_words(spark, d):
+    runs = content.text_runs(content.operations_of(streams(spark, d), ["p_partkey"]), ["p_partkey"])
+    widths = spark.range(32, 127).select(F.lit("/F1").alias("font"), F.col("id").cast("int").alias("code"), F.chr("id").alias("unicode"), F.lit(500.0).alias("width"), F.lit(800.0).alias("ascent"), F.lit(-200.0).alias("descent"))
+    return C.words_of(content.glyphs(runs, widths, ["p_partkey"]), ["p_partkey"], ["run", "part", "pos"]).select("p_partkey", "text", F.round("box.x", 6).alias("x"))
+
+
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of 16 x 8 pixels with a white rectangle of 4 x 3 whose place the part's numbers give."""
+    x, y = F.col("p_partkey") % 12, F.col("p_size") % 5
+    row = F.concat(F.repeat(F.lit("00"), x), F.lit("ff" * 4), F.repeat(F.lit("00"), 12 - x))
+    image = F.unhex(F.concat(F.repeat(F.lit("00" * 16), y), F.repeat(row, F.lit(3)), F.repeat(F.lit("00" * 16), 5 - y)))
+    return table(spark, d, "part").select("p_partkey", "p_size", image.alias("image"), F.lit(16).alias("width"), F.lit(8).alias("height"))
+
+
+def bright_boxes():
+    """A detector of the bright part of an image; its second finding has too little confidence."""
+    import numpy as np
+
+    def predict(images):
+        out = []
+        for m in images > 0.5:
+            ys, xs = np.nonzero(m)
+            box = (xs.min(), ys.min(), xs.max() + 1, ys.max() + 1)
+            out.append([(*box, 0.9, 1), (*box, 0.1, 0)])
+        return out
+
+    return predict
+
+
+@query("select p_partkey, 0 as layout_id, 'figure' as class_name, (p_partkey % 12)::double as x, (8 - 3 - p_size % 5)::double as y, (p_partkey % 12 + 4)::double as x2, (8 - p_size % 5)::double as y2 from part")
+def detected_layouts(spark, d):
+    return passes.detected(page_images(spark, d), ["p_partkey"], bright_boxes, ["text", "figure"], side=64).select("p_partkey", "layout_id", "class_name", "box.x", "box.y", "box.x2", "box.y2")
+
+
+@query("select p_partkey, p_size % 3 = 0 as is_scanned from part where p_size % 4 > 0 union all select p_partkey, null from part where p_size % 4 = 0")
+def scanned_pages(spark, d):
+    i = page_images(spark, d)
+    empty = F.unhex(F.lit("00" * 128))
+    both = i.select("p_partkey", F.col("image").alias("whole"), F.when(F.col("p_size") % 4 > 0, F.when(F.col("p_size") % 3 == 0, F.col("image")).otherwise(empty)).alias("textless"), "width")
+    return passes.scan_pages(both).select("p_partkey", "is_scanned")
+
+
+@query("select o_custkey, count_if((o_orderstatus = 'F') or o_orderkey % 3 = 0) > 0.6 * count(*) as scanned from orders group by 1")
+def marked_scans(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("invisible"), (F.col("o_orderkey") % 3 == 0).alias("artifact"))
+    return passes.marked_scans(o, ["o_custkey"], 0.6)
+
+
+def rule_client():
+    """A client that answers by a rule: no JSON on the first try for some prompts, never for others."""
+    tried: dict[str, int] = {}
+
+    def ask(prompt: str) -> str:
+        n = tried[prompt] = tried.get(prompt, 0) + 1
+        if prompt.startswith("STANDARD") or (prompt.startswith("ECONOMY") and n == 1):
+            return "I think"
+        return '{"action": "%s", "size": %d}' % ("slide" if len(prompt) % 2 else "shrink", len(prompt))
+
+    return ask
+
+
+@query("with p as (select distinct p_type || ' ' || p_size as prompt from part) select prompt, case when prompt like 'STANDARD 1%' then 'kept' when prompt like 'STANDARD%' then null when length(prompt) % 2 = 1 then 'slide' else 'shrink' end as action from p")
+def cached_decisions(spark, d):
+    asked = table(spark, d, "part").select(F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("prompt")).distinct()
+    cache = asked.where("prompt like 'STANDARD 1%'").select(R.cache_digest(F.col("prompt")).alias("digest"), F.lit('{"action": "kept", "size": 1}').alias("reply"))
+    answers, _ = passes.cached_answers(asked, cache, rule_client, "prompt", "action string, size int", save=lambda df: df)
+    return answers.select("prompt", "reply.action")
