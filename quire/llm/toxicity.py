@@ -128,6 +128,8 @@ class Matcher:
         """The folded text; (weight, end) of the best term at each word's start; exceptions' spans."""
         base = plain(text)
         folded = base.translate(FOLD)
+        if not self.any:
+            return folded, {}, []
         best: dict[int, tuple[float, int]] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, stem, whole, exception) in self.auto.iter(folded):
@@ -228,8 +230,7 @@ def learn(sample: DataFrame, fit: Fit = Fit(), text: str = "text", label: str =
     rows = {r.term: r.a for r in found}
     general = {t[:-1] for t, n in rows.items() if n >= fit.covered * rows.get(t[:-1], 2**62)}
     terms = {r.term: r.weight for r in found if r.term not in general}
-    m = Matcher(Model(terms, exceptions, 0.0, 0.0, fit.padding))
-    if m.any:
+    if terms:
         harmless = counted(sample, _phrases(Model(terms, (), 0.0, 0.0, fit.padding))).where((a == 0) & (b >= fit.harmless)).orderBy("term").collect()
         exceptions = tuple(dict.fromkeys([*exceptions, *(r.term for r in harmless)]))
     model = Model(terms, exceptions, 0.0, 0.0, fit.padding)
