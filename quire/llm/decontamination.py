@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle.
 WORDS = 5
-#: Rows of a sketch table that are broadcast at most; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Shingles of items that are broadcast at once, and bytes of their words; more items are taken in blocks, each against all documents.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -47,7 +47,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, doc_id
 
     Shingles are five words; an item of fewer words is one shingle of its own, and is found where its words stand in a
     row. Rows with a null id or text, and texts without words, are in no pair; rows that share an id count as one text.
-    Only ids and texts are read, so that other columns can't clash.
+    Only ids and texts are read, so that other columns can't clash. Items are taken in blocks of bounded size, so that a set
+    of any size is searched; documents are read once for each block.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where(F.col("item_id").isNotNull() & (F.size("w") > 0))
@@ -55,22 +56,26 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, doc_id
     spoken = docs.select("doc_id", words(F.col("text")).alias("w"))
     found = []
     for n in sorted(lengths):
-        own = items.where(F.size("w") >= n if n == WORDS else F.size("w") == n)
-        whole = shingled(own, n).select("item_id", hashed(n).alias("h"), joined(n).alias("s")).distinct()
-        sizes = whole.groupBy("item_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("h")).alias("hs"))
-        # The partition's upper bound sets the sketch; `need` of its hashes are in every document that qualifies.
-        bound = F.pow(F.lit(2), F.ceil(F.log2(F.col("size"))))
-        kept = F.least(F.size("hs"), (F.floor(bound * (1 - threshold)) + 1).cast("int"))
-        need = F.greatest(F.lit(1), kept - (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)))
-        sketch = sizes.select("item_id", need.alias("need"), F.explode(F.slice("hs", F.lit(1), kept)).alias("h"))
-        small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        hits = shingled(spoken, n).select("doc_id", hashed(n).alias("h")).join(F.broadcast(sketch) if small else sketch, "h")
-        likely = hits.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("doc_id", "item_id")
-        texts = spoken.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
-        said = shingled(texts, n).select("doc_id", joined(n).alias("s"))
-        shared = said.join(F.broadcast(whole.select("item_id", "s")) if small else whole.select("item_id", "s"), "s").distinct()
-        shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(F.broadcast(sizes.select("item_id", "size")) if small else sizes.select("item_id", "size"), "item_id")
-        found.append(shared.where(F.col("shared") >= F.col("size") * threshold - 1e-9).select("doc_id", "item_id", "shared", (F.col("shared") / F.col("size")).alias("containment")))
+        every = items.where(F.size("w") >= n if n == WORDS else F.size("w") == n)
+        told = shingled(every, n).agg(F.count("*").alias("rows"), F.sum(F.octet_length(joined(n))).alias("bytes")).first()
+        blocks = max(1, -(-told["rows"] // BROADCAST_ROWS), -(-(told["bytes"] or 0) // BROADCAST_BYTES))
+        for k in range(blocks):
+            own = every.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else every
+            # No key of a join is dealt to one task: a block's shingles go to all of them.
+            whole = shingled(own, n).select("item_id", hashed(n).alias("h"), joined(n).alias("s")).distinct()
+            sizes = whole.groupBy("item_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("h")).alias("hs"))
+            # The partition's upper bound sets the sketch; `need` of its hashes are in every document that qualifies.
+            bound = F.pow(F.lit(2), F.ceil(F.log2(F.col("size"))))
+            kept = F.least(F.size("hs"), (F.floor(bound * (1 - threshold)) + 1).cast("int"))
+            need = F.greatest(F.lit(1), kept - (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)))
+            sketch = sizes.select("item_id", need.alias("need"), F.explode(F.slice("hs", F.lit(1), kept)).alias("h"))
+            hits = shingled(spoken, n).select("doc_id", hashed(n).alias("h")).join(F.broadcast(sketch), "h")
+            likely = hits.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("doc_id", "item_id")
+            texts = spoken.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
+            said = shingled(texts, n).select("doc_id", joined(n).alias("s"))
+            shared = said.join(F.broadcast(whole.select("item_id", "s")), "s").distinct()
+            shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(F.broadcast(sizes.select("item_id", "size")), "item_id")
+            found.append(shared.where(F.col("shared") >= F.col("size") * threshold - 1e-9).select("doc_id", "item_id", "shared", (F.col("shared") / F.col("size")).alias("containment")))
     if not found:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("containment")).where("false")
+        return docs.select("doc_id", F.lit(None).cast(dict(items.dtypes)["item_id"]).alias("item_id"), F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("containment")).where("false")
     return reduce(DataFrame.unionByName, found)

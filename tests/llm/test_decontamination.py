@@ -1,5 +1,6 @@
 import duckdb
 
+from quire.llm import decontamination
 from quire.llm.decontamination import contained
 from quire.llm.queries import ORACLE_SQL, op1_decontamination
 
@@ -20,7 +21,7 @@ def test_against_sql(spark):
     assert got == want and got
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(30))
     edited = item.replace("w15", "x")  # 21 of 26 shingles
     worse = edited.replace("w7 ", "y ")
@@ -30,4 +31,6 @@ def test_edges(spark):
     b = spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r.shared for r in contained(d, b).collect()}
     assert got == {(1, 1): 26, (1, 5): 26, (2, 1): 21, (2, 5): 21, (6, 2): 1, (8, 6): 1}
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 30)  # items in several blocks
+    assert {(r.doc_id, r.item_id): r.shared for r in contained(d, b).collect()} == got
     assert contained(d.where("false"), b).count() == contained(d, b.where("false")).count() == 0

@@ -70,3 +70,13 @@ def test_clusters_copies_and_edges(spark):
         share = sum(got[i] == want[i] for i in want) / len(want)
         assert got.keys() == want.keys() and share >= 0.97, share
     assert near_vectors(df.where("false")).count() == 0
+
+
+def test_very_large_small_and_rare_lengths(spark):
+    from quire.llm.embedding_dedup import near_vectors
+
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2.01e-200], 1), (3, [2.0, -1.0], 1), (4, [0.0, 0.0], 1)]
+    rows += [(10 * n + i, [float(n), *([1.0] * (n - 2)), 1.0 + i / 1000], 7) for n in range(3, 12) for i in range(2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[1] == got[2] == (1, 1) and got[3] == (0, 3) and got[4] == (0, 4)
+    assert all(got[10 * n + i] == (1, 10 * n) for n in range(3, 12) for i in range(2))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import privacy
 from quire.llm.privacy import entities, luhn, pseudonymise, settle, surrogate
-from quire.llm.queries import op7_surrogates
+from quire.llm.queries import SURROGATE_KEY, op7_surrogates
 
 KEY = b"a key of tests"
 
@@ -152,3 +152,32 @@ def test_query_replaces_all(spark):
         for e in es:
             assert before[r.doc_id][e.start : e.end] not in r.text
     assert held > 30
+
+
+def settled_plainly(parts):
+    """All parts' draws by one loop over sets."""
+    space = lambda kind: re.sub("^(?:given|family):([a-z]+).*$", r"name:\1", kind)
+    real, taken, out = {(space(k), c) for k, c in parts}, set(), {}
+    pending = {p: 0 for p in parts if not (p[0] == "host" and privacy.reserved(p[1]))}
+    while pending:
+        drawn = {p: (space(p[0]), surrogate(SURROGATE_KEY, *p, a)) for p, a in pending.items()}
+        first = {}
+        for k, c in drawn:
+            first[drawn[k, c]] = min(first.get(drawn[k, c], (c, k)), (c, k))
+        now = {p for p, s in drawn.items() if first[s] == p[::-1] and s not in real and s not in taken}
+        out |= {p: pending[p] for p in now}
+        taken |= {drawn[p] for p in now}
+        pending = {p: a + 1 for p, a in pending.items() if p not in now}
+    return out
+
+
+def test_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    before = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    parts = {p for r in before for e in entities(r.text or "") for p in e.parts}
+    attempts = settled_plainly(parts)
+    want = {r.doc_id: (None if r.text is None else put(r.text, SURROGATE_KEY, attempts)) for r in before}
+    assert {r.doc_id: r.text for r in op7_surrogates(spark, sf).collect()} == want
+    # One to one over the whole output: no two entities share a surrogate, and none is an entity of the input.
+    new = {(e.kind, e.canonical): privacy.replacement(e, e.canonical, SURROGATE_KEY, attempts) for r in before for e in entities(r.text or "") if e.kind != "name"}
+    assert len(set(new.values())) == len(new) and not set(new.values()) & {c for _, c in new}
