@@ -6,6 +6,9 @@ play headings, fonts and settings, line items play characters.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1011,3 +1014,108 @@ def cached_decisions(spark, d):
     cache = asked.where("prompt like 'STANDARD 1%'").select(R.cache_digest(F.col("prompt")).alias("digest"), F.lit('{"action": "kept", "size": 1}').alias("reply"))
     answers, _ = passes.cached_answers(asked, cache, rule_client, "prompt", "action string, size int", save=lambda df: df)
     return answers.select("prompt", "reply.action")
+
+
+# Files: written in the folder that driver and executors share, then read again.
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder, or in a temporary one where everything runs in this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = f"file://{tempfile.gettempdir()}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select p_name || ', \"' || p_partkey || '\"' as source, p_type as target, case when p_size % 3 = 0 then 'zh-CN' end as tgt_lng from part where p_size % 3 <> 1")
+def glossary_files(spark, d):
+    size = F.col("p_size") % 3
+    p = table(spark, d, "part").select(F.concat("p_name", F.lit(', "'), F.col("p_partkey").cast("string"), F.lit('"')).alias("source"), F.col("p_type").alias("target"), F.when(size == 0, "zh-CN").when(size == 1, "fr").alias("tgt_lng"))
+    path = scratch(spark, "glossary")
+    files.write_glossary(p, path)
+    return files.glossary(spark, path, "ZH_cn")
+
+
+@query("select l_orderkey::int as page_number, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1)::int as par_idx, 'p' || l_linenumber || '-' || l_partkey as debug_id, l_shipdate::date || ' & <' || l_returnflag || '>' as text, l_quantity as x2 from (select distinct l_orderkey, l_linenumber, l_partkey, any_value(l_shipdate) as l_shipdate, any_value(l_returnflag) as l_returnflag, any_value(l_quantity) as l_quantity from lineitem group by l_orderkey, l_linenumber, l_partkey having count(*) = 1)")
+def document_trees(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("l_shipdate", "l_returnflag", "l_quantity")]).where("n = 1")
+    box = F.struct(F.lit(0.0).alias("_x"), F.lit(0.0).alias("_y"), F.col("l_quantity").alias("_x2"), F.lit(9.0).alias("_y2"))
+    text = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" & <"), "l_returnflag", F.lit(">"))
+    par = F.struct("l_linenumber", "l_partkey", F.struct(text.alias("_unicode"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("_debug_id"), box.alias("box")).alias("p"))
+    pages = t.groupBy(F.col("l_orderkey").cast("int").alias("_pageNumber")).agg(F.transform(F.array_sort(F.collect_list(par)), lambda x: x["p"]).alias("pdfParagraph"))
+    path = scratch(spark, "tree")
+    pages.write.format("xml").option("rootTag", "document").option("rowTag", "page").save(path)
+    got = files.checked_pages(files.tree_pages(spark, path), pages.count())
+    return files.paragraphs_of(got).select("page_number", "par_idx", "debug_id", "text", "box.x2")
+
+
+@query("select n_nationkey, n_name as name, n_regionkey as region from nation union all select 100, 'absent', 0 where false")
+def sidecar_reports(spark, d):
+    path, kind = scratch(spark, "sidecar"), "n_nationkey int, name string, region int"
+    files.write_sidecar(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), path)
+    written = spark.read.schema(kind).json(path)
+    return written.unionByName(files.sidecar(spark, f"{path}-absent", kind))
+
+
+@query("select n_regionkey::bigint as section, n_name as source, 'keep ' || n_nationkey as decision from nation")
+def ruling_files(spark, d):
+    r = table(spark, d, "nation").select(F.struct(F.col("n_regionkey").cast("long").alias("section"), F.col("n_name").alias("source"), F.concat(F.lit("keep "), F.col("n_nationkey").cast("string")).alias("decision")).alias("r"))
+    path = scratch(spark, "rulings")
+    r.groupBy().agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(path)
+    return files.json_table(spark, path, "section long, source string, decision string", strict=True)
+
+
+@query("select n_name as name, sha256(n_name || ' prompt') as sha256 from nation union all select r_name, sha256(r_name) from region")
+def prompt_manifests(spark, d):
+    path = scratch(spark, "manifest")
+    files.append_manifest(table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat("n_name", F.lit(" prompt")).alias("content")), path)
+    files.append_manifest(table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_name").alias("content")), path)
+    return spark.read.parquet(path)
+
+
+@query("select sha256(string_agg(n_name, chr(10) order by n_nationkey) || chr(10)) as sha256, 1::bigint as files from nation")
+def file_digest(spark, d):
+    path = scratch(spark, "text")
+    table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(path)
+    found = R.file_digests(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path))
+    return found.groupBy("sha256").agg(F.count("*").alias("files"))
+
+
+@query("select p_partkey, p_name, 3 as number from part")
+def stage_checkpoints(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    path = files.write_checkpoint(p, scratch(spark, "checkpoints"), 3, "paragraphs")
+    assert files.write_checkpoint(p, path, 4, "off", enabled=False) is None
+    return spark.read.parquet(path).withColumn("number", F.regexp_extract(F.lit(path), r"/(\d+)_paragraphs$", 1).cast("int"))
+
+
+# Folds over more than a row before.
+
+
+@query("with recursive a as (select distinct o_custkey as doc, o_orderkey % 37 as article, case when o_orderkey % 2 = 0 then o_orderkey % 5 end as chain from orders), e as (select distinct x.doc, x.article as p, y.article as q from a x join a y on x.doc = y.doc and x.chain = y.chain), r as (select distinct doc, article as p, article as q from a union select r.doc, r.p, e.q from r join e on e.doc = r.doc and e.p = r.q) select doc, p as article, min(q) as merged from r group by all")
+def merged_articles(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), (k % 37).alias("article"), F.when(k % 2 == 0, k % 5).alias("chain_id")).distinct()
+    return folds.components_of_pages(o, ["doc"])
+
+
+@query("with recursive b as (select distinct p_brand, p_partkey % 23 as r, p_size as c from part), w as (select p_brand, r, c, r as r2, c as c2 from b union select w.p_brand, w.r, w.c, b.r, b.c from w join b on b.p_brand = w.p_brand and abs(b.r - w.r2) <= 1 and abs(b.c - w.c2) <= 1), m as (select p_brand, r, c, min(r2 * 100 + c2) as root from w group by all) select p_brand, count(distinct root) as regions from m group by 1")
+def changed_regions(spark, d):
+    b = table(spark, d, "part").select("p_brand", (F.col("p_partkey") % 23).alias("row"), F.col("p_size").alias("col")).distinct()
+    return folds.region_count(b, ["p_brand"])
+
+
+@query("with recursive n as (select conv_id, turn, substring(text, 1, 30) as t, turn % 7 = 5 as wall, row_number() over (partition by conv_id order by turn) as k from conversations), s as (select conv_id, turn, k, t as left_, wall, 0::bigint as unit from n where k = 1 union all select n.conv_id, n.turn, n.k, case when n.wall or s.wall or right(rtrim(s.left_, '\"''”’)] '), 1) in ('.', '!', '?', '。', '！', '？', '…') or least(length(s.left_), length(n.t)) > 29 then n.t else s.left_ || ' ' || n.t end, n.wall, case when n.wall or s.wall or right(rtrim(s.left_, '\"''”’)] '), 1) in ('.', '!', '?', '。', '！', '？', '…') or least(length(s.left_), length(n.t)) > 29 then s.unit + 1 else s.unit end from s join n on n.conv_id = s.conv_id and n.k = s.k + 1) select conv_id, turn, unit from s")
+def stitched_units(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 30).alias("text"), (F.col("turn") % 7 == 5).alias("barrier"))
+    return folds.stitched(t, ["conv_id"], ["turn"], 29).select("conv_id", "turn", "unit")
+
+
+@query("with recursive n as (select l_orderkey, l_linenumber, l_partkey % 3 as lay, case l_linenumber % 4 when 0 then ' ' when 1 then '.' else 'a' end as u, case when l_suppkey % 5 = 0 then 1 end as form, row_number() over (partition by l_orderkey order by l_linenumber) as k from (select l_orderkey, l_linenumber, any_value(l_partkey) as l_partkey, any_value(l_suppkey) as l_suppkey from lineitem group by all having count(*) = 1)), s as (select l_orderkey, l_linenumber, k, 0::bigint as par, lay, form from n where k = 1 union all select n.l_orderkey, n.l_linenumber, n.k, case when n.u <> '.' and ((n.lay <> s.lay and n.u <> ' ') or n.form is distinct from s.form) then s.par + 1 else s.par end, case when n.u <> '.' and ((n.lay <> s.lay and n.u <> ' ') or n.form is distinct from s.form) then n.lay else s.lay end, n.form from s join n on n.l_orderkey = s.l_orderkey and n.k = s.k + 1) select l_orderkey, l_linenumber, par as par_idx from s")
+def character_paragraphs(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("l_partkey").alias("pk"), F.first("l_suppkey").alias("sk")).where("n = 1")
+    m = F.col("l_linenumber") % 4
+    c = t.select("l_orderkey", "l_linenumber", (F.col("pk") % 3).alias("layout_id"), F.when(m == 0, " ").when(m == 1, ".").otherwise("a").alias("unicode"), F.when(F.col("sk") % 5 == 0, 1).alias("xobj_id"), F.lit(50.0).alias("area"))
+    return C.paragraphs_of(c, ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "par_idx")
