@@ -1,31 +1,87 @@
 """Operators whose next step depends on what the last one made: folds over the ordered rows of one page, chain or document.
 
 A group is one page, chain or document and never a key that grows with the corpus. SQL aggregate() is used where the state
-is small; otherwise applyInPandas.
+is small; otherwise sorted rows stream through Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
 
-def folded(rows: DataFrame, scope: list[str], order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """f over each scope's rows in order."""
-    return rows.groupBy(*scope).applyInPandas(lambda g: f(g.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+def ordered(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """rows with each scope's in one partition, one after another and in order (nulls last)."""
+    return rows.repartition(*scope).sortWithinPartitions(*scope, *[F.col(c).asc_nulls_last() for c in order])
+
+
+def edges(table: pa.Table, scope: list[str]) -> list[int]:
+    """Where a scope's rows begin in rows that are sorted by scope."""
+    change = np.zeros(max(0, table.num_rows - 1), bool)
+    for c in scope:
+        x = table.column(c).combine_chunks()
+        a, b = x.slice(1), x.slice(0, max(0, len(x) - 1))
+        one_null = pc.xor(pc.is_null(a), pc.is_null(b))
+        change |= pc.coalesce(pc.not_equal(a, b), one_null).to_numpy(zero_copy_only=False).astype(bool)
+    return [0, *(np.flatnonzero(change) + 1).tolist()]
+
+
+def scopes(batches: Iterator[pa.RecordBatch], scope: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole scopes, with the places where these begin; a scope may come in several batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        at = edges(table, scope)
+        held = table.slice(at[-1])
+        if len(at) > 1:
+            yield table.slice(0, at[-1]), at[:-1]
+    if held is not None and held.num_rows:
+        yield held, [0]
+
+
+def folded(rows: DataFrame, scope: list[str], order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str | st.StructType) -> DataFrame:
+    """f over each scope's rows in order. Scopes stream through a task, many to a batch: one costs its rows and no more."""
+    names = schema.fieldNames() if isinstance(schema, st.StructType) else st._parse_datatype_string(schema).fieldNames()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            k = frame[scope]
+            before = k.shift()
+            change = ((k != before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy()
+            change[:1] = True
+            at = np.flatnonzero(change).tolist()
+            held = frame.iloc[at[-1] :] if at else None
+            if len(at) > 1:
+                yield pd.concat([f(frame.iloc[a:z].reset_index(drop=True))[names] for a, z in zip(at, at[1:], strict=False)])
+        if held is not None and len(held):
+            yield f(held.reset_index(drop=True))[names]
+
+    return ordered(rows, scope, order).mapInPandas(run, schema)
 
 
-def _more(rows: DataFrame, name: str, kind: str = "long") -> st.StructType:
-    return st.StructType([f for f in rows.schema.fields if f.name != name] + [st.StructField(name, st.LongType() if kind == "long" else st.DoubleType())])
+def _numbered(rows: DataFrame, scope: list[str], order: list[str], name: str, f: Callable[[pd.DataFrame], list]) -> DataFrame:
+    """rows with a number each, which f gives for a scope's rows in order."""
+    rest = [c for c in rows.columns if c != name]
+    schema = st.StructType([*rows.select(*rest).schema.fields, st.StructField(name, st.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in scopes(batches, scope):
+            frame, out = table.to_pandas(), []
+            for a, z in zip(at, [*at[1:], table.num_rows], strict=True):
+                out += f(frame.iloc[a:z].reset_index(drop=True))
+            yield from table.append_column(name, pa.array(out, pa.int64())).to_batches()
 
-def _numbered(rows: DataFrame, scope: list[str], order: list[str], name: str, f: Callable[[pd.DataFrame], list]) -> DataFrame:
-    schema = _more(rows, name)
-    return folded(rows, scope, order, lambda g: g.assign(**{name: f(g)})[schema.fieldNames()], schema)
+    return ordered(rows.select(*rest), scope, order).mapInArrow(run, schema)
 
 
 def folded_sql(rows: DataFrame, scope: list[str], order: list[str], first: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -279,11 +335,13 @@ def components_of_pages(chains: DataFrame, doc: list[str]) -> DataFrame:
                 a = parent[a]
             return a
 
-        for _, own in g.dropna(subset=["chain_id"]).groupby("chain_id"):
-            roots = sorted({root(a) for a in own["article"]})
-            for r in roots[1:]:
-                parent[r] = roots[0]
-        return pd.DataFrame([(*(g[c].iloc[0] for c in doc), a, root(a)) for a in sorted(parent)], columns=[*doc, "article", "merged"])
+        touched: dict = {}  # a chain's first article
+        for a, c in zip(g["article"], g["chain_id"], strict=True):
+            if not pd.isna(c):
+                one, two = sorted((root(a), root(touched.setdefault(c, a))))
+                parent[two] = one
+        key = [g[c].iloc[0] for c in doc]
+        return pd.DataFrame([(*key, a, root(a)) for a in sorted(parent)], columns=[*doc, "article", "merged"])
 
     kinds = dict(chains.dtypes)
     return folded(chains, doc, ["article"], merge, ", ".join([*(f"{c} {kinds[c]}" for c in doc), f"article {kinds['article']}", f"merged {kinds['article']}"]))

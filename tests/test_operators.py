@@ -137,3 +137,17 @@ def test_plans_repairs_and_replay(spark):
     with pytest.raises(Exception, match="evicted"):
         services.replayed(log, "e", 1).collect()
     assert services.page_chunks(7, 3) == [(0, 2), (3, 5), (6, 6)]
+
+
+def test_scopes_that_span_batches(spark):
+    rows = frame(spark, "p int, q string, i int, v double", *[(p, q, i, float(i)) for p in (1, None, 2) for q in ("a", None) for i in range(7)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = folds._numbered(rows, ["p", "q"], ["i"], "n", lambda g: [10 * len(g) + k for k in range(len(g))]).collect()
+        assert len(got) == 42 and all(r.n == 70 + r.i for r in got)
+        sums = folds.folded(rows, ["p", "q"], ["i"], lambda g: g.head(1).assign(v=g["v"].sum())[["v"]], "v double").collect()
+        assert [r.v for r in sums] == [21.0] * 6
+        empty = rows.where("false")
+        assert folds._numbered(empty, ["p"], ["i"], "n", lambda g: []).count() == folds.folded(empty, ["p"], ["i"], lambda g: g[["v"]], "v double").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
