@@ -77,12 +77,14 @@ def adjudicated(boundaries: DataFrame, truth: DataFrame, markers: list[str]) ->
     return boundaries.join(t, "boundary", "left").withColumn("adjudication", kind).drop("_t", "truth_linked", "note")
 
 
-def harvested_names(paragraphs: DataFrame, stopwords: list[str], institutions: list[str], fewest: int = 2, most: int = 4, limit: int = 100) -> DataFrame:
-    """Capitalised runs that may be persons (words in bounds, no stop or institution words), with count and first page."""
+def harvested_names(paragraphs: DataFrame, stopwords: list[str], institutions: list[str], fewest: int = 2, most: int = 4, limit: int | None = None) -> DataFrame:
+    """Capitalised runs that may be persons (words in bounds, no stop or institution words), with count and first page, by
+    first page and name; with a limit the first so many of them."""
     n = paragraphs.select("page_number", F.explode(T.capitalised_terms(F.col("text"), 2)).alias("source"))
     words = F.split(F.lower("source"), r"\s+")
     n = n.where(F.size(words).between(fewest, most) & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in [*stopwords, *institutions, ""]])))
-    return n.groupBy("source").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page")).orderBy("first_page", "source").limit(limit)
+    found = n.groupBy("source").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page")).orderBy("first_page", "source")
+    return found if limit is None else found.limit(limit)
 
 
 def first_pages(terms: DataFrame, paragraphs: DataFrame) -> DataFrame:
