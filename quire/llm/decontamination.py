@@ -71,9 +71,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.75, doc_id
             sketch = sizes.select("item_id", need.alias("need"), F.explode(F.slice("hs", F.lit(1), kept)).alias("h"))
             hits = shingled(spoken, n).select("doc_id", hashed(n).alias("h")).join(F.broadcast(sketch), "h")
             likely = hits.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need").select("doc_id", "item_id")
-            texts = spoken.join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
-            said = shingled(texts, n).select("doc_id", joined(n).alias("s"))
-            shared = said.join(F.broadcast(whole.select("item_id", "s")), "s").distinct()
+            # No text is dealt: all documents are looked up, by hash and then by words, and candidates' hits are kept.
+            said = shingled(spoken, n).withColumn("h", hashed(n)).join(F.broadcast(whole.select("h").distinct()), "h", "left_semi")
+            said = said.select("doc_id", "h", joined(n).alias("s")).join(F.broadcast(whole), ["h", "s"]).select("doc_id", "item_id", "s").distinct()
+            shared = said.join(likely, ["doc_id", "item_id"], "left_semi")
             shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).join(F.broadcast(sizes.select("item_id", "size")), "item_id")
             found.append(shared.where(F.col("shared") >= F.col("size") * threshold - 1e-9).select("doc_id", "item_id", "shared", (F.col("shared") / F.col("size")).alias("containment")))
     if not found:

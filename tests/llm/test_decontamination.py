@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 
 from quire.llm import decontamination
@@ -34,3 +36,21 @@ def test_edges(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 30)  # items in several blocks
     assert {(r.doc_id, r.item_id): r.shared for r in contained(d, b).collect()} == got
     assert contained(d.where("false"), b).count() == contained(d, b.where("false")).count() == 0
+
+
+def test_no_text_is_dealt(spark):
+    """Candidates are told by what they hit: an exchange of texts would be larger than the documents."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e f g "), "id").alias("text"))
+        items = spark.createDataFrame([(1, "a b c d e f g 7"), (2, "c d")], "item_id long, text string")
+        got = contained(docs, items)
+        plan = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert dealt and not [x for x in dealt if re.search(r"\b(w|text)#", x)]
+        assert {(r.doc_id, r.item_id): r.shared for r in got.collect()} == {(i, 1): 3 + (i == 7) for i in range(50)} | {(i, 2): 1 for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
