@@ -3,7 +3,8 @@
 Each match of the split pattern is merged on a segment tree over its byte positions. A leaf holds the rank of the pair
 that starts at its position, times the width, plus the position, so the root is the leftmost pair of minimum rank. A
 merge changes at most three leaves (the pair's own, the one it swallows and its left neighbour) and the nodes above
-them. Short pieces of a batch are merged in lock step, a numpy row each; long ones use the same tree on lists.
+them. Short pieces of a batch are merged in lock step, a numpy row each, with several leaves under a node, as a few
+wide levels take fewer calls; long ones use a binary tree on lists.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Widths of the trees that are merged in lock step.
 WIDTHS = (4, 8, 16, 32, 64)
+#: Leaves under a node of a tree that is merged in lock step, if it is wider than this; else all are under its root.
+NARROW_TREE, FAN = 16, 8
 #: Distinct pieces in each of the two generations that a worker remembers.
 REMEMBERED = 250_000
 #: Characters of text whose pieces are held at once.
@@ -51,16 +55,44 @@ class ByteBPE:
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.keys, self.values = self._table()
+        self.whole = {token: rank.to_bytes(4, sys.byteorder) for token, rank in ranks.items()}
         self.older: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}  # ids as 32-bit integers one after another
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in an open-addressed table (-1: an empty slot), at most a quarter full, and their ranks."""
+        keys, values = np.fromiter(self.pairs, np.int64, len(self.pairs)), np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        table, ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(table[slot] < 0)
+            table[slot[free]] = keys[free]  # of several keys for a slot one stays
+            put = table[slot] == keys
+            ranks[slot[put]] = values[put]
+            keys, values, slot = keys[~put], values[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
+        return table, ranks
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, NONE where there is none."""
         key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.values[at], NONE)
+        key = np.where((a >= 0) & (b >= 0), key, -1).ravel()
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], NONE)
+        left = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        out[key < 0] = NONE
+        return out.reshape(a.shape)
 
     def _lock_step(self, pieces: list[bytes], n: int) -> list[bytes]:
         m = len(pieces)
@@ -72,17 +104,14 @@ class ByteBPE:
         after = np.tile(np.minimum(np.arange(1, n + 2), n), (m, 1))
         before = np.tile(np.r_[n, np.arange(n)], (m, 1))
         before[:, n] = n
-        tree = np.full((m, 2 * n), NONE)
         rank = self._rank(sym[:, :n], sym[:, 1:])
-        tree[:, n:] = np.where(rank < NONE, rank * n + np.arange(n), NONE)
-        level = n
-        while level > 1:
-            half = level // 2
-            tree[:, half:level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
-            level = half
-        row = np.flatnonzero(tree[:, 1] < NONE)
+        fan = n if n <= NARROW_TREE else FAN
+        leaf = np.where(rank < NONE, rank * n + np.arange(n), NONE).reshape(m, n // fan, fan)
+        node, flat = leaf.min(2), leaf.reshape(m, n)  # flat: a view
+        best = node.min(1)
+        row = np.flatnonzero(best < NONE)
+        best = best[row]
         while len(row):
-            best = tree[row, 1]
             at, new = best % n, best // n
             gone = after[row, at]
             nxt = after[row, gone]
@@ -91,19 +120,24 @@ class ByteBPE:
             after[row, at] = nxt
             before[row, nxt] = at
             prev = before[row, at]
-            right, left = self._rank(new, sym[row, nxt]), self._rank(sym[row, prev], new)
-            tree[row, n + gone] = NONE
-            tree[row, n + at] = np.where(right < NONE, right * n + at, NONE)
-            has = prev < n
-            tree[row[has], n + prev[has]] = np.where(left[has] < NONE, left[has] * n + prev[has], NONE)
-            rows, nodes = np.concatenate([row, row, row[has]]), np.concatenate([n + gone, n + at, n + prev[has]]) >> 1
-            while nodes[0] >= 1:
-                tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
-                nodes = nodes >> 1
-            row = row[tree[row, 1] < NONE]
+            has = np.flatnonzero(prev < n)
+            rows, prev = row[has], prev[has]
+            pair = self._rank(np.concatenate([new, sym[rows, prev]]), np.concatenate([sym[row, nxt], new[has]]))
+            right, left = pair[: len(row)], pair[len(row) :]
+            flat[row, gone] = NONE
+            flat[row, at] = np.where(right < NONE, right * n + at, NONE)
+            flat[rows, prev] = np.where(left < NONE, left * n + prev, NONE)
+            if fan == n:
+                best = flat[row].min(1)
+            else:
+                for r, x in ((row, gone // fan), (row, at // fan), (rows, prev // fan)):
+                    node[r, x] = leaf[r, x].min(1)
+                best = node[row].min(1)
+            more = best < NONE
+            row, best = row[more], best[more]
         live = sym[:, :n] >= 0
-        flat, ends = sym[:, :n][live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        ids, ends = sym[:, :n][live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _alone(self, piece: bytes) -> bytes:
         """The same tree for one piece of any length, on lists."""
@@ -145,16 +179,15 @@ class ByteBPE:
         return np.array([s for s in sym if s >= 0], np.int32).tobytes()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        groups: dict[int, list[int]] = {}
+        out = [*map(self.whole.get, pieces)]  # a piece that is a token stays whole, whatever its merges would give
+        groups: dict[int, list[int]] = {n: [] for n in WIDTHS}
         for i, p in enumerate(pieces):
-            rank = self.ranks.get(p)  # a piece that is a token stays whole, whatever its merges would give
-            if rank is not None:
-                out[i] = rank.to_bytes(4, sys.byteorder)
-            elif not p:
+            if out[i] is not None:
+                continue
+            if not p:
                 out[i] = b""
-            elif (n := next((w for w in WIDTHS if len(p) <= w), 0)):
-                groups.setdefault(n, []).append(i)
+            elif len(p) <= WIDTHS[-1]:
+                groups[max(WIDTHS[0], 1 << (len(p) - 1).bit_length())].append(i)
             else:
                 out[i] = self._alone(p)
         for n, members in groups.items():
@@ -178,13 +211,9 @@ class ByteBPE:
         """Puts the ids of all `pieces` in the cache; what the older generation has is taken over."""
         if len(self.cache) > REMEMBERED:
             self.older, self.cache = self.cache, {}
-        new, older = [], self.older
-        for p in set(pieces):
-            if p not in self.cache:
-                if p in older:
-                    self.cache[p] = older[p]
-                else:
-                    new.append(p)
+        unseen = set(pieces).difference(self.cache)
+        new = [*unseen.difference(self.older)]
+        self.cache.update((p, self.older[p]) for p in unseen.difference(new))
         if new:
             self.cache.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
 
@@ -246,8 +275,15 @@ def bpe_decode(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        bpe = coder(path, pattern)
-        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False)).tobytes() if x.is_valid else b"" for x in lists], pa.binary())
+        bpe, out = coder(path, pattern), []
+        for at in range(0, max(len(lists), 1), 256):  # the lists of a slice are decoded at once
+            part = lists.slice(at, 256)
+            ids = part.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            ends = np.r_[0, np.cumsum(bpe.width[ids], dtype=np.int64)][sizes].tolist()
+            data = bpe.decode(ids).tobytes()
+            out.append(pa.array([data[a:z] for a, z in zip(ends, ends[1:], strict=False)], pa.binary()))
+        return pa.concat_arrays(out)
 
     return decode(ids)
 

@@ -31,6 +31,29 @@ def test_merges_equal_the_library():
         assert ours.decode(np.array(got, int)).tobytes() == t.encode()
 
 
+def test_ranks_of_pairs_from_the_table():
+    bpe = ByteBPE(read_ranks(PATH), P.PATTERN)
+    rng = np.random.default_rng(4)
+    keys = np.array([*bpe.pairs])
+    a, b = np.r_[keys >> 32, rng.integers(-1, 50_000, 200_000)], np.r_[keys & 0xFFFFFFFF, rng.integers(-1, 50_000, 200_000)]
+    want = [bpe.pairs.get(x << 32 | y, 1 << 60) if x >= 0 and y >= 0 else 1 << 60 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert (bpe._rank(a, b) == want).all() and len(bpe.keys) >= 4 * len(keys)
+
+
+def test_pieces_of_every_width_merge_as_alone():
+    bpe = ByteBPE(read_ranks(PATH), P.PATTERN)
+    rng = random.Random(5)
+    pieces = [bytes(rng.choices(b"etaoin " if i % 2 else range(256), k=n)) for n in range(2, 65) for i in range(40)]
+    pieces = [p for p in pieces if p not in bpe.ranks]
+    assert bpe.merge(pieces) == [bpe._alone(p) for p in pieces]
+
+
+def test_decoded_slices(spark):
+    rows = [(i, "".join(chr(97 + (i * k) % 26) for k in range(i % 7)) if i % 11 else None) for i in range(700)]
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, P.PATTERN).collect()
+    assert {r.doc_id: bytes(r.decoded) for r in got} == {i: (t or "").encode() for i, t in rows}
+
+
 def test_narrow_pattern_splits_alike():
     slow = regex.compile(USUAL)
     assert USUAL == P.PATTERN
