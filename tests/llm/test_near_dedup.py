@@ -111,3 +111,17 @@ def test_components_of_paths_and_stars(spark, monkeypatch):
     except RuntimeError:
         return
     raise AssertionError("the limit of rounds must raise")
+
+
+def test_rows_are_left_out_without_a_shuffle_of_most(spark):
+    from quire.llm.common import left_out, told, written
+
+    docs = written(spark.range(20_000).selectExpr("if(id % 5000 = 7, null, id) as doc_id", "cast(id as string) as text").unionByName(spark.createDataFrame([(9, "again"), (9, "again")], "doc_id long, text string")), "docs")
+    for gone in (spark.range(0, 20_000, 9).selectExpr("id as doc_id"), spark.range(0), docs.select("doc_id")):
+        gone = written(gone.toDF("doc_id"), "gone")
+        want = sorted(r.text for r in docs.join(gone, "doc_id", "left_anti").collect())
+        got = left_out(docs, gone, "doc_id")
+        assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == want
+        may = told(docs, gone, "doc_id").where("_may")
+        assert not docs.join(gone, "doc_id", "left_semi").join(may, "doc_id", "left_anti").count()
+        assert may.count() <= gone.count() + 0.2 * 20_000
