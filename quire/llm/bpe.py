@@ -276,8 +276,8 @@ def bpe_decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         bpe, out = coder(path, pattern), []
-        for at in range(0, max(len(lists), 1), 256):  # the lists of a slice are decoded at once
-            part = lists.slice(at, 256)
+        for at in range(0, max(len(lists), 1), 32):  # the lists of a slice are decoded at once
+            part = lists.slice(at, 32)
             ids = part.flatten().to_numpy(zero_copy_only=False)
             sizes = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
             ends = np.r_[0, np.cumsum(bpe.width[ids], dtype=np.int64)][sizes].tolist()
