@@ -14,6 +14,7 @@ import functools
 import itertools
 import re
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 WIDTHS = (4, 8, 16, 32, 64)
 #: Leaves under a node of a tree that is merged in lock step, if it is wider than this; else all are under its root.
 NARROW_TREE, FAN = 16, 8
+#: Texts that are encoded and lists that are decoded at once.
+ENCODED, DECODED = 256, 32
 #: Distinct pieces in each of the two generations that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Characters of text whose pieces are held at once.
 SLAB = 4_000_000
 NONE = np.int64(1) << 60
@@ -256,16 +259,28 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
+def _encoded(bpe: ByteBPE, texts: pa.Array) -> pa.Array:
+    ids, ends = bpe.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+
+def _decoded(bpe: ByteBPE, lists: pa.Array) -> pa.Array:
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+    ends = np.r_[0, np.cumsum(bpe.width[ids], dtype=np.int64)][sizes].tolist()
+    data = bpe.decode(ids).tobytes()
+    return pa.array([data[a:z] for a, z in zip(ends, ends[1:], strict=False)], pa.binary())
+
+
 def bpe_encode(text: Column, path: str, pattern: str) -> Column:
     """Token ids (array<int>) of whole texts; a null or empty text has no ids. `path`: a rank file that every worker has."""
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        bpe, out = coder(path, pattern), []
-        for at in range(0, max(len(texts), 1), 256):
-            ids, ends = bpe.encode(texts[at : at + 256].to_pylist())
-            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
-        return pa.concat_arrays(out)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = coder(path, pattern)
+        for texts in batches:
+            for at in range(0, max(len(texts), 1), ENCODED):
+                yield _encoded(bpe, texts.slice(at, ENCODED))
 
     return encode(text.cast("string"))
 
@@ -274,24 +289,41 @@ def bpe_decode(ids: Column, path: str, pattern: str) -> Column:
     """The bytes (binary) that token ids stand for; null ids give empty bytes. An id that the vocabulary lacks is an error."""
 
     @F.arrow_udf("binary")
-    def decode(lists: pa.Array) -> pa.Array:
-        bpe, out = coder(path, pattern), []
-        for at in range(0, max(len(lists), 1), 32):  # the lists of a slice are decoded at once
-            part = lists.slice(at, 32)
-            ids = part.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
-            ends = np.r_[0, np.cumsum(bpe.width[ids], dtype=np.int64)][sizes].tolist()
-            data = bpe.decode(ids).tobytes()
-            out.append(pa.array([data[a:z] for a, z in zip(ends, ends[1:], strict=False)], pa.binary()))
-        return pa.concat_arrays(out)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = coder(path, pattern)
+        for lists in batches:
+            for at in range(0, max(len(lists), 1), DECODED):
+                yield _decoded(bpe, lists.slice(at, DECODED))
 
     return decode(ids)
 
 
+def parts(bpe: ByteBPE, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of each text its ids and what they decode to, DECODED texts at a time."""
+    for texts in batches:
+        for at in range(0, max(len(texts), 1), ENCODED):
+            ids = _encoded(bpe, texts.slice(at, ENCODED))
+            for k in range(0, max(len(ids), 1), DECODED):
+                part = ids.slice(k, DECODED)
+                yield pa.StructArray.from_arrays([part, _decoded(bpe, part)], ["ids", "decoded"])
+
+
+def bpe_code(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids: array<int>, decoded: binary>: what bpe_encode gives and what bpe_decode makes of it. Texts are encoded
+    once for both, and handed on in small parts, so that neither side holds the results of a whole batch."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from parts(coder(path, pattern), batches)
+
+    return code(text.cast("string"))
+
+
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """df with two more columns: the ids of each whole text and the bytes that they decode to.
 
     Columns of df that have these names are replaced, all others are kept. Null and empty texts get an empty list and
     empty bytes; repeated rows and rows with null ids are coded like any other; an empty table stays empty.
     """
-    return df.withColumn(ids, bpe_encode(F.col(text), path, pattern)).withColumn(decoded, bpe_decode(F.col(ids), path, pattern))
+    coded = bpe_code(F.col(text), path, pattern)
+    return df.withColumns({ids: coded["ids"], decoded: coded["decoded"]})

@@ -54,6 +54,19 @@ def test_decoded_slices(spark):
     assert {r.doc_id: bytes(r.decoded) for r in got} == {i: (t or "").encode() for i, t in rows}
 
 
+def test_texts_are_encoded_once_and_handed_on_in_parts(spark):
+    import pyarrow as pa
+
+    from quire.llm.bpe import DECODED, coder, parts
+
+    texts = [f"text {i} " * (i % 9) if i % 7 else None for i in range(600)]
+    got = list(parts(coder(PATH, P.PATTERN), iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(map(len, got)) <= DECODED and [x["decoded"].decode() for x in pa.concat_arrays(got).to_pylist()] == [t or "" for t in texts]
+    df = encode_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH, P.PATTERN)
+    (calls,) = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x]
+    assert calls.count("(cast") + calls.count("(text") == 1, calls
+
+
 def test_narrow_pattern_splits_alike():
     slow = regex.compile(USUAL)
     assert USUAL == P.PATTERN
